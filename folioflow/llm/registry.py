@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import sql
+from folioflow.llm import secrets, sql
 from folioflow.llm.exact_dedup import decide
 from folioflow.llm.mixing import mix_plan
 from folioflow.sources.tables import read_table
@@ -19,6 +19,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(read_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.col("secret_spans")
+    base = F.filter(spans, lambda s: s["kind"] < len(secrets.BASE))
+    kind = lambda i: lambda s: s["kind"] == i
+    counts = [F.size(F.filter(spans, kind(i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE)]
+    return secrets.scan_secrets(docs).select(
+        "doc_id", *counts, F.sha2(F.encode(secrets.written(base), "UTF-8"), 256).alias("base_sha256"), secrets.written(spans).alias("spans")
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(read_table(spark, sf_dir, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -27,6 +38,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
+        "op7_secret_scan": op7_secret_scan,
         "op10_mixing": op10_mixing,
     }
 
@@ -34,5 +46,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": sql.EXACT_DEDUP,
+        "op7_secret_scan": sql.SECRETS,
         "op10_mixing": sql.MIXING,
     }

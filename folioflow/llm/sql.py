@@ -38,3 +38,33 @@ taken AS (
   SELECT *, least(floor(rank * rate + u)::BIGINT - floor((rank - 1) * rate + u)::BIGINT, 3) AS copies FROM stepped)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM taken
 """
+
+
+def _spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    """The spans of one kind: lengths of matches and of the gaps between them give the places."""
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {order} AS kind_order, '{kind}' AS kind, s.span_start AS span_start, s.span_end AS span_end FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(hits) + 1), lambda i: {{
+             'span_start': (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda h: length(h))), 0))::BIGINT,
+             'span_end': (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(hits[1:i], lambda h: length(h))))::BIGINT,
+             'part': parts[i]}})) AS s
+    FROM (SELECT doc_id, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS hits,
+                 regexp_extract_all(text, '{p}', {group}) AS parts FROM documents WHERE regexp_matches(text, '{p}')))
+  WHERE length(s.part) >= {least}"""
+
+
+def _secrets() -> str:
+    from folioflow.llm.secrets import BASE, RULES
+
+    each = " UNION ALL ".join(_spans(r.kind, i, r.pattern, r.group, r.least) for i, r in enumerate(RULES))
+    listed = "coalesce(string_agg(kind || ':' || span_start || ':' || span_end, ',' ORDER BY span_start, kind_order){}, '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH spans AS ({each})
+SELECT d.doc_id, {counts}, sha256({listed.format(f" FILTER (kind_order < {len(BASE)})")}) AS base_sha256, {listed.format("")} AS spans
+FROM documents d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+"""
+
+
+SECRETS = _secrets()
