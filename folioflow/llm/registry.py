@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import secrets, sql
 from folioflow.llm.exact_dedup import decide
+from folioflow.llm.minhash import near_duplicates
 from folioflow.llm.mixing import mix_plan
 from folioflow.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_minhash": op1_minhash,
         "op4_exact_dedup": op4_exact_dedup,
         "op7_secret_scan": op7_secret_scan,
         "op10_mixing": op10_mixing,
@@ -45,6 +51,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash": sql.MINHASH,
         "op4_exact_dedup": sql.EXACT_DEDUP,
         "op7_secret_scan": sql.SECRETS,
         "op10_mixing": sql.MIXING,

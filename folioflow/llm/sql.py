@@ -39,6 +39,24 @@ taken AS (
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM taken
 """
 
+MINHASH = rf"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [hash(array_to_string(w, ' '))]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: hash(array_to_string(w[i:i+3], ' ')))) END AS s
+  FROM worded),
+sized AS (SELECT doc_id, len(s)::BIGINT AS n_shingles FROM sets),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT u, v FROM common JOIN sized x ON x.doc_id = u JOIN sized y ON y.doc_id = v
+  WHERE 100 * n >= 80 * (x.n_shingles + y.n_shingles - n)),
+pairs AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT doc_id, doc_id AS root FROM sized UNION SELECT b.v, r.root FROM reach r JOIN pairs b ON b.u = r.doc_id)
+SELECT doc_id, n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM reach JOIN sized USING (doc_id) GROUP BY doc_id, n_shingles
+"""
+
 
 def _spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
     """The spans of one kind: lengths of matches and of the gaps between them give the places."""
