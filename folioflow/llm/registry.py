@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import secrets, sql
+from folioflow.llm import secrets, sentencepieces, sql
 from folioflow.llm.exact_dedup import decide
 from folioflow.llm.minhash import near_duplicates
 from folioflow.llm.mixing import mix_plan
+from folioflow.llm.substring_dedup import substring_dedup
 from folioflow.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,21 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and what they decode to."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepieces.decode(sentencepieces.encode(docs))
+    return coded.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(read_table(spark, sf_dir, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -45,6 +61,8 @@ def queries() -> dict[str, Query]:
         "op1_minhash": op1_minhash,
         "op4_exact_dedup": op4_exact_dedup,
         "op7_secret_scan": op7_secret_scan,
+        "op8_sentencepiece": op8_sentencepiece,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_mixing": op10_mixing,
     }
 
@@ -54,5 +72,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_minhash": sql.MINHASH,
         "op4_exact_dedup": sql.EXACT_DEDUP,
         "op7_secret_scan": sql.SECRETS,
+        "op9_substring_dedup": sql.SUBSTRINGS,
         "op10_mixing": sql.MIXING,
     }

@@ -57,6 +57,21 @@ reach AS (SELECT doc_id, doc_id AS root FROM sized UNION SELECT b.v, r.root FROM
 SELECT doc_id, n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM reach JOIN sized USING (doc_id) GROUP BY doc_id, n_shingles
 """
 
+SUBSTRINGS = f"""
+WITH worded AS (SELECT doc_id, {WORDS} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, hash(array_to_string(w[i:i+12], ' ')) AS h, hash(reverse(array_to_string(w[i:i+12], ' '))) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM worded)),
+late AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h, g) AS least FROM windows) WHERE least < doc_id),
+covered AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS p FROM late),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM worded),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM placed ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM worded LEFT JOIN kept USING (doc_id)
+"""
+
 
 def _spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
     """The spans of one kind: lengths of matches and of the gaps between them give the places."""
