@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import secrets, sentencepieces, sql
+from folioflow.llm import language_id, secrets, sentencepieces, sql, toxicity
 from folioflow.llm.exact_dedup import decide
 from folioflow.llm.minhash import near_duplicates
 from folioflow.llm.mixing import mix_plan
 from folioflow.llm.substring_dedup import substring_dedup
+from folioflow.llm.training import held_out
 from folioflow.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,10 +22,23 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity(docs, lexicon, out="score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(read_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = F.col("secret_spans")
@@ -59,7 +73,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
+        "op2_toxicity": op2_toxicity,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_language_id": op6_language_id,
         "op7_secret_scan": op7_secret_scan,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_substring_dedup": op9_substring_dedup,
