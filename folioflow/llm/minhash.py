@@ -7,10 +7,12 @@ further below the threshold than ``MARGIN`` are dropped, the rest are confirmed
 0.8, 24 bands of 4 miss a pair with probability (1 - 0.8 ** 4) ** 24 = 3e-6, and the margin is more than six
 standard deviations of the estimate.
 
-Exact copies are one class from the start. Within a bucket, members are first compared with the least member only, so
-a bucket of n gives n - 1 pairs. Once those links are confirmed and components known, buckets that still hold several components
-have their remaining pairs compared, in blocks, by the packed signatures: there is no cap on a bucket, and no link is
-lost because its two ends weren't compared with each other.
+Exact copies are one class from the start. Pairs are never listed. Members of a bucket are compared in blocks, and what a block
+gives is a forest: no more links than members, which connect all that its pairs connect. The forests of estimates
+make families; a family holds every true link of its members. Its full shingle sets are then compared in blocks of the
+same kind, where two members already connected needn't be compared. Blocks are bounded, a large bucket or family is dealt
+over many of them, every pair of members meets in one, and no member, bucket or partner is capped. Of buckets with the same
+members one is kept.
 
 Lower-casing is of A-Z. A document with fewer words than a shingle is one shingle; without words (null text too) its set
 is empty and it is linked with nothing. A null id is linked with nothing and has no component. Rows that share an id are
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import bitfilter, wordhash
@@ -32,8 +34,8 @@ from folioflow.plans.materialize import spill
 
 BANDS, ROWS, BITS = 24, 4, 4
 MARGIN = 0.25
-BLOCK = 1024  # members of a bucket compared at once
-STAR = 1000  # members verified against one centre in one group
+BLOCK = 2048  # members of a bucket or family in half a block
+BLOCK_SHINGLES = 2_000_000  # and their shingles
 LANES = 64 // BITS
 LOW_BITS = 0x1111111111111111
 FEATURES = "id long, n_shingles long, k0 long, k1 long, sig array<long>, bands array<long>"
@@ -79,83 +81,104 @@ def _features(k: int):
     return run
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    """Equal lanes of two packed signatures."""
-    total = F.lit(0)
-    for w in range(BANDS * ROWS // LANES):
-        x = a[w].bitwiseXOR(b[w])
-        for s in (BITS // 2, BITS // 4):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, s))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(LOW_BITS)))
-    return F.lit(BANDS * ROWS) - total
-
-
 def least_agreeing(threshold: float) -> int:
     """Lanes that must agree for an estimate within the margin; agreement by chance is corrected for."""
     chance = 2.0**-BITS
     return int(np.floor(BANDS * ROWS * (chance + (1 - chance) * max(0.0, threshold - MARGIN))))
 
 
-def _could_be(n_a: Column, n_b: Column, percent: int) -> Column:
-    """Similarity is no more than the ratio of the set sizes."""
-    return F.lit(100) * F.least(n_a, n_b) >= F.lit(percent) * F.greatest(n_a, n_b)
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, n_docs: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold. A centre with many members is copied to groups of about ``STAR``."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
-    rows = (
-        pairs.join(parts, "a").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(1).alias("member"))
-        .unionByName(parts.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member")))
-    )
-    bits = bitfilter.bits_for(n_docs)
-    named = bitfilter.probe(docs, bitfilter.present(rows.select("id").distinct(), bits), F.col("id"), bits, "named").filter("named").select("id", "text")
-    met = rows.join(named, "id").repartition("a", "part").sortWithinPartitions("a", "part", "member")
+class Forest:
+    """Who is connected within a block. Members of half i meet those of half j; within one half each pair meets once."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, centre, key = wordhash.WordHashes(), None, None
-        for frame in frames:
-            out = []
-            for a, part, member, i, text in zip(frame["a"], frame["part"], frame["member"], frame["id"], frame["text"], strict=True):
-                found = wordhash.shingles(wordhash.split(text, lower=True), k, cache)
-                if not member:
-                    centre, key = found, (a, part)
-                elif key == (a, part):
-                    at = np.minimum(np.searchsorted(centre, found), len(centre) - 1)
-                    both = int((centre[at] == found).sum())
-                    if 100 * both >= percent * (len(centre) + len(found) - both):
-                        out.append((a, i))
-            yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+    def __init__(self, chunk: np.ndarray, i: int, j: int, sizes: np.ndarray, percent: int):
+        self.label = np.arange(len(chunk))
+        self.rows = np.flatnonzero(chunk == i)
+        self.cols = np.flatnonzero(chunk == j)
+        self.one, self.sizes, self.percent = i == j, sizes, percent
 
-    return met.mapInPandas(run, "u long, v long")
+    def grow(self, similar) -> list[tuple[int, int]]:
+        """``similar(r, c)``: which of the members c are similar to r. Returns the links (r, c) that connect something new."""
+        links = []
+        for r in self.rows.tolist():
+            c = self.cols[self.label[self.cols] != self.label[r]]
+            c = c[c > r] if self.one else c
+            c = c[100 * np.minimum(self.sizes[c], self.sizes[r]) >= self.percent * np.maximum(self.sizes[c], self.sizes[r])]
+            if len(c):
+                c = c[similar(r, c)]
+                new, first = np.unique(self.label[c], return_index=True)
+                if len(new):
+                    links += [(r, x) for x in c[first].tolist()]
+                    self.label[np.isin(self.label, new)] = self.label[r]
+        return links
 
 
-def _blocks(least: int, percent: int):
-    """Pairs of a block that lie in different components and may be similar, by signatures alone."""
+def _estimated(least: int, percent: int):
+    """The forest of each block of bucket members, by packed signatures: (u, v)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in wordhash.groups(frames, ["key", "i", "j"]):
-            ids, comp, n = (g[c].to_numpy() for c in ("cid", "root", "n_shingles"))
+            ids, sizes = g["cid"].to_numpy(), g["n_shingles"].to_numpy()
             sig = np.stack(g["sig"].to_numpy()).astype(np.int64).view(np.uint64)
-            chunk, i, j = g["chunk"].to_numpy(), g["i"].iat[0], g["j"].iat[0]
-            rows, cols = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-            found = []
-            for r in rows:
-                c = cols[(comp[cols] != comp[r]) & (100 * np.minimum(n[cols], n[r]) >= percent * np.maximum(n[cols], n[r]))]
-                if not len(c):
-                    continue
+
+            def similar(r: int, c: np.ndarray) -> np.ndarray:
                 x = sig[c] ^ sig[r]
                 for s in (BITS // 2, BITS // 4):
                     x |= x >> np.uint64(s)
-                same = BANDS * ROWS - np.bitwise_count(x & np.uint64(LOW_BITS)).sum(axis=1, dtype=np.int64)
-                c = c[same >= least]
-                found += [(min(ids[r], ids[y]), max(ids[r], ids[y])) for y in c]
-            if found:
-                yield pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
+                return BANDS * ROWS - np.bitwise_count(x & np.uint64(LOW_BITS)).sum(axis=1, dtype=np.int64) >= least
+
+            links = Forest(g["chunk"].to_numpy(), g["i"].iat[0], g["j"].iat[0], sizes, percent).grow(similar)
+            if links:
+                at = np.array(links)
+                yield pd.DataFrame({"u": ids[at[:, 0]], "v": ids[at[:, 1]]})
 
     return run
 
 
+def _exact(k: int, percent: int):
+    """The forest of each block of family members, by full shingle sets: (u, v)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = wordhash.WordHashes()
+
+        def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                held = [wordhash.shingles(wordhash.split(t, lower=True), k, cache) for t in frame["text"]]
+                some = np.array([len(h) > 0 for h in held], bool)
+                yield frame.drop(columns="text").assign(held=held)[some]
+
+        for g in wordhash.groups(sets(frames), ["root", "i", "j"]):
+            ids, held = g["cid"].to_numpy(), list(g["held"])
+            sizes = np.array([len(h) for h in held])
+            kinds, flat = np.unique(np.concatenate(held), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            marked = np.zeros(len(kinds), np.int32)
+
+            def similar(r: int, c: np.ndarray) -> np.ndarray:
+                own = flat[starts[r] : starts[r] + sizes[r]]
+                marked[own] = 1
+                if 4 * len(c) > len(ids):
+                    both = np.add.reduceat(marked[flat], starts)[c]
+                else:
+                    both = np.array([marked[flat[starts[x] : starts[x] + sizes[x]]].sum() for x in c.tolist()])
+                marked[own] = 0
+                return 100 * both >= percent * (sizes[c] + sizes[r] - both)
+
+            links = Forest(g["chunk"].to_numpy(), g["i"].iat[0], g["j"].iat[0], sizes, percent).grow(similar)
+            if links:
+                at = np.array(links)
+                yield pd.DataFrame({"u": ids[at[:, 0]], "v": ids[at[:, 1]]})
+
+    return run
+
+
+def _dealt(members: DataFrame, group: str, parts: DataFrame) -> DataFrame:
+    """Rows (group, chunk, i, j, cid): each member once for every pair of chunks that its own belongs to. ``parts`` has (group, parts)."""
+    placed = members.join(parts, group).withColumn("chunk", F.pmod(F.xxhash64("cid"), "parts"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
+        group, "chunk", "cid", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept (id = component_id; true for a null id)."""
     spark = docs.sparkSession
@@ -170,28 +193,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_docs = features.count()
     least = least_agreeing(percent / 100)
     banded = classes.select("cid", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.count("*").alias("size")).filter("a < z")
-    stars = banded.join(buckets.select("key", "a"), "key").filter("cid != a").select("a", F.col("cid").alias("b")).distinct()
-    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-    similar = stars.join(side("a"), "a").join(side("b"), "b").filter(_could_be(F.col("n_a"), F.col("n_b"), percent) & (agreeing(F.col("sig_a"), F.col("sig_b")) >= least))
-    tested = spill(similar.select("a", "b"), "minhash-pairs")
-    links = spill(_verify(tested, texts, shingle, percent, n_docs), "minhash-links")
+    held = banded.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cid")).alias("all")).filter("lo < hi")
+    buckets = held.groupBy("lo", "hi", "size", "all").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).alias("parts"))
+    blocks = _dealt(banded, "key", buckets).join(classes.select("cid", "n_shingles", "sig"), "cid")
+    near = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_estimated(least, percent), "u long, v long")
+    families = components(near)
+
+    member = spill(families.select(F.col("node").alias("cid"), "root").unionByName(families.select(F.col("root").alias("cid"), "root").distinct()), "minhash-families")
+    sized = member.join(classes.groupBy("cid").agg(F.max("n_shingles").alias("n_shingles")), "cid")
+    parts = sized.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
+    bits = bitfilter.bits_for(n_docs)
+    texts_of = bitfilter.probe(texts, bitfilter.present(member.select("cid"), bits), F.col("id"), bits, "named").filter("named").select(F.col("id").alias("cid"), "text")
+    blocks = _dealt(member, "root", parts).join(texts_of, "cid")
+    links = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(_exact(shingle, percent), "u long, v long")
     roots = components(links)
-
-    labelled = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n_shingles", "sig", "bands", F.coalesce("root", "cid").alias("root"))
-    member = labelled.select("cid", "root", F.explode("bands").alias("key"))
-    mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-    chunks = F.ceil(F.col("size") / BLOCK)
-    placed = member.join(mixed.select("key", chunks.alias("chunks")), "key").withColumn("chunk", F.pmod(F.xxhash64("cid"), "chunks"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(
-        "key", "chunk", "cid", "root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
-    )
-    sized = dealt.join(classes.select("cid", "n_shingles", "sig"), "cid")
-    rest = sized.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_blocks(least, percent), "a long, b long")
-    rest = spill(rest.distinct().join(tested, ["a", "b"], "left_anti"), "minhash-rest")
-    if not rest.isEmpty():
-        more = _verify(rest, texts, shingle, percent, n_docs)
-        roots = components(links.unionByName(more))
     named = classes.select("k0", "k1", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("k0", "k1", F.coalesce("root", "cid").alias("root"))
     return features.select("id", "n_shingles", "k0", "k1").join(named, ["k0", "k1"], "left").select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"),
