@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import language_id, secrets, sentencepieces, sql, toxicity
+from folioflow.llm import html_extract, language_id, secrets, sentencepieces, sql, toxicity
 from folioflow.llm.exact_dedup import decide
+from folioflow.llm.fingerprints import edited_fingerprints
 from folioflow.llm.minhash import near_duplicates
 from folioflow.llm.mixing import mix_plan
 from folioflow.llm.substring_dedup import substring_dedup
@@ -29,10 +30,21 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), out="text")
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(read_table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = edited_fingerprints(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256")
+    return done.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
@@ -74,7 +86,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
         "op2_toxicity": op2_toxicity,
+        "op3_html_extract": op3_html_extract,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_fingerprints": op5_fingerprints,
         "op6_language_id": op6_language_id,
         "op7_secret_scan": op7_secret_scan,
         "op8_sentencepiece": op8_sentencepiece,
@@ -86,6 +100,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash": sql.MINHASH,
+        "op3_html_extract": sql.PAGES,
         "op4_exact_dedup": sql.EXACT_DEDUP,
         "op7_secret_scan": sql.SECRETS,
         "op9_substring_dedup": sql.SUBSTRINGS,

@@ -72,6 +72,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM worded LEFT JOIN kept USING (doc_id)
 """
 
+# the generated pages have one article element without furniture inside
+PAGES = r"""
+WITH parts AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
+bare AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '</?(p|h1|br|div|li|ul)[^>]*>', ' ', 'g'), '</?[a-zA-Z][^>]*>', '', 'g') AS t FROM parts),
+decoded AS (
+  SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS t
+  FROM bare),
+tidy AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM decoded)
+SELECT page_id, url, text, length(text) AS n_chars FROM tidy
+"""
+
 
 def _spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
     """The spans of one kind: lengths of matches and of the gaps between them give the places."""
