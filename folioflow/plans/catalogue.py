@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from folioflow.plans import documents, relational, similarity
+from folioflow.plans.registry import Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    """Every query of the library by name."""
+    return similarity.R.queries | documents.R.queries | relational.R.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return similarity.R.sql | documents.R.sql | relational.R.sql
