@@ -5,7 +5,7 @@ of it is link text, its nearest container and whether it lies inside page furnit
 notices, adverts, forms, scripts, styles and reader comments, told by their tags, roles and the words of their classes and ids. Over the other lines
 the ratio of text to tags is smoothed by a Gaussian; lines above a share of the mean are the seeds of content regions. The
 container that holds most seed text is the article: an ``article`` or ``main`` element, or the page body. Inside an article element
-every line outside furniture is kept, short ones too; in a plain body, what lies between the first and last seed cluster.
+every line outside furniture is kept, short ones too; in a plain body, what lies between the first and last seed cluster and isn't all links.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined in page order by one space.
 Null and empty pages, and pages without text, give the empty text. Tags that aren't closed, or not opened, don't break anything. Rows are
@@ -36,7 +36,7 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond disqus replies reply widget toolbar copyright disclaimer skip".split()
 )
-KEYWORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+KEYWORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _is_furniture(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
@@ -46,12 +46,15 @@ def _is_furniture(tag: str, attrs: dict[str, str | None], in_article: bool) -> b
         return True
     if tag in ("html", "body", "main", "article") and not (tag == "article" and in_article):
         return False
-    named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    return named != " " and any(w.lower() in WORDS for w in KEYWORD.findall(named))
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        words = {w.lower() for w in KEYWORD.findall(name)} | {"".join(c for c in name.lower() if c.isalpha())}
+        if words & WORDS and not (in_article and words & {"header", "masthead"}):
+            return True
+    return False
 
 
 class _Lines(HTMLParser):
-    """Collects [text, tags, link characters, container, furniture] for every line."""
+    """Collects [text, tags, link characters, container] for every line outside furniture."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -65,8 +68,7 @@ class _Lines(HTMLParser):
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, furniture, container = self.stack[-1]
-            self.lines.append([text, self.tags, self.linked, container, furniture])
+            self.lines.append([text, self.tags, self.linked, self.stack[-1][2]])
         self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs) -> None:
@@ -102,6 +104,8 @@ class _Lines(HTMLParser):
         self.leave(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1][1]:
+            return
         self.text.append(data)
         if self.in_link > 0:
             self.linked += len(data)
@@ -123,7 +127,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = [x for x in parser.lines if not x[4]]
+    lines = parser.lines
     if not lines:
         return ""
     chars = np.array([len(x[0]) for x in lines], float)
@@ -138,6 +142,7 @@ def main_text(html: str | None) -> str:
         at = np.flatnonzero(seeds & keep)
         if len(at):
             keep[: at[0]] = keep[at[-1] + 1 :] = False
+            keep &= own > 0  # lines of nothing but links
     elif parser.kinds.count("article") > 1:  # articles side by side are all content if they hold seeds
         keep |= (container > 0) & (weight[container] > 0)
     return " ".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
