@@ -74,6 +74,7 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in BLOCKS:
             self.cut()
+            self.leave("head")
         if tag in CLOSES_P:
             self.leave("p", until=("article", "div", "section", "td", "li", "body"))
         self.tags += 1
