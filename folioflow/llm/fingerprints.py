@@ -125,22 +125,20 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     half = F.floor(F.char_length("text") / 2).cast("int")
     printed = fingerprint(base, F.col("text"), "fp").select("id", "th", half.alias("half"), "fp")
     thin = spill(printed, "fingerprints")
-    per_id = thin.filter("id IS NOT NULL").groupBy("id").agg(
-        F.collect_set(F.struct("th", "fp")).alias("prints"), F.max("half").alias("need"), F.min(F.struct("th", "fp")).alias("stand")
+    per_id = spill(
+        thin.filter("id IS NOT NULL").groupBy("id").agg(F.collect_set(F.struct("th", "fp")).alias("prints"), F.max("half").alias("need")), "fingerprints-by-id"
     )
-    linked = neighbours(per_id.select("id", "need", F.col("stand.th").alias("th"), F.col("stand.fp").alias("fp")))
-    linked = spill(
-        linked.join(per_id.select("id", "prints"), "id").select("id", "prints", F.col("th").alias("stand"), "next_fp", "prev_id", "prev_need"), "fingerprint-neighbours"
-    )
-    known = linked.withColumnRenamed("id", "l_id")
-    texts = base.select("id", "text")
-    met = texts.join(known, F.col("id") == F.col("l_id"))
+    beside = spill(neighbours(per_id.select("id", "need")).select(F.col("id").alias("b_id"), "prev_id", "prev_need"), "fingerprint-neighbours")
+    met = base.select("id", "text").join(per_id.select(F.col("id").alias("p_id"), "prints"), F.col("id") == F.col("p_id"))
+    stand = F.array_min("prints")
     heads = (
-        met.filter(F.xxhash64("text") == F.col("stand")).select(F.col("prev_id").alias("h_id"), F.substring(F.col("text"), F.lit(1), F.col("prev_need")).alias("head"))
-        .groupBy("h_id").agg(F.first("head").alias("head"))
+        # not an equality of two sides, which would become a key of the join and move the texts once more
+        met.join(beside, F.col("id") == F.col("b_id")).filter(F.exists(F.array(stand), lambda p: p["th"] == F.xxhash64("text")))
+        .select(F.col("prev_id").alias("h_id"), F.substring(F.col("text"), F.lit(1), F.col("prev_need")).alias("head"), stand["fp"].alias("next_fp"))
+        .groupBy("h_id").agg(F.first("head").alias("head"), F.first("next_fp").alias("next_fp"))
     )
     none = F.unhex(F.lit(EMPTY))
-    own = met.select("id", "text", F.filter("prints", lambda p: p["th"] == F.xxhash64("text"))[0]["fp"].alias("fp"), "next_fp")
+    own = met.select("id", "text", F.filter("prints", lambda p: p["th"] == F.xxhash64("text"))[0]["fp"].alias("fp"))
     both = own.join(heads, F.col("id") == F.col("h_id"), "left").select("id", "text", "fp", "next_fp", "head")
     lone = fingerprint(base.filter("id IS NULL").select("id", "text"), F.col("text"), "fp").select("id", "text", "fp", none.alias("next_fp"), F.lit("").alias("head"))
     both = both.unionByName(lone)
