@@ -65,7 +65,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and what they decode to."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepieces.decode(sentencepieces.encode(docs))
+    coded = sentencepieces.encode_and_decode(docs)
     return coded.select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),

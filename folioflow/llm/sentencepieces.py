@@ -32,8 +32,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NEVER = np.iinfo(np.int64).max
+PAIRS = 1 << 19  # places for neighbours that a worker remembers
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -93,10 +93,12 @@ def _merged(text: str, rank: dict[str, int]) -> list[tuple[str, str]]:
 
 @dataclass
 class Tables:
-    """A vocabulary as arrays: sorted hashes of pieces, and for each id its rank, length, hash and halves."""
+    """A vocabulary as arrays: sorted hashes of pieces and of their beginnings, and for each id its rank, length, hash and halves."""
 
     keys: np.ndarray
     ids: np.ndarray
+    heads: np.ndarray
+    head_ids: np.ndarray
     rank: np.ndarray
     length: np.ndarray
     hashes: np.ndarray
@@ -131,7 +133,10 @@ class Tables:
         pairs = {(ord(a) << 21) | ord(b) for p in text for a, b in zip(p, p[1:], strict=False)}
         raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in pieces]
         bytes_at = next((i for i, (_, _, kind) in enumerate(pieces) if kind == BYTE), 0)
-        return Tables(hashes[ids], ids, rank, length, hashes, left, right, np.array(sorted(pairs), np.int64), bytes_at, raw, int(length.max()))
+        begun = {_hash(p[:k]): -1 for p in (pieces[i][0] for i in usable) for k in range(1, len(p) + 1)} | {int(hashes[i]): i for i in usable}
+        heads = np.array(sorted(begun), U)
+        head_ids = np.array([begun[int(h)] for h in heads], np.int64)
+        return Tables(hashes[ids], ids, heads, head_ids, rank, length, hashes, left, right, np.array(sorted(pairs), np.int64), bytes_at, raw, int(length.max()))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The ids of pieces with these hashes, -1 where there is none."""
@@ -166,121 +171,199 @@ class Tables:
             self.cache["power"] = np.cumprod(np.concatenate([[U(1)], np.full(self.longest, BASE)]))
         return self.cache["power"]
 
-    def advance(self, words: np.ndarray) -> list[list[int]]:
-        """The ids of words of equal length, given as rows of code points."""
+    @property
+    def word(self) -> re.Pattern:
+        """What is encoded as one: a word with the spaces before it; a line end is one too, if no piece joins it to anything."""
+        if "word" not in self.cache:
+            joined = set((self.bigrams >> 21).tolist()) | set((self.bigrams & ((1 << 21) - 1)).tolist())
+            alone = "".join(c for c in "\n\r\t" if ord(c) not in joined)
+            self.cache["word"] = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
+        return self.cache["word"]
+
+    @property
+    def pieces(self) -> np.ndarray:
+        """The bytes that each id decodes to."""
+        if "pieces" not in self.cache:
+            self.cache["pieces"] = np.array(self.raw, object)
+        return self.cache["pieces"]
+
+    def permitted(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``allowed``, remembered pair by pair."""
+        if "pairs" not in self.cache:
+            self.cache["pairs"] = np.full(PAIRS, -1), np.zeros(PAIRS, bool)
+        keys, known = self.cache["pairs"]
+        wanted = a * len(self.rank) + b
+        at = ((wanted.astype(U) * BASE) >> U(40)).astype(np.int64) & (PAIRS - 1)
+        miss = np.flatnonzero(keys[at] != wanted)
+        out = known[at]
+        if len(miss):
+            new, back = np.unique(wanted[miss], return_inverse=True)
+            ok = self.allowed(new // len(self.rank), new % len(self.rank))
+            out[miss] = ok[back]
+            keys[at[miss]], known[at[miss]] = wanted[miss], out[miss]
+        return out
+
+    def advance(self, words: np.ndarray) -> list[bytes]:
+        """The ids of words of equal length, given as rows of code points; as bytes of 32-bit integers."""
         count, n = words.shape
         codes = words.astype(U) + U(1)
         last = np.full((count, n + 1), -1, np.int64)
-        sub: list[np.ndarray] = []
-        for size in range(1, min(n, self.longest) + 1):
-            sub.append(codes.copy() if size == 1 else sub[-1][:, :-1] * BASE + codes[:, size - 1 :])
-        found = [self.find(h.ravel()).reshape(h.shape) for h in sub]
+        found: list[np.ndarray] = []
+        row, start = np.divmod(np.arange(count * n), n)
+        h = np.zeros(len(row), U)
+        while len(row) and len(found) < self.longest:  # substrings that no piece begins with are followed no further
+            h = h * BASE + codes[row, start + len(found)]
+            at = np.minimum(np.searchsorted(self.heads, h), len(self.heads) - 1)
+            go = self.heads[at] == h
+            row, start, h, at = row[go], start[go], h[go], at[go]
+            ids = np.full((count, n), -1, np.int64)
+            ids[row, start] = self.head_ids[at]
+            found.append(ids)
+            room = start + len(found) < n
+            row, start, h = row[room], start[room], h[room]
         for end in range(1, n + 1):
-            for size in range(1, min(end, self.longest) + 1):
+            for size in range(1, min(end, len(found)) + 1):
                 piece, before = found[size - 1][:, end - size], last[:, end - size]
                 rows = np.flatnonzero((piece >= 0) & (last[:, end] < 0) & ((before >= 0) | (end == size)))
                 if len(rows) and end > size:
-                    rows = rows[self.allowed(before[rows], piece[rows])]
+                    rows = rows[self.permitted(before[rows], piece[rows])]
                 last[rows, end] = piece[rows]
-        sizes, out = self.length[last], []
-        for row, size in zip(last.tolist(), sizes.tolist(), strict=True):
-            ids, at = [], n
-            while at > 0:
-                ids.append(row[at])
-                at -= size[at]
-            out.append(ids[::-1])
-        return out
-
-    def parts(self, words: list[str]) -> list[list[str]]:
-        """Each word cut where no piece spans two neighbouring characters."""
+        ids, at = np.full((count, n), -1, np.int32), np.full(count, n)
+        rows = np.arange(count)
+        for k in range(n - 1, -1, -1):  # from the end, all words at once
+            ids[rows, k] = last[rows, at[rows]]
+            at[rows] -= self.length[ids[rows, k]]
+            rows = rows[at[rows] > 0]
+            if not len(rows):
+                break
+        used = (ids >= 0).sum(axis=1)
+        flat, ends = ids[ids >= 0].tobytes(), np.cumsum(used) * 4
+        return [flat[e - 4 * u : e] for e, u in zip(ends.tolist(), used.tolist(), strict=True)]
+
+    def parts(self, words: list[str]) -> dict[str, list[str]]:
+        """The words that can be cut, where no piece spans two neighbouring characters."""
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         pairs = (codes[:-1] << 21) | codes[1:]
         at = np.minimum(np.searchsorted(self.bigrams, pairs), len(self.bigrams) - 1)
         cuts = np.flatnonzero(self.bigrams[at] != pairs) + 1
-        ends = np.cumsum([len(w) for w in words])
-        first, last = np.searchsorted(cuts, ends - [len(w) for w in words], "right").tolist(), np.searchsorted(cuts, ends, "left").tolist()
-        out = []
-        for w, a, b, end in zip(words, first, last, ends.tolist(), strict=True):
-            if a == b:
-                out.append([w])
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        first, last = np.searchsorted(cuts, ends - sizes, "right"), np.searchsorted(cuts, ends, "left")
+        some = np.flatnonzero(first < last)
+        begins = (ends - sizes)[some].tolist()
+        listed, out = cuts.tolist(), {}
+        for i, a, b, begin in zip(some.tolist(), first[some].tolist(), last[some].tolist(), begins, strict=True):
+            w = words[i]
+            if b - a == 1:
+                at = listed[a] - begin
+                out[w] = [w[:at], w[at:]]
             else:
-                inner = [0, *(cuts[a:b] - (end - len(w))).tolist(), len(w)]
-                out.append([w[x:y] for x, y in zip(inner, inner[1:], strict=False)])
+                inner = [0, *[c - begin for c in listed[a:b]], len(w)]
+                out[w] = [w[x:y] for x, y in zip(inner, inner[1:], strict=False)]
         return out
 
-    def fill(self, words: set[str], known: dict[str, list[int]]) -> None:
-        """Encode ``words`` into ``known``."""
+    def fill(self, words: set[str], known: dict[str, bytes]) -> None:
+        """Encode ``words`` into ``known``: their ids as bytes of 32-bit integers."""
         listed = list(words)
-        cut = dict(zip(listed, self.parts(listed), strict=True))
-        by_length: dict[int, list[str]] = {}
-        for p in {p for ps in cut.values() for p in ps}:
-            by_length.setdefault(len(p), []).append(p)
-        own: dict[str, list[int]] = {}
-        for n, group in by_length.items():
-            step = max(1, 400_000 // (n * min(n, self.longest)))
-            for i in range(0, len(group), step):
-                some = group[i : i + step]
-                codes = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32).reshape(len(some), n)
-                if n > 1:
-                    own.update(zip(some, self.advance(codes), strict=True))
-                else:
+        cut = self.parts(listed)
+        own: dict[str, bytes] = {}
+        whole = [w for w in listed if w not in cut]
+        for group, into in ((whole, known), (list(set(chain.from_iterable(cut.values()))), own)):
+            group.sort(key=len)
+            sizes = np.fromiter(map(len, group), np.int64, len(group))
+            if not group:
+                continue
+            lengths, starts = np.unique(sizes, return_index=True)
+            for n, lo, hi in zip(lengths.tolist(), starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
+                step = max(1, 400_000 // (n * min(n, self.longest)))
+                for i in range(lo, hi, step):
+                    some = group[i : min(i + step, hi)]
+                    codes = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32).reshape(len(some), n)
+                    if n > 1:
+                        into.update(zip(some, self.advance(codes), strict=True))
+                        continue
                     for p, found in zip(some, self.find(codes[:, 0].astype(U) + U(1)).tolist(), strict=True):
-                        own[p] = [found] if found >= 0 else [self.bytes_at + b for b in p.encode("utf-8", "surrogatepass")]
+                        ids = [found] if found >= 0 else [self.bytes_at + b for b in p.encode("utf-8", "surrogatepass")]
+                        into[p] = np.array(ids, np.int32).tobytes()
         for w, ps in cut.items():
-            known[w] = own[ps[0]] if len(ps) == 1 else [i for p in ps for i in own[p]]
+            known[w] = b"".join([own[p] for p in ps])
 
-    def encode(self, texts: list[str | None], known: dict[str, list[int]]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], known: dict[str, bytes]) -> list[np.ndarray]:
         """The ids of each text; ``known`` keeps words from batch to batch."""
-        worded = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        find = self.word.findall
+        worded = [find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         missing = {w for ws in worded for w in ws if w not in known}
         if missing:
             self.fill(missing, known)
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.int32) for ws in worded]
+        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in worded]
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces are joined, and the space put before the text is taken off."""
         if ids is None or not len(ids):
             return ""
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(self.pieces[np.asarray(ids)].tolist()).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
-def load(spark: SparkSession, model: str = MODEL) -> Tables:
-    """The tables of the model at a path; a path with a scheme is read through Spark."""
-    if "://" in model:
-        return Tables.of(bytes(spark.read.format("binaryFile").load(model).first()["content"]))
-    with open(model, "rb") as f:
-        return Tables.of(f.read())
+_SHARED: dict[tuple[str, str], object] = {}
+
+
+def shared(spark: SparkSession, model: str = MODEL):
+    """The tables of the model at a path, broadcast once per application. A path with a scheme is read through Spark."""
+    key = (spark.sparkContext.applicationId, model)
+    if key not in _SHARED:
+        if "://" in model:
+            data = bytes(spark.read.format("binaryFile").load(model).first()["content"])
+        else:
+            with open(model, "rb") as f:
+                data = f.read()
+        _SHARED[key] = spark.sparkContext.broadcast(Tables.of(data))
+    return _SHARED[key]
+
+
+KNOWN = 250_000  # words that a worker keeps
 
 
-KNOWN = 200_000  # words that a task keeps
+def _encoded(tables: Tables, texts: list[str | None]) -> list[np.ndarray]:
+    """The ids of texts; words are remembered as long as the worker lives, over its tasks."""
+    known = tables.cache.setdefault("known", {})
+    if len(known) > KNOWN:
+        known.clear()
+    return tables.encode(texts, known)
 
 
 def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, out: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of ``text_col`` in the column ``out``, which replaces one of that name."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    tables = spark.sparkContext.broadcast(load(spark, model))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    tables = shared(docs.sparkSession, model)
 
     @F.pandas_udf("array<int>")
-    def ids(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, list[int]] = {}
-        for column in columns:
-            if len(known) > KNOWN:
-                known.clear()
-            yield pd.Series(tables.value.encode(column.tolist(), known), index=column.index, dtype=object)
+    def ids(column: pd.Series) -> pd.Series:
+        return pd.Series(_encoded(tables.value, column.tolist()), index=column.index, dtype=object)
 
-    return docs.withColumn(out, ids(F.col(text_col)))
+    return docs.withColumn(out, ids(F.col(f"`{text_col}`")))
 
 
 def decode(docs: DataFrame, ids_col: str = "token_ids", model: str = MODEL, out: str = "decoded") -> DataFrame:
     """``docs`` with the text of ``ids_col`` in the column ``out``, which replaces one of that name."""
-    spark = docs.sparkSession
-    tables = spark.sparkContext.broadcast(load(spark, model))
+    tables = shared(docs.sparkSession, model)
 
     @F.pandas_udf("string")
     def text(column: pd.Series) -> pd.Series:
         return pd.Series([tables.value.decode(x) for x in column], index=column.index, dtype=object)
 
-    return docs.withColumn(out, text(F.col(ids_col)))
+    return docs.withColumn(out, text(F.col(f"`{ids_col}`")))
+
+
+def encode_and_decode(docs: DataFrame, text_col: str = "text", model: str = MODEL, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one visit of a Python worker."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    tables = shared(docs.sparkSession, model)
+
+    @F.pandas_udf("ids array<int>, text string")
+    def both(column: pd.Series) -> pd.DataFrame:
+        made = _encoded(tables.value, column.tolist())
+        return pd.DataFrame({"ids": pd.Series(made, dtype=object), "text": pd.Series([tables.value.decode(x) for x in made], dtype=object)})
+
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (ids, decoded)]
+    return docs.withColumn("_coded", both(F.col(f"`{text_col}`"))).select(*kept, F.col("_coded.ids").alias(ids), F.col("_coded.text").alias(decoded))
