@@ -15,7 +15,7 @@ _ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F
 class WordHashes(dict):
     """64-bit hashes of words; the cache is emptied when it holds ``most`` of them."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 
@@ -37,9 +37,12 @@ def split(text: str | None, lower: bool = False) -> list[bytes]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
-    x = (x ^ (x >> U(32))) * _ODD[0]
-    x = (x ^ (x >> U(29))) * _ODD[1]
-    return x ^ (x >> U(32))
+    x = x ^ (x >> U(32))
+    x *= _ODD[0]
+    x ^= x >> U(29)
+    x *= _ODD[1]
+    x ^= x >> U(32)
+    return x
 
 
 def rolled(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -48,8 +51,10 @@ def rolled(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     if n <= 0:
         return np.empty(0, U)
     out = np.full(n, U(seed * 2 + 1), U)
+    factor = _ODD[2] + U(2 * seed)
     for i in range(k):
-        out = out * _ODD[2] + mix(h[i : i + n])
+        out *= factor
+        out += h[i : i + n]
     return mix(out)
 
 
