@@ -35,7 +35,7 @@ from folioflow.plans.materialize import spill
 BANDS, ROWS, BITS = 24, 4, 4
 MARGIN = 0.25
 BLOCK = 2048  # members of a bucket or family in half a block
-BLOCK_SHINGLES = 2_000_000  # and their shingles
+BLOCK_SHINGLES = 1_000_000  # and their shingles
 LANES = 64 // BITS
 LOW_BITS = 0x1111111111111111
 FEATURES = "id long, n_shingles long, k0 long, k1 long, sig array<long>, bands array<long>"
