@@ -1,23 +1,27 @@
 """Exact similarity search with the filter applied before ranking, and the experiments built on it.
 
-Queries are a bounded set (``MAX_QUERIES``, checked), shipped to the tasks as one matrix; each Arrow batch of the corpus is one matrix product,
-of which only the best k per query leave the task's batch. Ranks come from a window over those few rows. Nothing of
+Queries are taken in blocks of at most ``MAX_QUERIES``, each shipped to the tasks as one matrix; each Arrow batch of the corpus is multiplied with
+``SLICE`` queries at a time, and only the best k per query leave the task's batch. With more than one block, each is searched and written before the next. Ranks come from a window over those few rows. Nothing of
 the corpus is collected or broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions.vectors import unscoped
+from folioflow.plans.materialize import spill
 
 MAX_QUERIES = 10_000
+SLICE = 256  # queries multiplied with a batch at once
 DIGITS = 6  # similarities are ranked as rounded, ties by id, so that any engine finds the same rows
 
 
@@ -27,10 +31,17 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Fal
     ``queries`` has query_id, embedding and classes: null or empty asks without a filter, else only rows that bind one of the classes, or
     none at all, are eligible. Fewer eligible rows give fewer results; k of 0 or less gives none.
     """
-    asked = queries.select("query_id", "embedding", "classes").limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: run them in blocks")
-    ids = [r["query_id"] for r in asked]
+    blocks = batched(queries.select("query_id", "embedding", "classes").toLocalIterator(), MAX_QUERIES)
+    found, done = _topk(corpus, next(blocks, ()), k, exclude_self), []
+    for block in blocks:  # written before the next one is made: the driver holds one block
+        done.append(spill(found, "topk"))
+        found = _topk(corpus, block, k, exclude_self)
+    return reduce(DataFrame.unionByName, done, found)
+
+
+def _topk(corpus: DataFrame, asked: Sequence[Row], k: int, exclude_self: bool) -> DataFrame:
+    """``topk`` for one block of queries."""
+    ids = np.array([r["query_id"] for r in asked], np.int64)
     matrix = np.array([r["embedding"] for r in asked], np.float64) if asked else np.zeros((0, 0))
     classes = [frozenset(r["classes"] or ()) for r in asked]
     wanted = sorted(set().union(*classes)) if all(classes) and classes else []
@@ -43,23 +54,28 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Fal
         for frame in frames:
             if not len(frame) or not len(ids) or k <= 0:
                 continue
-            own = frame["id"].to_numpy()
-            sims = np.round(np.stack(frame["embedding"].to_numpy()).astype(np.float64) @ matrix.T, DIGITS)
-            bound = [frozenset(a) for a in frame["applies_to"]] if any(classes) else []
-            out = []
-            for q, name in enumerate(ids):
-                fit = np.ones(len(own), bool)
-                if classes[q]:
-                    fit = np.fromiter((not b or not b.isdisjoint(classes[q]) for b in bound), bool, len(bound))
+            own, applies = frame["id"].to_numpy(), frame["applies_to"].to_numpy()
+            vectors = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
+            bound = [frozenset(a) for a in applies] if any(classes) else []
+            fits = {c: np.fromiter((not b or not b.isdisjoint(c) for b in bound), bool, len(bound)) for c in set(classes) if c}
+            for at in range(0, len(ids), SLICE):
+                names = ids[at : at + SLICE]
+                sims = np.round(vectors @ matrix[at : at + SLICE].T, DIGITS)
+                fit = np.ones(sims.shape, bool)
+                for q, c in enumerate(classes[at : at + SLICE]):
+                    if c:
+                        fit[:, q] = fits[c]
                 if exclude_self:
-                    fit &= own != name
-                at = np.flatnonzero(fit)
-                if len(at) > k:
-                    least = np.partition(sims[at, q], len(at) - k)[len(at) - k]
-                    at = at[sims[at, q] >= least]
-                at = at[np.lexsort((own[at], -sims[at, q]))][:k]
-                out.append(pd.DataFrame({"query_id": name, "id": own[at], "sim": sims[at, q], "applies_to": frame["applies_to"].to_numpy()[at]}))
-            yield pd.concat(out, ignore_index=True)
+                    fit &= own[:, None] != names
+                if len(own) > k:
+                    sims[~fit] = -np.inf
+                    fit &= sims >= np.partition(sims, len(own) - k, axis=0)[len(own) - k]
+                row, q = np.nonzero(fit)
+                order = np.lexsort((own[row], -sims[row, q], q))
+                row, q = row[order], q[order]
+                first = np.arange(len(q)) - np.searchsorted(q, q) < k
+                row, q = row[first], q[first]
+                yield pd.DataFrame({"query_id": names[q], "id": own[row], "sim": sims[row, q], "applies_to": applies[row]})
 
     found = rows.mapInPandas(best, "query_id long, id long, sim double, applies_to array<string>")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
@@ -70,7 +86,7 @@ def precision(results: DataFrame, asked: DataFrame) -> DataFrame:
     """Hits, returned rows and their share per query, and a total (query_id null). ``asked`` has query_id and class; rows that bind no class are misses."""
     hit = F.coalesce(F.array_contains("applies_to", F.col("class")), F.lit(False)).cast("int")
     return (
-        results.join(F.broadcast(asked.select("query_id", "class")), "query_id").withColumn("hit", hit).rollup("query_id")
+        results.join(asked.select("query_id", "class"), "query_id").withColumn("hit", hit).rollup("query_id")
         .agg(F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("hits"), F.count("*").alias("returned"))
         .withColumn("precision", F.col("hits") / F.greatest("returned", F.lit(1)))
     )

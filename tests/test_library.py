@@ -167,6 +167,23 @@ def test_search_filters_before_ranking(spark):
     assert ask(None) == [1, 5, 2, 4, 3] and ask(["b"]) == [2, 4, 3] and ask(["a", "b"], 2) == [1, 5] and ask(["zzz"], 1) == [4] and ask(None, 0) == []
 
 
+def test_search_takes_queries_in_blocks(spark, monkeypatch):
+    corpus = vectors(spark, [(i, [float(i % 7), float(i % 5 + 1)], [str(i % 3)] if i % 4 else None) for i in range(60)])
+    queries = corpus.filter("id % 5 = 0").selectExpr("id AS query_id", "embedding", "CASE WHEN id % 2 = 0 THEN array('1') END AS classes")
+    whole = sorted(map(tuple, search.topk(corpus, queries, 4, exclude_self=True).select("query_id", "rank", "id", "sim").collect()))
+    monkeypatch.setattr(search, "MAX_QUERIES", 5)
+    monkeypatch.setattr(search, "SLICE", 2)
+    blocks = sorted(map(tuple, search.topk(corpus, queries, 4, exclude_self=True).select("query_id", "rank", "id", "sim").collect()))
+    assert blocks == whole and len(whole) == 4 * 12 and search.topk(corpus, queries.limit(0), 4).count() == 0
+
+
+def test_due_queries_grow_with_the_table(spark):
+    from folioflow.plans import catalogue
+
+    got = catalogue.queries()["topk_unfiltered_due"](spark, "/root/testdata/sf0.1")
+    assert sorted({r.query_id for r in got.collect()}) == list(range(0, 2000, 100)) and got.count() == 200
+
+
 def test_verification_outcomes(spark):
     cites = [{"source_id": 1, "quote": "The  BANK\nshall"}, {"source_id": 2, "quote": "the bank shall"}, {"source_id": 9, "quote": "second"}, {"source_id": 0, "quote": ""}, {"source_id": 1, "quote": "absent"}]
     df = spark.createDataFrame([(cites, ["the bank shall keep", "a second one"], ["n1", "n2"])], "c array<struct<source_id:int,quote:string>>, t array<string>, n array<string>")
