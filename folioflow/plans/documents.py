@@ -198,6 +198,14 @@ chunks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY idx)
 """
 
 
+@R.add(CHUNK_SQL + "SELECT doc_id, pos::INT AS position, level FROM levels")
+def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heading level of every line with text in the documents, null for what is no heading; positions count all lines from 1."""
+    lines = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
+    lines = lines.select("doc_id", (F.col("at") + 1).alias("position"), F.trim("line").alias("line")).filter("line <> ''")
+    return lines.select("doc_id", "position", X.heading_level(F.col("line")).alias("level"))
+
+
 @R.add(CHUNK_SQL + "SELECT doc_id, chunk_index, section, n_chars, md5(text) AS text_md5 FROM chunks")
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_chunks(spark, sf_dir).select("doc_id", "chunk_index", "section", "n_chars", F.md5("text").alias("text_md5"))

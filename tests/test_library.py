@@ -167,6 +167,15 @@ def test_search_filters_before_ranking(spark):
     assert ask(None) == [1, 5, 2, 4, 3] and ask(["b"]) == [2, 4, 3] and ask(["a", "b"], 2) == [1, 5] and ask(["zzz"], 1) == [4] and ask(None, 0) == []
 
 
+def test_headings_of_every_line(spark, tmp_path):
+    from folioflow.plans import catalogue
+
+    text = "Chapter II Applicability\n\n  3. Short Title\nplain words\n" + "1. The bank shall keep records. " * 8
+    spark.createDataFrame([(1, text), (2, None), (3, "Preamble")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalogue.queries()["heading_lines"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 1, 0), (1, 3, 1), (1, 4, None), (1, 5, None), (3, 1, 0)]
+
+
 def test_search_takes_queries_in_blocks(spark, monkeypatch):
     corpus = vectors(spark, [(i, [float(i % 7), float(i % 5 + 1)], [str(i % 3)] if i % 4 else None) for i in range(60)])
     queries = corpus.filter("id % 5 = 0").selectExpr("id AS query_id", "embedding", "CASE WHEN id % 2 = 0 THEN array('1') END AS classes")
