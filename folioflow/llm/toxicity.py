@@ -1,6 +1,7 @@
 """Toxicity by a weighted lexicon, matched by an Aho-Corasick automaton.
 
-Texts are folded first: case, homoglyphs of other alphabets, and digits or signs that stand for letters inside a word. The lexicon and its
+Texts are folded first: case, homoglyphs of other alphabets, and digits or signs that stand for letters in a word. A spelling that can be
+read in several ways (1 for i or l; @ or $ at the start or end, a letter or none) is read as the lexicon word among its readings. The lexicon and its
 weights are learned from a bounded sample of labelled rows (``TRAIN_ROWS``): a word's weight is its log-odds between toxic and
 clean documents, and words enter by their G statistic. A word counts once for each pair of neighbours it is seen with, so copies of one
 document don't make its words look telling. Phrases of two words that are common in clean documents are exceptions: their words don't count. The
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -35,18 +37,35 @@ THRESHOLD = 0.7
 HOMOGLYPHS = str.maketrans("авеіјкмнорстухԁѕαειοκνρτυχ", "abeijkmhopctyxdsaeiokvptyx")
 # fixed values: digits and signs written for letters
 DIGITS = str.maketrans("0134578@$", "oieastbas")
-TOKEN = re.compile(r"[^\W_]+(?:[@$]+[^\W_]+)*")
+SIGNS = "@$"
+TOKEN = re.compile(r"[@$]{0,2}[^\W_]+(?:[@$]+[^\W_]+)*(?:[@$]{1,2}(?![@$]))?")  # three signs and more at the end are a rule, not letters
 HAS_DIGIT = re.compile(r"[013457 8@$]")
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "idiot proof")
 
 
-def fold(text: str | None) -> list[str]:
-    """The folded words of a text."""
+def fold(text: str | None, known: dict[str, list[str]] | None = None) -> list[str]:
+    """The folded words of a text. A spelling with several readings takes the one in ``known`` (see ``Lexicon.readings``), if any."""
     low = (text or "").lower()
     if not low.isascii():
         low = low.translate(HOMOGLYPHS)
-    words = TOKEN.findall(low)
-    return [w if w.isalpha() or w.isdigit() else w.translate(DIGITS) for w in words]
+    return [w if w.isalpha() or w.isdigit() else _read(w, known) for w in TOKEN.findall(low)]
+
+
+def _read(token: str, known: dict[str, list[str]] | None) -> str:
+    """A word written with digits or signs: 1 is i or l, a sign at either end is a letter or none."""
+    core = token.strip(SIGNS)
+    if core.isdigit():
+        return core
+    if known:
+        lead, trail = len(token) - len(token.lstrip(SIGNS)), len(token) - len(token.rstrip(SIGNS))
+        for i in range(lead + 1):
+            for j in range(trail + 1):
+                part = token[i : len(token) - j]
+                turned = part.translate(DIGITS)
+                for word in known.get(turned.replace("l", "i"), ()):
+                    if all(w == t or (p == "1" and w == "l") for w, t, p in zip(word, turned, part, strict=True)):
+                        return word
+    return token.translate(DIGITS)
 
 
 @dataclass
@@ -57,6 +76,14 @@ class Lexicon:
     exceptions: dict[str, list[str]] = field(default_factory=dict)
     curve: tuple[float, ...] = ()
 
+    @cached_property
+    def readings(self) -> dict[str, list[str]]:
+        """The words by their spelling with i for l."""
+        found: dict[str, list[str]] = {}
+        for word in self.weights:
+            found.setdefault(word.replace("l", "i"), []).append(word)
+        return found
+
     def automaton(self):
         """Words and phrases between spaces; a phrase takes back the weights of its words."""
         found = ahocorasick.Automaton()
@@ -72,7 +99,7 @@ class Lexicon:
 
     def features(self, text: str | None, automaton) -> tuple[float, float]:
         """(log of the weights found, log of the weights found per hundred words)."""
-        words = fold(text)
+        words = fold(text, self.readings)
         if not words or not self.weights:
             return 0.0, 0.0
         total = max(0.0, sum(gain for _, gain in automaton.iter(f" {' '.join(words)} ")))

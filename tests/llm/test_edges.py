@@ -173,6 +173,16 @@ def test_exception_phrases_take_weights_back():
     assert lexicon.features("the trash can", auto)[0] == 0.0 and lexicon.features("the tr4sh", auto)[0] > 1.0 and lexicon.features("the trаsh", auto)[0] > 1.0
 
 
+def test_every_reading_of_a_spelling_counts():
+    lexicon = toxicity.Lexicon({w: 3.0 for w in ("stupid", "loser", "clown", "worthless", "idiot", "ass")}, {}, (0.0, 1.0, 0.0))
+    auto = lexicon.automaton()
+    for text in ("so $tupid", "1oser", "a c1own", "worth1ess", "W0RTH1E$$!", "@ss", "@id1ot", "idiot$", "$$tupid", "1D10T", "(@$tupid)", "a$$"):
+        assert lexicon.features(text, auto)[0] > 1.0, text
+    for text in ("$5 and 100$", "me@example.org", "ioser", "$ tupid", "tupid", "1", "@", "c1oun", "11", "a$$$$$"):
+        assert lexicon.features(text, auto)[0] == 0.0, text
+    assert toxicity.fold("pay $100 or 5@ to $tupid b4d") == ["pay", "100", "or", "5", "to", "stupid", "bad"]
+
+
 def test_secrets(docs, none):
     got = {}
     for r in secrets.scan_secrets(docs).select("doc_id", secrets.written(F.col("secret_spans")).alias("s")).collect():
