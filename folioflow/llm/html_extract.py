@@ -2,7 +2,8 @@
 
 The standard library's parser streams events. Block-level tags cut the stream into lines; each line knows its text, its tags, how much
 of it is link text, its nearest container and whether it lies inside page furniture: menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments, told by their tags, roles and the words of their classes and ids. Over the other lines
+notices, adverts, forms, scripts, styles and reader comments, told by their tags, roles and the words of their classes and ids. Words alone don't make
+furniture of what holds the page's ``article`` or ``main`` elements, those inside the fewest elements with such words. Over the other lines
 the ratio of text to tags is smoothed by a Gaussian; lines above a share of the mean are the seeds of content regions. The
 container that holds most seed text is the article: an ``article`` or ``main`` element, or the page body. Inside an article element
 every line outside furniture is kept, short ones too; in a plain body, what lies between the first and last seed cluster and isn't all links.
@@ -36,17 +37,26 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond disqus replies reply widget toolbar copyright disclaimer skip".split()
 )
+PREFIXES = ("has-", "with-", "no-", "has_", "with_", "no_")  # of names that tell what lies inside, or doesn't
 KEYWORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _is_furniture(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
+    """Whether the tag or a role makes an element furniture."""
     if tag in FURNITURE:
         return not (tag == "header" and in_article)
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
         return True
+    return False
+
+
+def _is_named_so(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
+    """Whether a class or id has a word of furniture."""
     if tag in ("html", "body", "main", "article") and not (tag == "article" and in_article):
         return False
     for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        if name.lower().startswith(PREFIXES):
+            continue
         words = {w.lower() for w in KEYWORD.findall(name)} | {"".join(c for c in name.lower() if c.isalpha())}
         if words & WORDS and not (in_article and words & {"header", "masthead"}):
             return True
@@ -58,18 +68,34 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = []
-        self.text: list[str] = []
-        self.tags = self.linked = 0
-        self.stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, inside furniture, container
+        self.found: list[tuple[list, int, int]] = []  # pieces, tags, container
+        self.text: list[tuple[str, bool, int]] = []  # text, in a link, innermost named element
+        self.tags = 0
+        self.stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # tag, inside furniture, container, innermost named element
+        self.named = [(0, 0)]  # elements with words of furniture: the one around and the depth
+        self.articles: list[int] = []  # the innermost named element around each
         self.kinds = ["body"]  # of containers
         self.in_link = 0
 
     def cut(self) -> None:
-        text = " ".join("".join(self.text).split())
-        if text:
-            self.lines.append([text, self.tags, self.linked, self.stack[-1][2]])
-        self.text, self.tags, self.linked = [], 0, 0
+        if self.text:
+            self.found.append((self.text, self.tags, self.stack[-1][2]))
+        self.text, self.tags = [], 0
+
+    def lines(self) -> list[list]:
+        """The lines, once the page has ended: of the named elements only those around the outermost articles aren't furniture."""
+        least = min((self.named[n][1] for n in self.articles), default=0)
+        shown = {0}
+        for n in self.articles:
+            while self.named[n][1] <= least and n not in shown:
+                shown.add(n)
+                n = self.named[n][0]
+        out = []
+        for pieces, tags, container in self.found:
+            text = " ".join("".join(t for t, _, n in pieces if n in shown).split())
+            if text:
+                out.append([text, tags, sum(len(t) for t, linked, n in pieces if linked and n in shown), container])
+        return out
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in BLOCKS:
@@ -80,19 +106,23 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, furniture, container = self.stack[-1]
+        _, furniture, container, named = self.stack[-1]
         in_article = self.kinds[container] == "article"
         furniture = furniture or _is_furniture(tag, dict(attrs), in_article)
+        if not furniture and _is_named_so(tag, dict(attrs), in_article):
+            self.named.append((named, self.named[named][1] + 1))
+            named = len(self.named) - 1
         if tag in ("article", "main") and not furniture and not in_article:
             self.kinds.append("article")
             container = len(self.kinds) - 1
-        self.stack.append((tag, furniture, container))
+            self.articles.append(named)
+        self.stack.append((tag, furniture, container, named))
         self.in_link += tag == "a"
 
     def leave(self, tag: str, until: tuple[str, ...] = ()) -> None:
         for at in range(len(self.stack) - 1, 0, -1):
             if self.stack[at][0] == tag:
-                self.in_link -= sum(t == "a" for t, _, _ in self.stack[at:])
+                self.in_link -= sum(x[0] == "a" for x in self.stack[at:])
                 del self.stack[at:]
                 return
             if self.stack[at][0] in until:
@@ -105,11 +135,9 @@ class _Lines(HTMLParser):
         self.leave(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.stack[-1][1]:
-            return
-        self.text.append(data)
-        if self.in_link > 0:
-            self.linked += len(data)
+        _, furniture, _, named = self.stack[-1]
+        if not furniture:
+            self.text.append((data, self.in_link > 0, named))
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -128,7 +156,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = parser.lines
+    lines = parser.lines()
     if not lines:
         return ""
     chars = np.array([len(x[0]) for x in lines], float)

@@ -233,6 +233,21 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_wrappers_named_like_furniture():
+    body = "<h1>Title</h1><p>" + "Long running text of a page. " * 9 + "</p>"
+    want = "Title " + ("Long running text of a page. " * 9).strip()
+    side = '<div class="sidebar"><p>side links here</p></div>'
+    for around in ('class="layout has-sidebar"', 'id="page" class="no-comments"', 'class="with-nav"', 'class="sidebar-layout"', 'id="page-header-wrap"'):
+        for tag in ("article", "main"):
+            assert html_extract.main_text(f"<body><div {around}><{tag}>{body}</{tag}>{side}</div></body>") == want
+    assert html_extract.main_text(f'<div class="header"><div class="nav-wrap"><article>{body}</article></div></div>{side}') == want
+    reader = '<div id="comments"><article class="comment"><p>' + "Nice post indeed. " * 20 + "</p></article></div>"
+    assert html_extract.main_text(f"<body><article>{body}</article>{reader}</body>") == want
+    assert html_extract.main_text(f'<body><div class="widget-page"><article>{body}</article>{reader}</div></body>') == want
+    plain = html_extract.main_text(f'<body><div class="no-sidebar">{body}</div><div class="share">x</div></body>')
+    assert want.endswith(plain) and len(plain) > 200
+
+
 def test_pipeline_stages(docs, none, spark):
     import corpus_pipeline as P
 
