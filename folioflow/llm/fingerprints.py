@@ -7,8 +7,8 @@ changes no k-mer, so likeness follows edit distance. A slot without elements is
 fingerprints is the share of equal slots among those that either fills.
 
 A text with fewer words than K is one k-mer; a text without words (null too) has the fingerprint of zeros, and two such texts have likeness 1. Equal
-texts have equal fingerprints. Per document the work is two sorts of longs, each of 43 bits of hash and 21 bits of place. Nothing is sampled: every word of a text
-enters.
+texts have equal fingerprints. Per document the work is two sorts of longs, each of 43 bits of hash and 21 bits of place; a text with more places than that sorts pairs of the
+same hash and the whole place. Nothing is sampled: every word of a text enters.
 
 ``neighbours`` ties each id to the next larger one without a global sort in one task: ids are dealt to blocks
 between approximate quantiles, neighbours are found within blocks, and block ends are tied through one row per block. The
@@ -52,27 +52,85 @@ def fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
     names = df.columns
     df = df.withColumn("_w", words(text))
     n, w = F.size("_w"), F.col("_w")
+    kmers = F.when(n >= K, n - K + 1).otherwise(F.least(n, F.lit(1)))
     kmer = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(K)])
-    placed = lambda h, i: h.bitwiseAND(F.lit(HASH)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(PLACE)))
-    df = df.withColumn("_k", F.sort_array(F.transform(_places(F.when(n >= K, n - K + 1).otherwise(F.least(n, F.lit(1)))), lambda i: placed(kmer(i), i))))
-    df = df.withColumn("_r", _run_starts(F.col("_k"), lambda x: x.bitwiseAND(F.lit(HASH))))
-    occurrence = F.flatten(F.transform("_r", lambda at, j: F.sequence(F.lit(0), F.coalesce(F.get("_r", j + 1), F.size("_k")) - at - 1)))
-    df = df.withColumn("_e", F.sort_array(F.zip_with("_k", occurrence, lambda x, o: placed(F.xxhash64(x.bitwiseAND(F.lit(HASH)), F.coalesce(o, F.lit(0))), x.bitwiseAND(F.lit(PLACE))))))
-    slot = lambda x: F.shiftrightunsigned(x, SLOT_SHIFT)
-    df = df.withColumn("_s", _run_starts(F.col("_e"), slot))
-
-    def tuple_of(at: Column) -> Column:
-        """The slot's elements in text order, hashed."""
-        mine = F.filter(F.slice("_e", at + 1, PICK), lambda x: slot(x) == slot(F.get("_e", at)))
+    wide = kmers > PLACE + 1
+    for way, count in ((_PACKED, F.when(~wide, kmers)), (_WIDE, F.when(wide, kmers))):
+        df = way.elements(df, F.coalesce(count, F.lit(0)), kmer)
+    filled = F.when(wide, _WIDE.slots()).otherwise(_PACKED.slots())
+    return df.withColumn(out, F.unhex(filled)).select(*names, out)
+
+
+class _Packed:
+    """Elements as longs: hash above, place below."""
+
+    name = "p"
+
+    def placed(self, h: Column, i: Column) -> Column:
+        return h.bitwiseAND(F.lit(HASH)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(PLACE)))
+
+    def hash_of(self, x: Column) -> Column:
+        return x.bitwiseAND(F.lit(HASH))
+
+    def place_of(self, x: Column) -> Column:
+        return x.bitwiseAND(F.lit(PLACE))
+
+    def in_text_order(self, mine: Column) -> Column:
         turned = lambda x: F.shiftleft(x.bitwiseAND(F.lit(PLACE)), 64 - PLACE_BITS).bitwiseOR(F.shiftrightunsigned(x, PLACE_BITS))
         order = F.sort_array(F.transform(mine, turned))  # by place, then hash
-        return F.xxhash64(F.transform(order, lambda x: x.bitwiseAND(F.lit((1 << (64 - PLACE_BITS)) - 1)))).bitwiseAND(F.lit(0xFFFF))
+        return F.transform(order, lambda x: x.bitwiseAND(F.lit((1 << (64 - PLACE_BITS)) - 1)))
 
-    entries = F.transform("_s", lambda at: F.struct(slot(F.get("_e", at)).cast("int").alias("k"), F.greatest(tuple_of(at), F.lit(1).cast("long")).alias("v")))
-    spread = lambda m: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.lpad(F.hex(F.coalesce(m[i], F.lit(0).cast("long"))), 4, "0")), "")
-    # an array of one element binds the map to a name: it is made once, not once per slot
-    filled = F.when(F.size("_s") > 0, F.transform(F.array(F.map_from_entries(entries)), spread)[0]).otherwise(EMPTY)
-    return df.withColumn(out, F.unhex(filled)).select(*names, out)
+    def elements(self, df: DataFrame, count: Column, kmer) -> DataFrame:
+        """``df`` with the elements in order of hash, and where each slot begins in them."""
+        k, r, e, s = (f"_{c}{self.name}" for c in "kres")
+        df = df.withColumn(k, F.sort_array(F.transform(_places(count), lambda i: self.placed(kmer(i), i))))
+        df = df.withColumn(r, _run_starts(F.col(k), self.hash_of))
+        occurrence = F.flatten(F.transform(r, lambda at, j: F.sequence(F.lit(0), F.coalesce(F.get(r, j + 1), F.size(k)) - at - 1)))
+        element = lambda x, o: self.placed(F.xxhash64(self.hash_of(x), F.coalesce(o, F.lit(0))), self.place_of(x))
+        df = df.withColumn(e, F.sort_array(F.zip_with(k, occurrence, element)))
+        return df.withColumn(s, _run_starts(F.col(e), self.slot))
+
+    def slot(self, x: Column) -> Column:
+        return F.shiftrightunsigned(x, SLOT_SHIFT)
+
+    def slots(self) -> Column:
+        """The 64 slots in hexadecimal."""
+        e, s = f"_e{self.name}", f"_s{self.name}"
+
+        def tuple_of(at: Column) -> Column:
+            """The slot's elements in text order, hashed."""
+            mine = F.filter(F.slice(e, at + 1, PICK), lambda x: self.slot(x) == self.slot(F.get(e, at)))
+            return F.xxhash64(self.in_text_order(mine)).bitwiseAND(F.lit(0xFFFF))
+
+        entries = F.transform(s, lambda at: F.struct(self.slot(F.get(e, at)).cast("int").alias("k"), F.greatest(tuple_of(at), F.lit(1).cast("long")).alias("v")))
+        spread = lambda m: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.lpad(F.hex(F.coalesce(m[i], F.lit(0).cast("long"))), 4, "0")), "")
+        # an array of one element binds the map to a name: it is made once, not once per slot
+        return F.when(F.size(s) > 0, F.transform(F.array(F.map_from_entries(entries)), spread)[0]).otherwise(EMPTY)
+
+
+class _Wide(_Packed):
+    """Elements as pairs of the same hash and a whole place, for texts with more places than PLACE."""
+
+    name = "w"
+
+    def placed(self, h: Column, i: Column) -> Column:
+        return F.struct(h.bitwiseAND(F.lit(HASH)).alias("h"), i.alias("i"))
+
+    def hash_of(self, x: Column) -> Column:
+        return x["h"]
+
+    def place_of(self, x: Column) -> Column:
+        return x["i"]
+
+    def slot(self, x: Column) -> Column:
+        return F.shiftrightunsigned(x["h"], SLOT_SHIFT)
+
+    def in_text_order(self, mine: Column) -> Column:
+        order = F.sort_array(F.transform(mine, lambda x: F.struct(x["i"].alias("i"), F.shiftrightunsigned(x["h"], PLACE_BITS).alias("h"))))
+        return F.transform(order, lambda x: x["h"])
+
+
+_PACKED, _WIDE = _Packed(), _Wide()
 
 
 def likeness(a: Column, b: Column) -> Column:

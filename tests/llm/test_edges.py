@@ -129,6 +129,15 @@ def test_order_matters_to_fingerprints(spark):
     assert r.turned < r.near < 1.0
 
 
+def test_fingerprints_keep_order_past_the_packed_places(spark, monkeypatch):
+    """With room for few places, longer texts have the fingerprints they have with room for all."""
+    texts = [" ".join(f"w{i % m}" for i in range(n)) for n, m in ((3, 9), (16, 5), (17, 17), (18, 4), (300, 300), (700, 90))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    whole = fingerprints.fingerprint(df, F.col("t"), "f").orderBy("i").collect()
+    monkeypatch.setattr(fingerprints, "PLACE", 15)
+    assert fingerprints.fingerprint(df, F.col("t"), "f").orderBy("i").collect() == whole
+
+
 def test_languages(docs, none, spark):
     model = language_id.train(docs)
     got = {}
