@@ -45,6 +45,17 @@ def test_languages_on_held_out_rows(spark):
     assert (held["lang_pred"] == held["lang"]).mean() > 0.97 and got["rejected"].mean() < 0.01 and got["score"].between(0, 1).all()
 
 
+def test_a_language_left_out_is_rejected(spark):
+    from folioflow.llm import language_id
+
+    docs = documents(spark, MIDDLE).dropna(subset=["text", "lang"])
+    held = docs["doc_id"].map(is_held_out)
+    for lang in sorted(docs["lang"].unique()):
+        model = language_id.fit([(t, own) for t, own in zip(docs["text"][~held], docs["lang"][~held], strict=True) if own != lang])
+        judged = [model.judge(t)[2] for t in docs["text"][held & (docs["lang"] == lang)] if len(t) > 100]
+        assert len(judged) > 20 and sum(judged) >= 0.97 * len(judged), lang
+
+
 def test_toxicity_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{MIDDLE}/labels.parquet").toPandas()
     got = registry.op2_toxicity(spark, MIDDLE).toPandas()
