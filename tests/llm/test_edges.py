@@ -230,6 +230,46 @@ def test_pieces(docs, none, spark):
     assert coded.columns == [*docs.columns, "token_ids", "decoded"] and sentencepieces.encode(none).count() == 0
 
 
+def test_pieces_beside_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a b", 1, 2, 3, 4, 5), (None, 1, 2, 3, 4, 5)], "text string, doc int, made int, ids int, token_ids int, _coded int")
+    out = sentencepieces.encode_and_decode(df)
+    assert out.columns == ["text", "doc", "made", "ids", "_coded", "token_ids", "decoded"]
+    assert sorted((r.decoded, len(r.token_ids), r.doc, r.made, r.ids, r._coded) for r in out.collect()) == [("", 0, 1, 2, 3, 5), ("a b", 2, 1, 2, 3, 5)]
+
+
+def test_pieces_of_random_texts_equal_the_library(monkeypatch):
+    import random
+
+    sp = pytest.importorskip("sentencepiece")
+    library = sp.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    with open(sentencepieces.MODEL, "rb") as f:
+        tables = sentencepieces.Tables.of(f.read())
+    rng = random.Random(5)
+    letters = "  \n\tabcdeeiooutnshr.,;:(){}=+-_0123456789АбвгдеёйéüßñçΩ你好世界\U0001f600\u2581ﬁ\u200b"
+    texts = [None, "", " ", "  ", "\n", "\u2581", "a", "x" * 3000, "ab" * 2000, " " * 100, "the " * 2000]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 8, 60, 300]))) for _ in range(2000)]
+    monkeypatch.setattr(sentencepieces, "CELLS", 5000)
+    ids, counts = tables.encode(texts)
+    for text, own in zip(texts, [ids[e - n : e].tolist() for e, n in zip(counts.cumsum().tolist(), counts.tolist(), strict=True)], strict=True):
+        assert own == library.encode(text or "") and tables.decode(own) == (text or "").replace("\u2581", " ")
+    # words that share a hash are told apart: here all of equal length do
+    monkeypatch.setattr(sentencepieces, "BASE", sentencepieces.U(0))
+    codes = sentencepieces.np.array([97, 98, 97, 97], sentencepieces.np.uint32)
+    tables.cache.pop("powers")
+    first, kind = tables.distinct(codes, sentencepieces.np.arange(4))
+    assert [chr(codes[first[k]]) for k in kind] == ["a", "b", "a", "a"]
+
+
+def test_other_models_are_refused():
+    field = lambda n, value: bytes([n << 3]) + bytes([value]) if isinstance(value, int) else bytes([n << 3 | 2, len(value)]) + value
+    pieces = field(1, field(1, b"a")) + field(1, field(1, b"b"))
+    identity = field(3, field(1, b"identity") + field(4, 0))
+    assert len(sentencepieces.Tables.of(pieces + field(2, field(3, 2)) + identity).rank) == 2
+    for model in (pieces + field(2, field(3, 1)) + identity, pieces + identity, pieces + field(2, field(3, 2)) + field(3, field(2, b"rules") + field(4, 0)), pieces + field(2, field(3, 2))):
+        with pytest.raises(ValueError):
+            sentencepieces.Tables.of(model)
+
+
 def test_html(spark):
     pages = spark.createDataFrame([
         (1, "<nav><a>menu</a></nav><article><h1>Title</h1><p>A &amp; B  text\n here<p>More<b>bold</b></article><div class='sidebar'>side</div><footer>foot</footer>"),
