@@ -1,16 +1,21 @@
 """Main text of web pages by text-to-tag ratios.
 
-The standard library's parser streams events. Block-level tags cut the stream into lines; each line knows its text, its tags, how much
-of it is link text, its nearest container and whether it lies inside page furniture: menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments, told by their tags, roles and the words of their classes and ids. Words alone don't make
-furniture of what holds the page's ``article`` or ``main`` elements, those inside the fewest elements with such words. Over the other lines
-the ratio of text to tags is smoothed by a Gaussian; lines above a share of the mean are the seeds of content regions. The
-container that holds most seed text is the article: an ``article`` or ``main`` element, or the page body. Inside an article element
-every line outside furniture is kept, short ones too; in a plain body, what lies between the first and last seed cluster and isn't all links.
+The standard library's parser streams events. Block-level tags cut the stream into lines; a line knows its text, its tags, how much of
+it is link text, whether it is a heading, and the container (``CONTAINERS``) it lies in. Menus, headers, footers, sidebars, forms, scripts and styles that say
+so by their element or role give no lines.
+
+The ratio of a line is its text outside links over its tags. Two features change it: text inside an ``article`` or ``main`` element counts
+``INSIDE`` times, text inside an element whose name (a class or id) is one of furniture ``NAMED`` times. Ratios are smoothed by a Gaussian; the content
+regions are lines whose smoothed ratio is above ``SHARE`` of the mean, as is their own: smoothing takes out single long lines among short ones. The root of the content is the innermost container that holds ``MOST`` of the
+text of all regions. What is kept lies in the root: regions, what is between them, and short lines and headings beside
+them. Unless the root is an article, what only holds links, and containers with less than ``EDGE`` of the regions' text, go at either end. A
+heading right before the root is kept, and of articles side by side all that have a region. A name of furniture removes text if all its words speak of
+furniture or of layout, so ``related`` does and ``related-work`` doesn't, and never at or around the root.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined in page order by one space.
-Null and empty pages, and pages without text, give the empty text. Tags that aren't closed, or not opened, don't break anything. Rows are
-independent: repeated rows, ties and null ids need no rule, and other columns pass through.
+Null and empty pages, and pages without text, give the empty text; a page of nothing but links gives their text. Tags that aren't closed, or not
+opened, don't break anything. Pages of any length are read whole, one at a time. Rows are
+independent: repeated rows, ties and null ids need no rule, and other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -26,18 +31,25 @@ from pyspark.sql import functions as F
 
 SIGMA = 1.5
 SHARE = 0.6  # of the mean smoothed ratio
+MOST = 0.9  # of the regions' text lies in the root
+EDGE = 0.05
+INSIDE, NAMED = 2.0, 0.05
 # fixed values: the HTML elements of each kind
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE = frozenset("nav header footer aside form fieldset button select option textarea label input menu dialog script style noscript template svg math canvas object iframe audio video head title search".split())
+CONTAINERS = frozenset("article aside body center div footer form header main nav section".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FURNITURE = frozenset("nav header footer aside form fieldset button select option textarea input menu dialog script style noscript template svg math canvas object iframe audio video head title search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond disqus replies reply widget toolbar copyright disclaimer skip".split()
 )
-PREFIXES = ("has-", "with-", "no-", "has_", "with_", "no_")  # of names that tell what lies inside, or doesn't
+LAYOUT = frozenset(
+    "area bar block body bottom box button buttons center column container content div entry form fixed global group icons inline inner item items js left link links list main middle outer page panel post posts primary right row secondary section site sticky thread to top unit user wrap wrapper".split()
+)
 KEYWORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -45,58 +57,40 @@ def _is_furniture(tag: str, attrs: dict[str, str | None], in_article: bool) -> b
     """Whether the tag or a role makes an element furniture."""
     if tag in FURNITURE:
         return not (tag == "header" and in_article)
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
-        return True
-    return False
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES
 
 
 def _is_named_so(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
-    """Whether a class or id has a word of furniture."""
+    """Whether a class or id is a name of furniture."""
     if tag in ("html", "body", "main", "article") and not (tag == "article" and in_article):
         return False
     for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
-        if name.lower().startswith(PREFIXES):
-            continue
-        words = {w.lower() for w in KEYWORD.findall(name)} | {"".join(c for c in name.lower() if c.isalpha())}
-        if words & WORDS and not (in_article and words & {"header", "masthead"}):
-            return True
+        words = [w.lower() for w in KEYWORD.findall(name)]
+        telling = [w for w in words if w in WORDS]
+        if (telling and all(w in WORDS or w in LAYOUT for w in words)) or "".join(words) in WORDS:
+            if not (in_article and set(telling) <= {"header", "masthead"} and telling):
+                return True
     return False
 
 
-class _Lines(HTMLParser):
-    """Collects [text, tags, link characters, container] for every line outside furniture."""
+class _Page(HTMLParser):
+    """Collects the lines of a page, and its containers and named elements as trees."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[list, int, int]] = []  # pieces, tags, container
+        self.lines: list[tuple[list, int, int, bool]] = []  # pieces, tags, container, whether a heading
         self.text: list[tuple[str, bool, int]] = []  # text, in a link, innermost named element
         self.tags = 0
         self.stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # tag, inside furniture, container, innermost named element
-        self.named = [(0, 0)]  # elements with words of furniture: the one around and the depth
-        self.articles: list[int] = []  # the innermost named element around each
-        self.kinds = ["body"]  # of containers
-        self.in_link = 0
+        self.named = [(0, 0)]  # elements with names of furniture: the one around and the depth
+        self.parent, self.article, self.name_of = [0], [0], [0]  # of containers: the one around, the outermost article, the named element
+        self.in_link = self.in_heading = 0
 
     def cut(self) -> None:
         if self.text:
-            self.found.append((self.text, self.tags, self.stack[-1][2]))
+            self.lines.append((self.text, self.tags, self.stack[-1][2], self.in_heading > 0))
         self.text, self.tags = [], 0
 
-    def lines(self) -> list[list]:
-        """The lines, once the page has ended: of the named elements only those around the outermost articles aren't furniture."""
-        least = min((self.named[n][1] for n in self.articles), default=0)
-        shown = {0}
-        for n in self.articles:
-            while self.named[n][1] <= least and n not in shown:
-                shown.add(n)
-                n = self.named[n][0]
-        out = []
-        for pieces, tags, container in self.found:
-            text = " ".join("".join(t for t, _, n in pieces if n in shown).split())
-            if text:
-                out.append([text, tags, sum(len(t) for t, linked, n in pieces if linked and n in shown), container])
-        return out
-
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in BLOCKS:
             self.cut()
@@ -107,22 +101,25 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         _, furniture, container, named = self.stack[-1]
-        in_article = self.kinds[container] == "article"
+        in_article = self.article[container] > 0
         furniture = furniture or _is_furniture(tag, dict(attrs), in_article)
         if not furniture and _is_named_so(tag, dict(attrs), in_article):
             self.named.append((named, self.named[named][1] + 1))
             named = len(self.named) - 1
-        if tag in ("article", "main") and not furniture and not in_article:
-            self.kinds.append("article")
-            container = len(self.kinds) - 1
-            self.articles.append(named)
+        if tag in CONTAINERS and not furniture:
+            self.parent.append(container)
+            container = len(self.parent) - 1
+            self.article.append(self.article[self.parent[-1]] or (container if tag in ("article", "main") else 0))
+            self.name_of.append(named)
         self.stack.append((tag, furniture, container, named))
         self.in_link += tag == "a"
+        self.in_heading += tag in HEADINGS
 
     def leave(self, tag: str, until: tuple[str, ...] = ()) -> None:
         for at in range(len(self.stack) - 1, 0, -1):
             if self.stack[at][0] == tag:
                 self.in_link -= sum(x[0] == "a" for x in self.stack[at:])
+                self.in_heading -= sum(x[0] in HEADINGS for x in self.stack[at:])
                 del self.stack[at:]
                 return
             if self.stack[at][0] in until:
@@ -139,6 +136,20 @@ class _Lines(HTMLParser):
         if not furniture:
             self.text.append((data, self.in_link > 0, named))
 
+    def around(self, container: int) -> set[int]:
+        """The named elements around a container."""
+        out, n = {0}, self.name_of[container]
+        while n not in out:
+            out.add(n)
+            n = self.named[n][0]
+        return out
+
+    def shown(self) -> set[int]:
+        """The named elements that hold the page's articles: those around the outermost articles inside the fewest of them."""
+        tops = [a for a in set(self.article) if a]
+        least = min((self.named[self.name_of[a]][1] for a in tops), default=0)
+        return {0}.union(*(self.around(a) for a in tops if self.named[self.name_of[a]][1] == least))
+
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """The ratios under a Gaussian; its weights are scaled to what lies inside the page."""
@@ -148,38 +159,74 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[mid] / np.convolve(np.ones(len(ratios)), kernel)[mid]
 
 
+def _written(pieces: list[tuple[str, bool, int]], shown: set[int]) -> str:
+    return " ".join("".join(t for t, _, n in pieces if n in shown).split())
+
+
+def _root(page: _Page, own: np.ndarray, container: np.ndarray) -> tuple[int, np.ndarray]:
+    """The innermost container with ``MOST`` of the text ``own``, and the text that each container holds."""
+    held = np.bincount(container, own, len(page.parent))
+    for i in range(len(held) - 1, 0, -1):
+        held[page.parent[i]] += held[i]
+    root = 0
+    for i in range(1, len(held)):  # containers come after the one around them
+        if page.parent[i] == root and held[i] >= MOST * held[0]:
+            root = i
+    return root, held
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page."""
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.cut()
-    lines = parser.lines()
+    page = _Page()
+    page.feed(html)
+    page.close()
+    page.cut()
+    lines = [x for x in page.lines if any(not t.isspace() for t, _, _ in x[0])]
     if not lines:
         return ""
-    chars = np.array([len(x[0]) for x in lines], float)
-    own = chars - np.minimum([x[2] for x in lines], chars)
-    soft = smoothed(own / (np.array([x[1] for x in lines]) + 1.0))
-    seeds = soft >= SHARE * soft.mean()
-    container = np.array([x[3] for x in lines])
-    weight = np.bincount(container, np.where(seeds, own, 0.0), len(parser.kinds))
-    best = int(np.argmax(weight)) if weight.any() else int(np.argmax(np.bincount(container, chars, len(parser.kinds))))
-    keep = container == best
-    if best == 0:
-        at = np.flatnonzero(seeds & keep)
-        if len(at):
-            keep[: at[0]] = keep[at[-1] + 1 :] = False
-            keep &= own > 0  # lines of nothing but links
-    elif parser.kinds.count("article") > 1:  # articles side by side are all content if they hold seeds
-        keep |= (container > 0) & (weight[container] > 0)
-    return " ".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
+    shown = page.shown()
+    chars = np.array([sum(len(t) for t, _, _ in x[0]) for x in lines], float)
+    own = np.array([sum((1.0 if n in shown else NAMED) * len(t.strip()) for t, linked, n in x[0] if not linked) for x in lines])
+    if not own.any():
+        own = chars
+    container = np.array([x[2] for x in lines])
+    article = np.array(page.article)
+    own = np.where(article[container] > 0, INSIDE * own, own)
+    ratio = own / (np.array([x[1] for x in lines]) + 1.0)
+    soft = smoothed(ratio)
+    region = (soft >= SHARE * soft.mean()) & (ratio >= SHARE * soft.mean())
+    if not region.any():
+        region = own > 0
+    root, held = _root(page, np.where(region, own, 0.0), container)
+    shown |= page.around(root)
+    under, top = np.zeros(len(page.parent), bool), np.arange(len(page.parent))
+    under[root] = True
+    for i in range(root + 1, len(under)):
+        under[i] = under[page.parent[i]]
+        top[i] = i if page.parent[i] == root else top[page.parent[i]]
+    texts = [_written(x[0], shown) for x in lines]
+    heading = np.array([x[3] for x in lines])
+    keep = under[container]
+    if article[root]:
+        keep |= (article[container] > 0) & (held[article[container]] > 0)
+    else:
+        solid = (own > 0) & ((container == root) | (held[top[container]] >= EDGE * held[0])) & np.array([bool(t) for t in texts])
+        at = np.flatnonzero(keep & solid)
+        last = at[-1] + 1 if len(at) else 0
+        ahead = np.flatnonzero(keep & (solid | heading))
+        keep[: ahead[0] if len(ahead) else 0] = False
+        keep[last:] = False
+    at = np.flatnonzero(keep)
+    before = int(at[0]) - 1 if len(at) else -1
+    while before >= 0 and heading[before]:
+        keep[before], before = True, before - 1
+    return " ".join(t for t, k in zip(texts, keep.tolist(), strict=True) if k and t)
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "main_text") -> DataFrame:
     """``pages`` with the main text of ``html_col`` in the column ``out``, which replaces one of that name."""
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
     @F.pandas_udf("string")
     def texts(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -72,12 +72,13 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM worded LEFT JOIN kept USING (doc_id)
 """
 
-# the generated pages have one article element without furniture inside
+# what the generated pages hold besides their furniture: head, menu, advert, footer and comments
 PAGES = r"""
-WITH parts AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
-bare AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '</?(p|h1|br|div|li|ul)[^>]*>', ' ', 'g'), '</?[a-zA-Z][^>]*>', '', 'g') AS t FROM parts),
+WITH rest AS (
+  SELECT page_id, url, regexp_replace(coalesce(html, ''), '(?s)<head>.*?</head>|<nav>.*?</nav>|<div class="ad">.*?</div>|<footer>.*?</footer>|<!.*?>', ' ', 'g') AS t FROM pages),
+bare AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(html|body|article|p|h1|br|div|li|ul)[^>]*>', ' ', 'g'), '</?[a-zA-Z][^>]*>', '', 'g') AS t FROM rest),
 decoded AS (
-  SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS t
+  SELECT page_id, url, regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS t
   FROM bare),
 tidy AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM decoded)
 SELECT page_id, url, text, length(text) AS n_chars FROM tidy

@@ -297,6 +297,46 @@ def test_html_wrappers_named_like_furniture():
     assert want.endswith(plain) and len(plain) > 200
 
 
+def test_html_regions_decide_without_an_article(monkeypatch):
+    long = "Long running text of a page. " * 9
+    want = long.strip() + " tail"
+    menu = "".join(f"<p>entry {i}</p>" for i in range(40))
+    page = f"<body><div>{menu}</div><div><p>{long}</p><p>tail</p></div><div>© a company</div></body>"
+    assert html_extract.main_text(page) == want
+    assert html_extract.main_text(page.replace("<div><p>Long", '<div class="article"><p>Long')) == want
+    # one long line among short ones is no region: smoothing takes it out
+    lone = f"<body><div>{menu}<p>{'A sentence of some length in a list. '}</p>{menu}</div><div><p>{long}</p><p>{long}</p></div></body>"
+    assert html_extract.main_text(lone) == f"{long}{long}".strip()
+    # headings and short lines at the edges stay, beside a region or right before the root
+    short = "".join(f"<p>{x}</p>" for x in "ABCD")
+    assert html_extract.main_text(f"<body><h1>Head</h1>{short}<p>{long}</p>{short}<p>End.</p></body>") == f"Head A B C D {long.strip()} A B C D End."
+    assert html_extract.main_text(f"<div class=top><h1>Head</h1></div><div><p>{long}</p></div>") == f"Head {long.strip()}"
+    plain = [html_extract.main_text(p) for p in (page, lone)]
+    monkeypatch.setattr(html_extract, "smoothed", lambda ratios: ratios * 0 + 1)
+    assert html_extract.main_text(page) != plain[0] and html_extract.main_text(lone) != plain[1]
+
+
+def test_html_inside_articles():
+    long = "Long running text of a page. " * 9
+    text = long.strip()
+    assert html_extract.main_text(f'<article><p>{long}</p><div class="related-work"><p>kept</p></div><p><label>so is</label> this</p><div class="related">not this</div></article>') == f"{text} kept so is this"
+    assert html_extract.main_text(f"<article><p>{long}</p><article><p>nested</p></article><p>end</p></article>") == f"{text} nested end"
+    assert html_extract.main_text(f"<main><article><p>one {long}</p></article><article><p>two {long}</p></article></main>") == f"one {text} two {text}"
+    assert html_extract.main_text(f"<article><p>A</p><ul><li><a href=x>a list of links</a></li></ul><p>{long}</p><p><a href=y>end</a></p></article>") == f"A a list of links {text} end"
+
+
+def test_html_tables(spark):
+    """Long pages, repeated rows, extra columns of clashing names, an empty table."""
+    words = " ".join(f"w{i}" for i in range(200_000))
+    html = f"<nav>menu</nav><article><p>{words}</p></article>"
+    rows = [(1, html, "a", 1), (1, html, "a", 1), (None, "<p>x</p>", None, 2), (2, None, "b", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string, main_text int")
+    got = html_extract.extract(pages)
+    assert got.columns == pages.columns
+    assert sorted((str(r.page_id), r.text, r.main_text == words, len(r.main_text)) for r in got.collect() if r.text) == [("1", "a", True, len(words))] * 2 + [("2", "b", False, 0)]
+    assert html_extract.extract(pages, out="Text").count() == 4 and html_extract.extract(pages.limit(0)).count() == 0
+
+
 def test_pipeline_stages(docs, none, spark):
     import corpus_pipeline as P
 
