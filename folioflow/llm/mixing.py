@@ -8,7 +8,8 @@ integer boundary that its stretch of the sum crosses. The order by size bounds t
 the target by no more than about the largest document, and no document is taken more than ``ceil(cap)`` times.
 
 The prefix sum is distributed: each size is cut into about sqrt(rows) slices by a hash of the id, slices are counted,
-starts are summed over the counts, and only inside a slice are rows numbered. A hot source or size is so split.
+starts are summed over the counts, and only inside a slice are rows numbered. A hot source or size is so split. Documents move once, to
+their slices; starts and targets come to them there. Only the sources, one row each, meet in one task.
 
 Null texts and texts without words have size 0 and are taken 0 words; null ids and repeated rows count as rows of their own.
 A table without rows or words gives targets of 0. Other columns pass through.
@@ -57,33 +58,33 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP,
     )
 
 
-def _numbered(rows: DataFrame, sizes: DataFrame, n_rows: int, tie: list[Column]) -> DataFrame:
-    """``rows`` with ``rank``: the place of each among the rows of its source by size, slice and tie. ``rows`` and ``sizes`` have id, source, size."""
+def _key(source: Column) -> Column:
+    """A source as a key that is never null, so that joins can use the partitioning of windows."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
+def _numbered(rows: DataFrame, sizes: DataFrame, targets: DataFrame, n_rows: int, tie: list[Column]) -> DataFrame:
+    """``rows`` with ``targets`` of their source and ``rank``: the place of each among the rows of its source by size, slice and tie.
+
+    ``rows`` and ``sizes`` have id, key, size; ``targets`` has key.
+    """
     slices = max(1, math.isqrt(n_rows))
     digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
     sliced = lambda df: df.withColumn("slice", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % slices)
-    same = lambda a, b, names: [a[n].eqNullSafe(b[n]) for n in names]
-    per_size = sizes.groupBy("source", "size").count()
-    size_start = per_size.select(
-        "source", "size",
-        F.coalesce(F.sum("count").over(W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("size_start"),
-    )
-    per_slice = sliced(sizes).groupBy("source", "size", "slice").count().select(
-        "source", "size", "slice",
-        F.coalesce(F.sum("count").over(W.partitionBy("source", "size").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("slice_start"),
-    )
-    starts = per_slice.join(size_start, same(per_slice, size_start, ["source", "size"])).select(
-        per_slice["source"].alias("s_source"), per_slice["size"].alias("s_size"), F.col("slice").alias("s_slice"), (F.col("size_start") + F.col("slice_start")).alias("start")
-    )
-    rows = sliced(rows).withColumn("place", F.row_number().over(W.partitionBy("source", "size", "slice").orderBy(*tie)))
-    on = [F.col("source").eqNullSafe(F.col("s_source")), F.col("size") == F.col("s_size"), F.col("slice") == F.col("s_slice")]
-    return rows.join(starts, on).withColumn("rank", F.col("start") + F.col("place"))
+    before = lambda *keys: W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
+    per_size = sizes.groupBy("key", "size").count()
+    size_start = per_size.select("key", "size", F.coalesce(F.sum("count").over(before("key", "size")), F.lit(0)).alias("size_start"))
+    per_slice = sliced(sizes).groupBy("key", "size", "slice").count()
+    per_slice = per_slice.select("key", "size", "slice", F.coalesce(F.sum("count").over(before("key", "size", "slice")), F.lit(0)).alias("slice_start"))
+    starts = per_slice.join(size_start, ["key", "size"]).join(targets, "key")
+    placed = sliced(rows).withColumn("place", F.row_number().over(W.partitionBy("key", "size", "slice").orderBy(*tie)))
+    return placed.join(starts, ["key", "size", "slice"]).withColumn("rank", F.col("size_start") + F.col("slice_start") + F.col("place"))
 
 
 def copies(rate: Column, offset: Column, rank: Column, cap: float) -> Column:
-    """Integer boundaries crossed between the sums before and after a document."""
+    """Integer boundaries crossed between the sums before and after a document: no more than ``ceil(cap)``, whatever the rounding."""
     step = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
-    return F.least(step, F.lit(math.floor(cap)).cast("long"))
+    return F.least(step, F.lit(math.ceil(cap)).cast("long"))
 
 
 def mix_plan(
@@ -94,16 +95,15 @@ def mix_plan(
 
     Texts are read once for their sizes, which are written to the shared folder; with ``carry`` a second time, and each document moves once.
     """
+    source = F.col(f"`{source_col}`")
     base = docs.select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"),
+        F.col(f"`{id_col}`").alias("id"), source.alias("source"), _key(source).alias("key"), word_count(F.col(f"`{text_col}`")).alias("size"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []),
     )
-    thin = spill(base.select("id", "source", "size"), "mixing")
-    targets = source_targets(thin, weights, cap, seed)
-    tie = [F.col("id").asc_nulls_last()]
-    numbered = _numbered(base if carry else thin, thin, thin.count(), tie)
-    t = targets.select(F.col("source").alias("t_source"), "source_size", "target", "rate", "offset")
-    return numbered.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select(
+    thin = spill(base.select("id", "source", "key", "size"), "mixing")
+    targets = source_targets(thin, weights, cap, seed).select(_key(F.col("source")).alias("key"), "source_size", "target", "rate", "offset")
+    numbered = _numbered(base if carry else thin, thin, targets, thin.count(), [F.col("id").asc_nulls_last()])
+    return numbered.select(
         "id", "source", "size", "source_size", "target", copies(F.col("rate"), F.col("offset"), F.col("rank"), cap).alias("copies"), *(["doc"] if carry else [])
     )
 

@@ -93,6 +93,38 @@ def test_mixing(docs, none):
     assert mixing.mix_plan(none).count() == 0 and mixing.mix_sources(none).count() == 0
 
 
+def test_a_cap_that_is_no_integer(spark):
+    """Copies up to ceil(cap): the words taken come near the target."""
+    rows = [(i, "w " * 10, "a") for i in range(40)] + [(100 + i, "w " * 10, "b") for i in range(400)]
+    plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), cap=2.5).collect()
+    a = [r for r in plan if r.source == "a"]
+    assert {r.target for r in a} == {1000.0} and abs(sum(r.copies * r.size for r in a) - 1000) <= 10 and {r.copies for r in a} == {2, 3}
+
+
+def exchanges_above(plan, mark):
+    """How many exchanges lie above the first line of a plan that holds ``mark``."""
+    depth = lambda line: max(line.find("+- "), line.find(":- "))
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if mark in line)
+    now, found = depth(lines[at]), 0
+    for line in reversed(lines[:at]):
+        if 0 <= depth(line) < now:
+            now, found = depth(line), found + ("Exchange" in line)
+    return found
+
+
+def test_documents_move_once_when_mixed(spark):
+    """One exchange lies above the documents, also where nothing is broadcast."""
+    docs = spark.createDataFrame([(i, f"text {i}", "a" if i % 3 else None, i) for i in range(100)], "doc_id long, text string, source string, extra int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert exchanges_above(plan, "struct(doc_id") == 1
+
+
 def test_targets_are_capped_and_reshared(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 5)], "source string, size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
