@@ -4,7 +4,7 @@ Texts are folded first: case, homoglyphs of other alphabets, and digits or signs
 read in several ways (1 for i or l; @ or $ at the start or end, a letter or none) is read as the lexicon word among its readings. The lexicon and its
 weights are learned from a bounded sample of labelled rows (``TRAIN_ROWS``): a word's weight is its log-odds between toxic and
 clean documents, and words enter by their G statistic. A word counts once for each pair of neighbours it is seen with, so copies of one
-document don't make its words look telling. Phrases of two words that are common in clean documents are exceptions: their words don't count. The
+document don't make its words look telling. Phrases of two words that are common in clean documents are exceptions: their words don't count, however many phrases hold them. The
 weights found in a text are set against its length, and a logistic curve, fitted on the same sample, turns them into a score in [0, 1].
 
 Null and empty texts have no matches and get the score of a text without matches. Without labelled rows of both kinds every score is 0. Labels, languages, sources and
@@ -18,13 +18,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.training import held_out, sampled
+from folioflow.llm.training import chance, held_out, sampled, slices
+from folioflow.plans.materialize import spill
 
 TRAIN_ROWS = 30_000
 LEXICON = 400
@@ -39,7 +39,6 @@ HOMOGLYPHS = str.maketrans("авеіјкмнорстухԁѕαειοκνρτυχ
 DIGITS = str.maketrans("0134578@$", "oieastbas")
 SIGNS = "@$"
 TOKEN = re.compile(r"[@$]{0,2}[^\W_]+(?:[@$]+[^\W_]+)*(?:[@$]{1,2}(?![@$]))?")  # three signs and more at the end are a rule, not letters
-HAS_DIGIT = re.compile(r"[013457 8@$]")
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "idiot proof")
 
 
@@ -85,24 +84,37 @@ class Lexicon:
         return found
 
     def automaton(self):
-        """Words and phrases between spaces; a phrase takes back the weights of its words."""
+        """Words and phrases between spaces: (length, weight, None) of a word, (length, 0, places of the words that don't count) of a phrase."""
+        import ahocorasick
+
         found = ahocorasick.Automaton()
-        gains: dict[str, float] = {f" {w} ": x for w, x in self.weights.items()}
+        for word, weight in self.weights.items():
+            found.add_word(f" {word} ", (len(word) + 2, weight, None))
         for phrase, words in self.exceptions.items():
-            key = f" {phrase} "
-            gains[key] = gains.get(key, 0.0) - sum(self.weights.get(w, 0.0) for w in words)
-        for key, gain in gains.items():
-            found.add_word(key, gain)
-        if gains:
+            parts, at, places = phrase.split(" "), 0, []
+            for part in parts:
+                if part in words:
+                    places.append(at)
+                at += len(part) + 1
+            if len(parts) > 1:
+                found.add_word(f" {phrase} ", (len(phrase) + 2, 0.0, places))
+        if len(found):
             found.make_automaton()
         return found
 
     def features(self, text: str | None, automaton) -> tuple[float, float]:
-        """(log of the weights found, log of the weights found per hundred words)."""
+        """(log of the weights found, log of the weights found per hundred words). A word in several exception phrases is left out once."""
         words = fold(text, self.readings)
         if not words or not self.weights:
             return 0.0, 0.0
-        total = max(0.0, sum(gain for _, gain in automaton.iter(f" {' '.join(words)} ")))
+        found, excused = {}, set()
+        for end, (size, weight, places) in automaton.iter(f" {' '.join(words)} "):
+            start = end + 1 - size
+            if places is None:
+                found[start] = weight
+            else:
+                excused.update(start + p for p in places)
+        total = sum(weight for start, weight in found.items() if start not in excused)
         return float(np.log1p(total)), float(np.log1p(100.0 * total / (len(words) + 20.0)))
 
     def score(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,7 +140,7 @@ def fit_curve(a: np.ndarray, b: np.ndarray, y: np.ndarray, ridge: float = 1.0) -
 
 def _occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(word, before, after, toxic) for the first place of each distinct word of a text."""
-    for frame in frames:
+    for frame in slices(frames, 256):
         out = []
         for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
             words = ["", *fold(text), ""]
@@ -146,22 +158,20 @@ def train(
 ) -> Lexicon:
     """Learn from at most about ``at_most`` labelled rows, none of them held out. The lexicon has at most ``size`` words."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     own = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IS NOT NULL")
     own = own.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     n = own.count()
     few = sampled(own, "id", at_most)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     if n > at_most:  # the same draw keeps other texts out of the join
-        from folioflow.llm.training import chance
-
         texts = texts.filter(chance(F.col("id")) < at_most / n)
-    rows = texts.join(few, "id").select("text", "toxic")
+    rows = spill(texts.join(few, "id").select("text", "toxic"), "toxicity-rows")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return Lexicon({})
     seen = rows.mapInPandas(_occurrences, "word string, before string, after string, toxic int").groupBy("word", "before", "after").agg(F.max("toxic").alias("toxic"))
+    seen = spill(seen, "toxicity-words")
     counts = seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     p, q = bad / (bad + good), good / (bad + good)
     n_word = F.col("t") + F.col("c")
@@ -194,9 +204,7 @@ def train(
 
 def toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with the score of ``text_col`` in the column ``out``, which replaces one of that name."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    shared = spark.sparkContext.broadcast(lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     @F.pandas_udf("double")
     def scored(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:

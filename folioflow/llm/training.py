@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,3 +23,10 @@ def sampled(rows: DataFrame, id_col: str, at_most: int) -> DataFrame:
     """About ``at_most`` of the rows, the same in every run; all where there are fewer."""
     n = rows.count()
     return rows if n <= at_most else rows.filter(chance(F.col(id_col)) < at_most / n)
+
+
+def slices(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The frames of a worker cut into at most ``rows`` rows each: Spark bounds a batch by rows and bytes, this bounds what is made of it."""
+    for frame in frames:
+        for at in range(0, len(frame), rows):
+            yield frame.iloc[at : at + rows].reset_index(drop=True)
