@@ -1,15 +1,16 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-For each language a model of ``ORDER`` characters is learned from a bounded sample of labelled rows (``PER_LANGUAGE`` documents
-each, the last fifth of them kept for calibration). The grams of all languages lie in one sorted array of hashes per length, with a row of
-log-probabilities, one per language, in which the interpolation is already done; a gram that isn't listed falls back to the
+For each language a model of ``ORDER`` characters is learned from a bounded sample of labelled rows: of the ``LANGUAGES`` most frequent languages about
+``PER_LANGUAGE`` documents and ``CHARACTERS`` characters each, the first quarter of them kept for calibration. The grams of all languages lie in one sorted array
+of hashes per length, with a row of log-probabilities, one per language, in which the interpolation is already done; a gram that isn't listed falls back to the
 weight of its history and the next shorter gram. A text is scored whole. Its language is the one with the lowest cross-entropy
 per character; the score is its share under a softmax of the cross-entropies.
 
-Rejection is calibrated on texts that the models haven't seen: a text is rejected if its cross-entropy lies further above its
-language's mean than ``Z`` standard deviations, where shorter texts may deviate further, and than ``MARGIN`` of the mean. Null texts and texts without a letter
+Rejection is calibrated on the texts that the models haven't seen. The deviation of a text is how far its cross-entropy lies above the
+median of its language, over what chance allows a text of its length (``SLACK`` of the median, and the noise of its characters). A
+text is rejected if it deviates more than ``REACH`` times as far as the ``QUANTILE`` of the calibration texts. Null texts and texts without a letter
 are ``und`` with score 0 and rejected; an empty training set makes every text so. Case is folded; whatever isn't a letter is one gap. Ties go to the first language by name.
-Rows are independent: repeated rows and null ids need no rule, and other columns pass through.
+Rows are independent: repeated rows and null ids need no rule, and other columns, whatever their names, pass through, but for those that the result replaces.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from folioflow.llm.training import chance, held_out
 
 ORDER = 4
-PER_LANGUAGE = 400
-Z = 6.0
-MARGIN = 0.6  # and at least this share above the mean, so that mixed texts stay
+PER_LANGUAGE, CHARACTERS, LANGUAGES = 600, 4_000_000, 100
+QUANTILE, REACH = 0.995, 1.5
+SLACK = 0.1
 SHARPNESS = 12.0
 GAP = 32
 U = np.uint64
@@ -87,9 +88,9 @@ class Model:
     histories: list[np.ndarray]
     weights: list[np.ndarray]
     floor: np.ndarray
-    mean: np.ndarray
-    spread: np.ndarray
+    middle: np.ndarray
     noise: np.ndarray
+    limit: float = np.inf
 
     def bits(self, codes: np.ndarray) -> np.ndarray:
         """Log2 probability of each character after the first, per language."""
@@ -129,8 +130,12 @@ class Model:
         entropy = -self.bits(codes).sum(axis=0, dtype=np.float64) / n
         best = int(np.argmin(entropy))
         share = 1.0 / np.exp2(-SHARPNESS * (entropy - entropy[best])).sum()
-        limit = self.mean[best] + max(Z * (self.spread[best] + self.noise[best] / np.sqrt(n)), MARGIN * self.mean[best])
-        return self.languages[best], float(share), bool(entropy[best] > limit), float(entropy[best])
+        return self.languages[best], float(share), bool(self.deviation(entropy[best], best, n) > self.limit), float(entropy[best])
+
+    def deviation(self, entropy: float, language: int, n: int) -> float:
+        """How far a text of n characters lies above the median of a language, in units of what chance allows."""
+        chance = np.hypot(SLACK * self.middle[language], self.noise[language] / np.sqrt(n))
+        return float((entropy - self.middle[language]) / chance) if chance > 0 else 0.0
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
@@ -138,7 +143,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     languages = sorted({lang for _, lang in rows})
     texts = {lang: [c for c in (fold(t) for t, own in rows if own == lang) if len(c)] for lang in languages}
     languages = [lang for lang in languages if texts[lang]]
-    kept = {lang: max(1, len(texts[lang]) // 5) if len(texts[lang]) > 1 else 0 for lang in languages}
+    kept = {lang: max(1, len(texts[lang]) // 4) if len(texts[lang]) > 1 else 0 for lang in languages}
     wide = len(languages)
     counted = []  # per language, per length: grams, counts, and the hashes of history and of the shorter gram
     for lang in languages:
@@ -191,41 +196,57 @@ def fit(rows: list[tuple[str, str]]) -> Model:
         lower = (union, np.log2(np.maximum(p, 1e-12)))
         keys.append(union)
         probs.append(lower[1].astype(np.float32))
-    model = Model(languages, keys, probs, histories, [w.astype(np.float32) for w in weights], floor.astype(np.float32), np.zeros(wide), np.zeros(wide), np.zeros(wide))
-    for i, lang in enumerate(languages):
-        own = [(-model.bits(c)[:, i].astype(np.float64), len(c) - 1) for c in (texts[lang][: kept[lang]] or texts[lang]) if len(c) > 1]
-        entropy, size = np.array([b.mean() for b, _ in own]), np.array([n for _, n in own])
-        if not len(own):
-            continue
-        each = np.concatenate([b for b, _ in own])
-        model.mean[i], model.noise[i] = entropy.mean(), each.std()
-        model.spread[i] = max(0.05, np.sqrt(max(0.0, entropy.var() - (model.noise[i] ** 2 / size).mean())))
+    model = Model(languages, keys, probs, histories, [w.astype(np.float32) for w in weights], floor.astype(np.float32), np.zeros(wide), np.zeros(wide))
+    unseen = [[c for c in (texts[lang][: kept[lang]] or texts[lang]) if len(c) > 1] for lang in languages]
+    for i, own in enumerate(unseen):
+        each = [-model.bits(c)[:, i].astype(np.float64) for c in own]
+        if each:
+            model.middle[i], model.noise[i] = np.median([b.mean() for b in each]), np.median([b.std() for b in each])
+    found = []
+    for c in (c for own in unseen for c in own):
+        entropy = -model.bits(c).sum(axis=0, dtype=np.float64) / (len(c) - 1)
+        best = int(np.argmin(entropy))
+        found.append(model.deviation(entropy[best], best, len(c) - 1))
+    if found:
+        model.limit = REACH * max(1.0, float(np.quantile(found, QUANTILE)))
     return model
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on at most about ``per_language`` rows of each language, none of them held out."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.filter(~held_out(F.col("id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, float(min(1.0, per_language / n))).otherwise(share)
-    found = rows.filter(chance(F.col("id")) < share).collect() if counts else []
+    """Fit on a bounded sample of each language, the same in every run; none of the rows is held out."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    size = F.char_length("text")
+    rows = rows.filter(~held_out(F.col("id")) & (size <= CHARACTERS))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(size).alias("chars")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"), F.lit(float(CHARACTERS)) / F.greatest("chars", F.lit(1)))
+    shares = counts.select("lang", share.alias("share"))  # at most LANGUAGES rows
+    found = rows.join(F.broadcast(shares), "lang").filter(chance(F.col("id")) < F.col("share")).select("id", "text", "lang").collect()
     return fit([(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["lang"], str(r["id"]), r["text"]))])
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, lang_score, lang_rejected and lang_entropy, which replace columns of those names."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    shared = spark.sparkContext.broadcast(model)
+JUDGED = "lang_pred string, lang_score double, lang_rejected boolean, lang_entropy double"
+
+
+def _judged(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """(doc, judged): the columns of ``docs`` as a struct, and what the model says."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, lang_score double, lang_rejected boolean, lang_entropy double")
-    def judged(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(JUDGED)
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in texts:
             yield pd.DataFrame([shared.value.judge(t) for t in column], columns=["lang_pred", "lang_score", "lang_rejected", "lang_entropy"])
 
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return packed.select("doc", judge(F.col(f"doc.`{text_col}`")).alias("judged"))
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, lang_score, lang_rejected and lang_entropy, which replace columns of those names."""
     new = ["lang_pred", "lang_score", "lang_rejected", "lang_entropy"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    return docs.withColumn("_judged", judged(F.col(f"`{text_col}`"))).select(*kept, *[F.col(f"_judged.{c}") for c in new])
+    kept = [F.col(f"doc.`{c}`") for c in docs.columns if c not in new]
+    return _judged(docs, model, text_col).select(*kept, *[F.col(f"judged.{c}") for c in new])
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, with their own columns."""
+    return _judged(docs, model, text_col).filter("NOT judged.lang_rejected").select("doc.*")
