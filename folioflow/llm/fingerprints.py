@@ -44,13 +44,13 @@ def _run_starts(sorted_: Column, part) -> Column:
 
 
 def fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """``df`` with the fingerprint of ``text`` (32 bytes of every 16) in the binary column ``out``.
+    """``df`` with the fingerprint of ``text`` (16 bits a slot) in the binary column ``out``, which replaces one of that name.
 
     Each step is a column that the next one reads more than once, or outside functions of elements: else the optimizer would
     move it into such a function and compute it once per element.
     """
-    names = df.columns
-    df = df.withColumn("_w", words(text))
+    names = [c for c in df.columns if c.lower() != out.lower()]
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), words(text).alias("_w"))
     n, w = F.size("_w"), F.col("_w")
     kmers = F.when(n >= K, n - K + 1).otherwise(F.least(n, F.lit(1)))
     kmer = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(K)])
@@ -58,7 +58,7 @@ def fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
     for way, count in ((_PACKED, F.when(~wide, kmers)), (_WIDE, F.when(wide, kmers))):
         df = way.elements(df, F.coalesce(count, F.lit(0)), kmer)
     filled = F.when(wide, _WIDE.slots()).otherwise(_PACKED.slots())
-    return df.withColumn(out, F.unhex(filled)).select(*names, out)
+    return df.select(*[F.col(f"doc.`{c}`") for c in names], F.unhex(filled).alias(out))
 
 
 class _Packed:

@@ -114,7 +114,7 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", max_bits: int = bitfilter.MAX_BITS) -> DataFrame:
-    """``docs`` with ``secret_spans``: array of (start, kind, end), kind being the place of the rule in ``rules``, sorted."""
+    """``docs`` with ``secret_spans``, which replaces a column of that name: array of (start, kind, end), kind being the place of the rule in ``rules``, sorted."""
     derived = queries_of(rules)
     indexed = {k: q for k, q in derived.items() if q is not True}
     place = {k: i for i, k in enumerate(indexed)}
@@ -139,7 +139,8 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
         if rule.kind in place:
             own = F.when(F.col("rules").bitwiseAND(1 << place[rule.kind]) != 0, own).otherwise(F.array().cast(SPAN))
         parts.append(own)
-    return packed.select("doc.*", F.array_sort(F.concat(*parts)).alias("secret_spans"))
+    kept = [F.col(f"doc.`{c}`") for c in docs.columns if c.lower() != "secret_spans"]
+    return packed.select(*kept, F.array_sort(F.concat(*parts)).alias("secret_spans"))
 
 
 def written(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

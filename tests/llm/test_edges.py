@@ -170,6 +170,60 @@ def test_fingerprints_keep_order_past_the_packed_places(spark, monkeypatch):
     assert fingerprints.fingerprint(df, F.col("t"), "f").orderBy("i").collect() == whole
 
 
+def test_fingerprints_beside_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a b c", 1, 2, 3, 4)], "text string, _w int, _kp int, doc int, fp int")
+    got = fingerprints.fingerprint(df, F.col("text"), "fp")
+    assert got.columns == ["text", "_w", "_kp", "doc", "fp"] and got.drop("fp").first() == ("a b c", 1, 2, 3) and len(got.first().fp) == 128
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of strings, and of (bits, integer) pairs, as an unsigned integer."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v[1] & (1 << v[0]) - 1).to_bytes(v[0] // 8, "little"), h)
+    return h
+
+
+def plain_fingerprint(text):
+    """Order MinHash by loops over words."""
+    import re
+
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+    k, low = fingerprints.K, fingerprints.PLACE
+    kmers = [w[i : i + k] for i in range(len(w) - k + 1)] if len(w) >= k else [w] if w else []
+    seen, slots = {}, {}
+    for place, kmer in enumerate(kmers):
+        x = spark_hash(*kmer) & ~low
+        seen[x] = seen.get(x, -1) + 1
+        element = spark_hash((64, x), (32, seen[x])) & ~low
+        slots.setdefault(element >> fingerprints.SLOT_SHIFT, []).append((element, place))
+    out = ""
+    for s in range(fingerprints.SLOTS):
+        chosen = sorted(slots.get(s, []))[: fingerprints.PICK]
+        in_text = [e >> fingerprints.PLACE_BITS for e, _ in sorted(chosen, key=lambda x: x[1])]
+        out += f"{max(1, spark_hash(*[(64, e) for e in in_text]) & 0xFFFF) if chosen else 0:04x}"
+    return out
+
+
+def plain_likeness(a, b):
+    slots = [(a[i : i + 4], b[i : i + 4]) for i in range(0, 4 * fingerprints.SLOTS, 4)]
+    held = [x for x in slots if x != ("0000", "0000")]
+    return sum(x == y for x, y in held) / len(held) if held else 1.0
+
+
+def test_fingerprints_against_loops(spark):
+    texts = ["", None, "one", "a b", "a b a b a b", "x " * 40, " ".join(f"w{i % 17}" for i in range(90)), " ".join(f"v{i}" for i in range(300)), "Ünï \U0001f600 ab\tc\x0bd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.f.hex() for r in fingerprints.fingerprint(df, F.col("t"), "f").collect()}
+    assert [got[i] for i in range(len(texts))] == [plain_fingerprint(t) for t in texts]
+    pairs = [(a, b) for a in got.values() for b in got.values()]
+    table = spark.createDataFrame([(bytearray.fromhex(a), bytearray.fromhex(b)) for a, b in pairs], "a binary, b binary")
+    likeness = [r.x for r in table.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).collect()]
+    assert all(abs(x - plain_likeness(a, b)) < 1e-12 for x, (a, b) in zip(likeness, pairs, strict=True))
+
+
 def test_languages(docs, none, spark):
     model = language_id.train(docs)
     got = {}
@@ -191,6 +245,65 @@ def test_kneser_ney_sums_to_one():
         assert 0.9 < p <= 1.02
 
 
+def plain_bits(rows, history, letter):
+    """Interpolated Kneser-Ney by dictionaries: log2 of the probability of a letter after a history, one language's rows."""
+    import math
+    from collections import Counter
+
+    kept = max(1, len(rows) // 4)
+    texts = ["".join(map(chr, language_id.fold(t).tolist())) for t, _ in rows][kept:]
+    n_max = language_id.ORDER
+    counts = [Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1)) for n in range(1, n_max + 1)]
+    for n in range(1, n_max):
+        follows = Counter(g[1:] for g in counts[n])
+        counts[n - 1] = Counter({g: follows.get(g, 1) for g in counts[n - 1]})
+
+    def p(gram, alphabet):
+        n, c = len(gram), counts[len(gram) - 1]
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        if n == 1:
+            total = sum(c.values())
+            return max(c.get(gram, 0) - d, 0) / total + d * len(c) / total / (alphabet + 1)
+        after = [v for g, v in c.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:], alphabet)
+        return max(c.get(gram, 0) - d, 0) / sum(after) + d * len(after) / sum(after) * p(gram[1:], alphabet)
+
+    return lambda alphabet: math.log2(p(history + letter, alphabet))
+
+
+def test_kneser_ney_against_dictionaries():
+    rows = [("abracadabra banana cabana " * 2, "x"), ("a ban on cars", "x"), ("rabbit can run", "x"), ("barn acorn", "x")] * 3 + [("xyzzy xylo zyx " * 2, "y"), ("lazy ox", "y")] * 5
+    model = language_id.fit(rows)
+    each = {lang: [r for r in rows if r[1] == lang] for lang in model.languages}
+    alphabet = len({c for lang in each for t, _ in each[lang][max(1, len(each[lang]) // 4) :] for c in language_id.fold(t).tolist()}) + 1
+    for history in ("aba", "a b", "xyl", "qqq", "zab"):
+        for letter in "anbxzq ":
+            codes = language_id.np.array([ord(c) for c in history + letter], language_id.np.uint32)
+            got = model.bits(codes)[-1]
+            for i, lang in enumerate(model.languages):
+                assert abs(got[i] - plain_bits(each[lang], history, letter)(alphabet)) < 1e-4, (history, letter, lang)
+
+
+def test_the_limit_is_calibrated():
+    base = [(" ".join(["the quick brown fox jumps over lazy dogs", "and runs into green forests", "while birds sing"][i % 3 :] * 3), "en") for i in range(80)]
+    model = language_id.fit(base)
+    kept = [t for t, _ in base][: len(base) // 4]
+    assert not any(model.judge(t)[2] for t in kept) and model.limit >= language_id.REACH and model.judge("zxqj vwkz qqxz jjkv " * 5)[2]
+    assert language_id.fit([]).languages == [] and language_id.fit([]).judge("x")[0] == "und"
+
+
+def test_languages_beside_columns_of_any_name(spark, docs):
+    model = language_id.train(docs)
+    mine = docs.select("doc_id", "text", *[F.lit(c).alias(c) for c in ("lang_pred", "lang_score", "lang_rejected", "lang_entropy", "_judged", "judged", "doc", "lang", "source", "n_chars")])
+    kept = language_id.accepted(mine, model)
+    assert kept.columns == mine.columns and {tuple(r)[2:] for r in kept.collect()} == {tuple(mine.columns[2:])}
+    judged = language_id.identify(mine, model)
+    assert judged.columns[2:6] == ["_judged", "judged", "doc", "lang"] and judged.columns[-4:] == ["lang_pred", "lang_score", "lang_rejected", "lang_entropy"]
+    assert {(r._judged, r.judged, r.doc) for r in judged.collect()} == {("_judged", "judged", "doc")}
+
+
 def test_foreign_scripts_are_rejected(spark):
     base = [(i, "the quick brown fox jumps over the lazy dog and runs into the green forest " * 4, "en", None) for i in range(30)]
     model = language_id.train(spark.createDataFrame(base, "doc_id long, text string, lang string, source string"))
@@ -214,6 +327,45 @@ def test_exception_phrases_take_weights_back():
     assert lexicon.features("the trash can", auto)[0] == 0.0 and lexicon.features("the tr4sh", auto)[0] > 1.0 and lexicon.features("the trаsh", auto)[0] > 1.0
 
 
+def test_a_word_in_two_exception_phrases_is_left_out_once():
+    lexicon = toxicity.Lexicon({"idiot": 4.0, "vile": 3.0}, {"an idiot": ["idiot"], "idiot proof": ["idiot"]}, (0.0, 1.0, 0.0))
+    auto = lexicon.automaton()
+    total = lambda text: lexicon.features(text, auto)[0]
+    import math
+
+    assert total("a vile thing an idiot proof") == total("a vile thing and so on then") == math.log1p(3.0)
+    assert total("an idiot and one idiot") == math.log1p(4.0) and total("idiot proof") == 0.0 and total("idiot idiot") == math.log1p(8.0)
+
+
+def test_scores_against_loops():
+    """Scores from a given lexicon, by splitting and counting words instead of an automaton."""
+    import math
+    import random
+
+    lexicon = toxicity.Lexicon({"trash": 2.0, "idiot": 4.0, "loser": 1.5}, {"trash can": ["trash"], "the idiot": ["idiot"], "idiot trash can": ["idiot", "trash"], "lone": ["loser"]}, (-3.0, 1.0, 0.5))
+    auto, rng = lexicon.automaton(), random.Random(2)
+    for _ in range(300):
+        words = [rng.choice(["trash", "can", "idiot", "the", "loser", "lone", "a", "Tr4sh", "1oser"]) for _ in range(rng.randint(0, 12))]
+        plain = [{"Tr4sh": "trash", "1oser": "loser"}.get(w, w) for w in words]
+        out = set()
+        for phrase, excused in lexicon.exceptions.items():
+            p = phrase.split()
+            for i in range(len(plain) - len(p) + 1):
+                if len(p) > 1 and plain[i : i + len(p)] == p:
+                    out |= {i + j for j, w in enumerate(p) if w in excused}
+        total = sum(lexicon.weights.get(w, 0.0) for i, w in enumerate(plain) if i not in out)
+        a, b = lexicon.features(" ".join(words), auto)
+        assert math.isclose(a, math.log1p(total), abs_tol=1e-12) and math.isclose(b, math.log1p(100 * total / (len(plain) + 20)) if plain else 0.0, abs_tol=1e-12)
+        score = lexicon.score(toxicity.np.array([a]), toxicity.np.array([b]))[0]
+        assert math.isclose(score, 1 / (1 + math.exp(3.0 - a - 0.5 * b)))
+
+
+def test_toxicity_beside_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "x", 1, 2, 0.5)], "doc_id long, text string, doc int, score int, toxicity double")
+    got = toxicity.toxicity(df, toxicity.Lexicon({"x": 2.0}, {}, (0.0, 1.0, 0.0)))
+    assert got.columns == df.columns and got.first()[:4] == (1, "x", 1, 2) and got.first().toxicity > 0.5
+
+
 def test_every_reading_of_a_spelling_counts():
     lexicon = toxicity.Lexicon({w: 3.0 for w in ("stupid", "loser", "clown", "worthless", "idiot", "ass")}, {}, (0.0, 1.0, 0.0))
     auto = lexicon.automaton()
@@ -232,6 +384,13 @@ def test_secrets(docs, none):
     assert secrets.scan_secrets(docs).columns == [*docs.columns, "secret_spans"] and secrets.scan_secrets(none).count() == 0
 
 
+def test_secrets_beside_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "AKIA" + "A" * 16, 1, 2, 3, 4, 5)], "doc_id long, text string, secret_spans int, rules int, body int, doc int, found_id int")
+    got = secrets.scan_secrets(df)
+    assert got.columns == ["doc_id", "text", "rules", "body", "doc", "found_id", "secret_spans"] and got.select("rules", "body", "doc", "found_id").first() == (2, 3, 4, 5)
+    assert [tuple(s) for s in got.first().secret_spans] == [(0, 1, 20)]
+
+
 def test_trigram_queries():
     assert trigrams.derive("[0-9a-f]{24,}") is True and trigrams.derive("ab") is True
     assert trigrams.derive("AKIA[A-Z0-9]+") == ("and", ["aki", "kia"])
