@@ -25,8 +25,7 @@ from folioflow.sources.tables import read_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = language_id.identify(docs, language_id.train(docs))
-    return judged.filter("NOT lang_rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return language_id.accepted(docs, language_id.train(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
