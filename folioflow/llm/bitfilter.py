@@ -1,7 +1,8 @@
 """Bloom filters made and probed with DataFrame operations alone.
 
 A filter is a table of (chunk, words): 64 longs a row, 4,096 bits. Its size is at most ``bits / 8`` bytes, whatever
-the data, so it may be broadcast. A filter that is too full only lets more rows through: callers check those exactly.
+the data, so it may be broadcast. A filter that is too full only lets more rows through: callers check those exactly. Keys too many for
+one filter are dealt to ranges of their hash, each with a filter of its own that is made and probed with the keys of that range alone.
 """
 
 from __future__ import annotations
@@ -9,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.plans.materialize import spill
+
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
+MAX_RANGES = 64
 BITS_A_ROW = 16
 
 
 def bits_for(rows: int, max_bits: int = MAX_BITS) -> int:
-    """A power of two of about 16 bits a row, between the two bounds."""
-    bits = MIN_BITS
+    """A power of two of about 16 bits a row, at most ``max_bits``."""
+    bits = min(MIN_BITS, max_bits)
     while bits < min(max_bits, BITS_A_ROW * rows):
         bits *= 2
     return bits
@@ -63,3 +67,26 @@ def probe(df: DataFrame, bloom: DataFrame, key: Column, bits: int, out: str, has
         bit = F.call_function("shiftright", word, F.col(f"_pos{i}").bitwiseAND(63).cast("int")).bitwiseAND(1)
         found = found & (F.coalesce(bit, F.lit(0)) == 1)
     return df.withColumn(out, found).select(*kept, out)
+
+
+def ranges_for(rows: int, max_bits: int = MAX_BITS) -> int:
+    """How many filters of ``max_bits`` hold so many keys, up to MAX_RANGES."""
+    return max(1, min(MAX_RANGES, -(-BITS_A_ROW * rows // max_bits)))
+
+
+def maybe_repeated(thin: DataFrame, key: str, rows: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """``thin``, a written table, with the boolean column ``maybe``: false for rows whose key no other row has.
+
+    One range after the other: only one filter is broadcast at a time.
+    """
+    ranges = ranges_for(rows, max_bits)
+    bits = bits_for(-(-rows // ranges), max_bits)
+    if ranges == 1:
+        return probe(thin, repeated(thin.select(key), bits), F.col(key), bits, "maybe")
+    dealt = F.pmod(F.xxhash64(F.col(key), F.lit("range")), F.lit(ranges))
+    out = None
+    for r in range(ranges):
+        part = thin.filter(dealt == r)
+        probed = spill(probe(part, repeated(part.select(key), bits), F.col(key), bits, "maybe"), "range")
+        out = probed if out is None else out.unionByName(probed)
+    return out

@@ -14,6 +14,9 @@ same kind, where two members already connected needn't be compared. Blocks are b
 over many of them, every pair of members meets in one, and no member, bucket or partner is capped. Of buckets with the same
 members one is kept.
 
+Before that the links that the families are made of are confirmed, each by sending one text to the other's: what they connect is one, and
+only families that then still fall apart are compared in blocks. Texts are sent, not shingle sets: they are smaller.
+
 Lower-casing is of A-Z. A document with fewer words than a shingle is one shingle; without words (null text too) its set
 is empty and it is linked with nothing. A null id is linked with nothing and has no component. Rows that share an id are
 one document. Ties need no rule: a component is named by its least id. An empty table gives an empty result.
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import bitfilter, wordhash
 from folioflow.llm.components import components
+from folioflow.llm.training import slices
 from folioflow.plans.materialize import spill
 
 BANDS, ROWS, BITS = 24, 4, 4
@@ -65,7 +69,7 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
 def _features(k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, seeds = wordhash.WordHashes(), _seeds()
-        for frame in frames:
+        for frame in slices(frames, 512):
             rows = []
             for i, text in zip(frame["id"], frame["text"], strict=True):
                 found = wordhash.shingles(wordhash.split(text, lower=True), k, cache)
@@ -88,10 +92,10 @@ def least_agreeing(threshold: float) -> int:
 
 
 class Forest:
-    """Who is connected within a block. Members of half i meet those of half j; within one half each pair meets once."""
+    """Who is connected within a block. Members of half i meet those of half j; within one half each pair meets once. ``label`` tells who is connected from the start."""
 
-    def __init__(self, chunk: np.ndarray, i: int, j: int, sizes: np.ndarray, percent: int):
-        self.label = np.arange(len(chunk))
+    def __init__(self, chunk: np.ndarray, i: int, j: int, sizes: np.ndarray, percent: int, label: np.ndarray | None = None):
+        self.label = np.arange(len(chunk)) if label is None else np.unique(label, return_inverse=True)[1]
         self.rows = np.flatnonzero(chunk == i)
         self.cols = np.flatnonzero(chunk == j)
         self.one, self.sizes, self.percent = i == j, sizes, percent
@@ -128,45 +132,71 @@ def _estimated(least: int, percent: int):
 
             links = Forest(g["chunk"].to_numpy(), g["i"].iat[0], g["j"].iat[0], sizes, percent).grow(similar)
             if links:
-                at = np.array(links)
-                yield pd.DataFrame({"u": ids[at[:, 0]], "v": ids[at[:, 1]]})
+                yield _links(links, ids)
 
     return run
 
 
-def _exact(k: int, percent: int):
-    """The forest of each block of family members, by full shingle sets: (u, v)."""
+class _Sets:
+    """The shingle sets of a group of members as one array of kinds; which members are similar to one of them."""
+
+    def __init__(self, held: list[np.ndarray], percent: int):
+        self.sizes = np.array([len(h) for h in held])
+        self.percent = percent
+        kinds, self.flat = np.unique(np.concatenate(held), return_inverse=True)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.marked = np.zeros(len(kinds), np.int32)
+
+    def similar(self, r: int, c: np.ndarray) -> np.ndarray:
+        own = self.flat[self.starts[r] : self.starts[r] + self.sizes[r]]
+        self.marked[own] = 1
+        if 4 * len(c) > len(self.sizes):
+            both = np.add.reduceat(self.marked[self.flat], self.starts)[c]
+        else:
+            both = np.array([self.marked[self.flat[self.starts[x] : self.starts[x] + self.sizes[x]]].sum() for x in c.tolist()])
+        self.marked[own] = 0
+        return 100 * both >= self.percent * (self.sizes[c] + self.sizes[r] - both)
+
+
+def _held(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """Shingle sets in place of texts; members without one are left out."""
+    cache = wordhash.WordHashes()
+    for frame in slices(frames, 512):
+        held = [wordhash.shingles(wordhash.split(t, lower=True), k, cache) for t in frame["text"]]
+        yield frame.drop(columns="text").assign(held=held)[np.array([len(h) > 0 for h in held], bool)]
+
+
+def _links(links: list[tuple[int, int]], ids: np.ndarray) -> pd.DataFrame:
+    at = np.array(links)
+    return pd.DataFrame({"u": ids[at[:, 0]], "v": ids[at[:, 1]]})
+
+
+def _confirmed(k: int, percent: int):
+    """The links (u, v) between the hub of each group and its members that hold on full shingle sets."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = wordhash.WordHashes()
+        for g in wordhash.groups(_held(frames, k), ["hub", "chunk"]):
+            ids = g["cid"].to_numpy()
+            hub = np.flatnonzero(ids == g["hub"].iat[0])
+            if len(hub) and len(ids) > 1:
+                own, sets = int(hub[0]), _Sets(list(g["held"]), percent)
+                others = np.flatnonzero(ids != ids[own])
+                good = others[sets.similar(own, others)] if len(others) else others
+                if len(good):
+                    yield _links([(own, x) for x in good.tolist()], ids)
 
-        def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                held = [wordhash.shingles(wordhash.split(t, lower=True), k, cache) for t in frame["text"]]
-                some = np.array([len(h) > 0 for h in held], bool)
-                yield frame.drop(columns="text").assign(held=held)[some]
+    return run
 
-        for g in wordhash.groups(sets(frames), ["root", "i", "j"]):
-            ids, held = g["cid"].to_numpy(), list(g["held"])
-            sizes = np.array([len(h) for h in held])
-            kinds, flat = np.unique(np.concatenate(held), return_inverse=True)
-            starts = np.cumsum(sizes) - sizes
-            marked = np.zeros(len(kinds), np.int32)
 
-            def similar(r: int, c: np.ndarray) -> np.ndarray:
-                own = flat[starts[r] : starts[r] + sizes[r]]
-                marked[own] = 1
-                if 4 * len(c) > len(ids):
-                    both = np.add.reduceat(marked[flat], starts)[c]
-                else:
-                    both = np.array([marked[flat[starts[x] : starts[x] + sizes[x]]].sum() for x in c.tolist()])
-                marked[own] = 0
-                return 100 * both >= percent * (sizes[c] + sizes[r] - both)
+def _exact(k: int, percent: int):
+    """The forest of each block of family members, by full shingle sets: (u, v)."""
 
-            links = Forest(g["chunk"].to_numpy(), g["i"].iat[0], g["j"].iat[0], sizes, percent).grow(similar)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in wordhash.groups(_held(frames, k), ["root", "i", "j"]):
+            sets = _Sets(list(g["held"]), percent)
+            links = Forest(g["chunk"].to_numpy(), g["i"].iat[0], g["j"].iat[0], sets.sizes, percent, g["label"].to_numpy()).grow(sets.similar)
             if links:
-                at = np.array(links)
-                yield pd.DataFrame({"u": ids[at[:, 0]], "v": ids[at[:, 1]]})
+                yield _links(links, g["cid"].to_numpy())
 
     return run
 
@@ -175,14 +205,20 @@ def _dealt(members: DataFrame, group: str, parts: DataFrame) -> DataFrame:
     """Rows (group, chunk, i, j, cid): each member once for every pair of chunks that its own belongs to. ``parts`` has (group, parts)."""
     placed = members.join(parts, group).withColumn("chunk", F.pmod(F.xxhash64("cid"), "parts"))
     return placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
-        group, "chunk", "cid", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
+        *members.columns, "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
     )
 
 
+def _spokes(links: DataFrame) -> DataFrame:
+    """Rows (hub, chunk, cid): the members linked to each hub in chunks of about BLOCK, and the hub itself in every chunk."""
+    parts = links.groupBy(F.col("u").alias("hub")).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    leaves = links.select(F.col("u").alias("hub"), F.col("v").alias("cid")).join(parts, "hub").select("hub", F.pmod(F.xxhash64("cid"), "parts").alias("chunk"), "cid")
+    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("chunk"), F.col("hub").alias("cid"))
+    return leaves.unionByName(hubs)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept (id = component_id; true for a null id)."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     features = spill(texts.mapInPandas(_features(shingle), FEATURES), "minhash")
     usable = features.filter("id IS NOT NULL AND n_shingles > 0")
@@ -197,16 +233,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = held.groupBy("lo", "hi", "size", "all").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).alias("parts"))
     blocks = _dealt(banded, "key", buckets).join(classes.select("cid", "n_shingles", "sig"), "cid")
     near = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_estimated(least, percent), "u long, v long")
+    near = spill(near.distinct(), "minhash-near")
     families = components(near)
-
     member = spill(families.select(F.col("node").alias("cid"), "root").unionByName(families.select(F.col("root").alias("cid"), "root").distinct()), "minhash-families")
-    sized = member.join(classes.groupBy("cid").agg(F.max("n_shingles").alias("n_shingles")), "cid")
-    parts = sized.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
     bits = bitfilter.bits_for(n_docs)
-    texts_of = bitfilter.probe(texts, bitfilter.present(member.select("cid"), bits), F.col("id"), bits, "named").filter("named").select(F.col("id").alias("cid"), "text")
-    blocks = _dealt(member, "root", parts).join(texts_of, "cid")
-    links = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(_exact(shingle, percent), "u long, v long")
-    roots = components(links)
+    probed = bitfilter.probe(texts, bitfilter.present(member.select("cid"), bits), F.col("id"), bits, "named").filter("named")
+    texts_of = spill(probed.select(F.col("id").alias("cid"), "text"), "minhash-texts")
+
+    spokes = _spokes(near).join(texts_of, "cid")
+    sure = spill(spokes.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk").mapInPandas(_confirmed(shingle, percent), "u long, v long"), "minhash-sure")
+    joined = components(sure)
+    labelled = member.join(joined.select(F.col("node").alias("cid"), F.col("root").alias("label")), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    labelled = spill(labelled, "minhash-labels")
+    sized = labelled.join(classes.groupBy("cid").agg(F.max("n_shingles").alias("n_shingles")), "cid")
+    apart = sized.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
+    blocks = _dealt(labelled, "root", apart.filter("lo < hi").select("root", "parts")).join(texts_of, "cid")
+    more = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(_exact(shingle, percent), "u long, v long")
+    # what is connected already is one node
+    label = labelled.select("cid", "label")
+    more = more.join(label.toDF("u", "lu"), "u").join(label.toDF("v", "lv"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+    further = components(more).select(F.col("node").alias("label"), F.col("root").alias("top"))
+    roots = label.join(further, "label", "left").select(F.col("cid").alias("node"), F.coalesce("top", "label").alias("root"))
     named = classes.select("k0", "k1", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("k0", "k1", F.coalesce("root", "cid").alias("root"))
     return features.select("id", "n_shingles", "k0", "k1").join(named, ["k0", "k1"], "left").select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"),
