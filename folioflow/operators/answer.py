@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
@@ -11,6 +14,8 @@ from folioflow.operators import generate as G
 from folioflow.operators.chunk import upper_median_by
 from folioflow.operators.search import topk
 from folioflow.operators.verify import verified, verify
+from folioflow.plans.materialize import spill
+from folioflow.tracing import observe
 
 
 def detect_entities(question: Column) -> Column:
@@ -23,9 +28,10 @@ def retrieve(questions: DataFrame, index: DataFrame, embedder: E.Embedder, k: in
     """``questions`` (query_id, question, entity) with ``sources``: up to k chunks of the index in rank order."""
     classes = F.col("entity") if use_filter else F.lit(None).cast("array<string>")
     vectors = E.embed_queries(questions, embedder).select("query_id", "embedding", classes.alias("classes"))
-    hits = topk(index.select(F.col("chunk_id").alias("id"), "embedding", "applies_to"), vectors, k).select("query_id", "rank", "id", "sim")
+    # written: its size is then known, and Spark broadcasts it only if it is small
+    hits = spill(topk(index.select(F.col("chunk_id").alias("id"), "embedding", "applies_to"), vectors, k).select("query_id", "rank", "id", "sim"), "hits")
     payload = F.struct("rank", "sim", "number", "issue_date", "applies_to", "subject", "section", "text", F.col("chunk_id"))
-    named = index.join(F.broadcast(hits), F.col("chunk_id") == F.col("id")).groupBy("query_id").agg(F.sort_array(F.collect_list(payload)).alias("sources"))  # k rows a query
+    named = index.drop("embedding").join(hits, F.col("chunk_id") == F.col("id")).groupBy("query_id").agg(F.sort_array(F.collect_list(payload)).alias("sources"))  # k rows a query
     empty = F.expr("CAST(array() AS array<struct<rank:int,sim:double,number:string,issue_date:string,applies_to:array<string>,subject:string,section:string,text:string,chunk_id:bigint>>)")
     return questions.join(named, "query_id", "left").withColumn("sources", F.coalesce("sources", empty))
 
@@ -47,12 +53,35 @@ def answer(questions: DataFrame, index: DataFrame, embedder: E.Embedder, generat
     )
 
 
+NOT_ASKED = f"{G.QuotaExhausted.__name__}: not asked"
+ORDER = ("timestamp", "run_id", "seq")  # of the records of a log: runs by time, questions by their place in a run
+
+
+def answer_batch(questions: DataFrame, index: DataFrame, embedder: E.Embedder, generator: G.Generator, clock: Column, run_id: str, source: str = "batch", k: int = 8, use_filter: bool = True, block: int = 1000) -> DataFrame:
+    """The log of a batch, in blocks of questions: once the generator's quota is gone the batch stops and what was answered is kept.
+
+    The record of the first refused question stays, in each task that met it; questions that weren't asked any more leave none.
+    """
+    table = spill(questions.withColumn("place", F.row_number().over(W.orderBy("query_id"))), "questions")  # a list of questions, not a corpus
+    parts: list[DataFrame] = []
+    for first in range(0, table.count(), block):
+        with observe(f"answers {first + 1} to {first + block}", "generation", questions.sparkSession) as span:
+            part = table.filter(F.col("place").between(first + 1, first + block)).drop("place")
+            part = spill(answer(part, index, embedder, generator, clock, run_id, source, k, use_filter), "answers")
+            stop = part.filter(F.startswith("error", F.lit(G.QuotaExhausted.__name__))).limit(1).count() > 0
+            parts.append(part.filter(F.col("error").isNull() | (F.col("error") != NOT_ASKED)))
+            span["note"] = "quota exhausted" if stop else None
+        if stop:
+            break
+    return reduce(DataFrame.unionByName, parts) if parts else answer(questions.limit(0), index, embedder, generator, clock, run_id, source, k, use_filter)
+
+
 def history(log: DataFrame) -> DataFrame:
-    """One row: records, dates of the first and last record in the order of seq, answers, how many lacked context, citations and how many are verified."""
+    """One row: records, dates of the first and last record, answers, how many lacked context, citations and how many are verified."""
     ok = F.col("error").isNull()
-    day = F.date_format("timestamp", "yyyy-MM-dd")
+    day, place = F.date_format("timestamp", "yyyy-MM-dd"), F.struct(*ORDER)
     total = log.agg(
-        F.count("*").alias("logged"), F.min_by(day, "seq").alias("first_date"), F.max_by(day, "seq").alias("last_date"), F.count_if(ok).alias("answered"),
+        F.count("*").alias("logged"), F.min_by(day, place).alias("first_date"), F.max_by(day, place).alias("last_date"), F.count_if(ok).alias("answered"),
         F.count_if(ok & F.col("insufficient_context")).alias("insufficient"), F.coalesce(F.sum(F.when(ok, F.col("verified"))), F.lit(0)).alias("verified"),
         F.coalesce(F.sum(F.when(ok, F.col("n_citations"))), F.lit(0)).alias("citations"),
     )
@@ -65,16 +94,17 @@ def by_model(log: DataFrame) -> DataFrame:
 
 def tail(log: DataFrame, n: int = 10) -> DataFrame:
     """The last n records, oldest first."""
-    return log.orderBy(F.desc("seq")).limit(n).orderBy("seq")
+    return log.orderBy(*map(F.desc, ORDER)).limit(n).orderBy(*ORDER)
 
 
 def batch_summary(log: DataFrame) -> DataFrame:
     """One row: answers of records, how many lacked context, citations by outcome, upper median of seconds."""
-    ok = log.filter(F.col("error").isNull())
-    status = lambda s: F.coalesce(F.sum(F.size(F.filter("citations", lambda c: c["status"] == s))), F.lit(0))
-    counts = ok.agg(
-        F.count("*").alias("answered"), F.count_if(F.col("insufficient_context")).alias("insufficient"), status("ok").alias("ok"),
-        status("wrong_source").alias("wrong_source"), status("not_found").alias("not_found"),
+    log = spill(log.select("error", "insufficient_context", "citations", "seconds"), "log")  # counted twice, made once
+    ok = F.col("error").isNull()
+    status = lambda s: F.coalesce(F.sum(F.when(ok, F.size(F.filter("citations", lambda c: c["status"] == s)))), F.lit(0))
+    counts = log.agg(
+        F.count_if(ok).alias("answered"), F.count_if(ok & F.col("insufficient_context")).alias("insufficient"), status("ok").alias("ok"),
+        status("wrong_source").alias("wrong_source"), status("not_found").alias("not_found"), F.count("*").alias("asked"),
     )
-    middle = upper_median_by(ok.withColumn("all", F.lit(1)), ["all"], "seconds", "median_seconds").agg(F.max("median_seconds").alias("median_seconds"))
-    return counts.join(F.broadcast(middle)).join(F.broadcast(log.agg(F.count("*").alias("asked"))))
+    middle = upper_median_by(log.filter(ok).withColumn("all", F.lit(1)), ["all"], "seconds", "median_seconds").agg(F.max("median_seconds").alias("median_seconds"))
+    return counts.join(F.broadcast(middle))  # one row each

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column
@@ -110,27 +111,32 @@ def _cells(row: Node) -> list[Node]:
     return [n for n in _own(row) if n.tag in ("td", "th")]
 
 
-def is_contents(table: Node) -> bool:
-    """A rendered table of contents: navigation."""
-    rows = _rows(table)
-    if clean_text(table.text())[:40].lower().startswith("table of contents"):
-        return True
-    linked = sum(any(n.tag == "a" for n in r.walk()) for r in rows)
-    return max((len(_cells(r)) for r in rows), default=0) == 1 and len(rows) >= TOC_LINES and linked >= TOC_SHARE * len(rows)
+def width(table: Node) -> int:
+    """The cells of the widest row."""
+    return max((len(_cells(r)) for r in _rows(table)), default=0)
 
 
 def is_data(table: Node) -> bool:
-    return max((len(_cells(r)) for r in _rows(table)), default=0) >= 2
+    """Tables of one column lay out text, wider ones hold data."""
+    return width(table) > 1
+
+
+def is_contents(table: Node) -> bool:
+    """A rendered table of contents: it says so, or it is a long list of which nearly every row is a link."""
+    if clean_text(table.text()).lower().startswith("table of contents"):
+        return True
+    rows = _rows(table)
+    if width(table) != 1 or len(rows) < TOC_LINES:
+        return False
+    links = [r for r in rows if "a" in {n.tag for n in r.walk()}]
+    return len(links) / len(rows) >= TOC_SHARE
 
 
 def markdown(rows: list[list[str]]) -> str:
     """Rows of cells as a pipe table; rows without text go, short rows are filled up."""
-    rows = [r for r in rows if any(r)]
-    if not rows:
-        return ""
-    wide = max(map(len, rows))
-    line = lambda cells: "| " + " | ".join(cells + [""] * (wide - len(cells))) + " |"
-    return "\n".join([line(rows[0]), "|" + "|".join([" --- "] * wide) + "|", *map(line, rows[1:])])
+    columns = list(zip_longest(*(r for r in rows if any(r)), fillvalue=""))
+    lines = [f"| {' | '.join(cells)} |" for cells in zip(*columns, strict=True)]
+    return "\n".join([*lines[:1], "|" + " --- |" * len(columns), *lines[1:]]) if lines else ""
 
 
 def blocks_of(html: str | None) -> list[tuple[str, str]]:

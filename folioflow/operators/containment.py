@@ -1,17 +1,22 @@
 """Which texts contain which quotes, case and white space aside: a theta join made an equi-join.
 
 Inside a quote all words but the first and last are whole words of any text that contains it. Quotes of enough words meet texts on the
-hash of words two to five (of a text only its id takes part), then are confirmed; shorter quotes, a bounded table in practice, are compared with every text.
+hash of words two to five (of a text only its id takes part), then are confirmed. Shorter quotes are compared with every text, ``SHORT`` of them in a
+pass over the texts, as many passes as it takes; without short quotes there is none.
 """
 
 from __future__ import annotations
 
+from itertools import batched
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import norm
+from folioflow.plans.materialize import spill
 
 KEY_WORDS = 4
+SHORT = 200
 
 
 def _keys(words: Column) -> Column:
@@ -31,5 +36,10 @@ def containment(texts: DataFrame, quotes: DataFrame, text_id: str, quote_id: str
     spread = t.select(text_id, F.split("_text", " ").alias("_words")).select(text_id, F.explode(_keys(F.col("_words"))).alias("_key"))
     pairs = spread.join(long.select(quote_id, "_key"), "_key").select(text_id, quote_id).distinct()
     met = pairs.join(long.select(quote_id, "_quote"), quote_id).join(t, text_id).filter(F.contains("_text", F.col("_quote"))).select(text_id, quote_id)
-    few = t.join(short, F.contains("_text", F.col("_quote"))).select(text_id, quote_id)
-    return met.unionByName(few).distinct()
+    kind = quotes.schema[quote_id].dataType
+    for block in batched(short.toLocalIterator(), SHORT):  # the driver holds one block
+        held = F.array(*[F.struct(F.lit(r[quote_id]).cast(kind).alias(quote_id), F.lit(r["_quote"]).alias("_quote")) for r in block])
+        inside = F.filter(held, lambda q: F.contains(F.col("_text"), q["_quote"]))
+        found = t.select(text_id, F.explode(inside).alias("_q")).select(text_id, F.col(f"_q.{quote_id}").alias(quote_id))
+        met = met.unionByName(found if len(block) < SHORT else spill(found, "contained"))
+    return met.distinct()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 from typing import Protocol
 
@@ -56,6 +59,38 @@ class ExtractiveGenerator:
         return {"answer": " ".join(q["quote"] for q in quotes) or "The sources do not say.", "citations": quotes, "insufficient_context": not quotes}
 
 
+def failure(status: int, message: str) -> Exception:
+    """What a refusal of a remote service means: quota gone, load that passes, or an error."""
+    if status == 429 or "RESOURCE_EXHAUSTED" in message:
+        return QuotaExhausted(message)
+    if status in (500, 503) or "UNAVAILABLE" in message or "INTERNAL" in message:
+        asked = re.search(r"""["']retryDelay["']\s*:\s*["'](\d+(?:\.\d+)?)s["']""", message)
+        return Transient(message, float(asked.group(1)) if asked else None)
+    return RuntimeError(f"{status}: {message}")
+
+
+INSTRUCTIONS = "Answer from the numbered sources alone. Quote the sentences that support the answer word for word with the number of their source. Say if the sources don't hold the answer."
+
+
+class RemoteGenerator:
+    """A service that takes ``{"model", "instructions", "prompt"}`` by POST and gives an answer as JSON; ``key`` goes into the Authorization header."""
+
+    def __init__(self, url: str, name: str, key: str | None = None, timeout: float = 60.0):
+        self.url, self.name, self.key, self.timeout = url, name, key, timeout
+
+    def answer(self, question: str, sources: list[str]) -> dict:
+        numbered = "\n\n".join(f"[{i}] {s}" for i, s in enumerate(sources, 1))
+        body = {"model": self.name, "instructions": INSTRUCTIONS, "prompt": f"SOURCES\n\n{numbered}\n\nQUESTION\n{question}"}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        try:
+            with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), headers), timeout=self.timeout) as reply:
+                found = json.loads(reply.read())
+        except urllib.error.HTTPError as e:
+            raise failure(e.code, e.read().decode("utf-8", "replace")) from e
+        cites = [{"source_id": int(c["source_id"]), "quote": str(c["quote"])} for c in found["citations"]]
+        return {"answer": str(found["answer"]), "citations": cites, "insufficient_context": bool(found["insufficient_context"])}
+
+
 def with_retry(call: Callable[[], dict], attempts: int = 4, sleep: Callable[[float], None] = time.sleep) -> dict:
     """``call`` again after transient failures, waiting as asked or 1, 2, 4 ... seconds; other failures at once."""
     for attempt in range(attempts):
@@ -83,17 +118,23 @@ def format_sources(chunks: Column) -> Column:
 
 
 def generate(asked: DataFrame, generator: Generator, attempts: int = 4) -> DataFrame:
-    """``asked`` (question, texts) with ``generated``: the answer, the seconds it took and an error, one of them null."""
+    """``asked`` (question, texts) with ``generated``: the answer, the seconds it took and an error, one of them null.
+
+    When the quota is gone, the task asks nothing more: its other questions get the error "not asked".
+    """
 
     @F.pandas_udf(f"struct<reply:struct<answer:string,citations:array<struct<source_id:int,quote:string>>,insufficient_context:boolean>,seconds:double,error:string>")
     def replies(questions: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        out = []
+        out, gone = [], False
         for q, t in zip(questions, texts, strict=True):
             began = time.monotonic()
+            if gone:
+                out.append((None, 0.0, f"{QuotaExhausted.__name__}: not asked"))
+                continue
             try:
                 reply, error = with_retry(lambda q=q, t=t: generator.answer(q, list(t)), attempts), None
             except Exception as e:  # an error becomes a row of the log
-                reply, error = None, f"{type(e).__name__}: {e}"
+                reply, error, gone = None, f"{type(e).__name__}: {e}", isinstance(e, QuotaExhausted)
             out.append((reply, round(time.monotonic() - began, 2), error))
         return pd.DataFrame(out, columns=["reply", "seconds", "error"])
 

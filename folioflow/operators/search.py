@@ -94,7 +94,7 @@ def precision(results: DataFrame, asked: DataFrame) -> DataFrame:
 
 def probe(corpus: DataFrame, seeds: int = 6, k: int = 5, seed: int = 0) -> DataFrame:
     """Neighbours of a few rows drawn by a hash of their ids, without the rows themselves."""
-    drawn = corpus.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(seeds)
+    drawn = corpus.orderBy(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), "id").limit(seeds)
     return topk(corpus, drawn.select(F.col("id").alias("query_id"), "embedding", F.lit(None).cast("array<string>").alias("classes")), k, exclude_self=True)
 
 

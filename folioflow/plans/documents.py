@@ -16,6 +16,7 @@ from folioflow.operators.embed import HashingEmbedder, embed
 from folioflow.operators.generate import ExtractiveGenerator, format_sources
 from folioflow.operators.parse import parse_circulars
 from folioflow.operators.verify import verified, verify
+from folioflow.plans.materialize import spill
 from folioflow.plans.registry import Registry
 from folioflow.sources.tables import read_table
 
@@ -26,34 +27,23 @@ def _q(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else _q(x) for x in r) + ")" for r in rows) + f") AS v({names})"
+_CLASSES = [name for _, name in D.ENTITY_PATTERNS]
+_CLASS = f"list_extract([{', '.join(_q(c) for c in _CLASSES)}], (doc_id % {len(_CLASSES)} + 1)::INT)"
+# titles and addressees of the documents in the forms that circulars have
+TITLES_SQL = f"""titles AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'Reserve Bank of India (' || {_CLASS} || ' – Conduct) Directions, 2025' WHEN 1 THEN 'Notes to ' || lower({_CLASS}) || ' on ' || coalesce(source, '')
+  WHEN 2 THEN left(text, 60) END AS subject, CASE doc_id % 3 WHEN 0 THEN 'All banks,' WHEN 1 THEN 'All ' || {_CLASS} END AS meant_for FROM documents)"""
 
 
-TITLES = [
-    (1, "Reserve Bank of India (Payments Banks - Conduct) Directions, 2025", None),
-    (2, "Compliance with norms", "All Authorised Persons"),
-    (3, "Penal Interest on shortfall", "All banks,"),
-    (4, "Reserve Bank of India (Commercial Banks – Credit Information Reporting) Amendment Directions, 2025", None),
-    (5, "Reserve Bank of India [Small Finance Banks, excluding NBFCs] Directions", "All Scheduled Commercial Banks; Primary (Urban) Co-operative Banks"),
-    (6, None, None), (7, "Standing Facility", "All Standalone Primary Dealers"), (8, "Reserve Bank of India (Housing Finance Companies: Fees) Directions", "All scheduled banks"),
-]
-REFS = [
-    (1, "RBI/DOR/2026-27/213", None), (2, "RBI/2025-26/1", "CO.DGBA.GBD.No.S228/42-01-029"), (3, "RBI/2025-26/1", "REF.No.MPD.BC.401/07.01.279"), (4, "RBI/2025-26/1", "DCM(Plg) No.S737/10.27.00"),
-    (5, "RBI/2025-26/1", "A.P. (DIR Series) Circular No. 15"), (6, "RBI/2025-26/1", "RBI/CO.DPSS.POLC.No.1/02"), (7, None, None), (8, "RBI/2025-26/1", "12/34"), (9, "x", "DoS.CO.PPG.47/11"),
-]
-DATES = [
-    (1, "Mumbai, August 6, 2026"), (2, "Feb 03, 2026"), (3, "Sept 6, 2026"), (4, "Foo 6, 2026 and 01.02.2026"), (5, "31.02.2026"), (6, "dated 6.8.2026"), (7, "no date"), (8, None), (9, "January 31,2025"),
-]
-NUMBERS = [(1, "RBI/2026-2027/231 DOR"), (2, "see RBI/2026-27/230"), (3, "RBI/DOR/2026-27/213 x RBI/2020-21/1"), (4, "RBI/x"), (5, None)]
-LINES = [
-    (1, "Chapter II Applicability"), (2, "Part 3"), (3, "Annexure - IV"), (4, "Schedule of charges"), (5, "Preamble"), (6, "A. Short title"), (7, "3. Short Title and Commencement"),
-    (8, "3. short title"), (9, "Chapters of a book"), (10, "1. " + "The bank shall keep records. " * 8), (11, "INTRODUCTION "), (12, ""),
-]
-
-
-def _literal(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
-    return spark.createDataFrame(rows, ddl)
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, subject, meant_for) of every document."""
+    i = F.col("doc_id")
+    name = F.array(*map(F.lit, _CLASSES))[(i % len(_CLASSES)).cast("int")]
+    subject = (
+        F.when(i % 4 == 0, F.concat(F.lit("Reserve Bank of India ("), name, F.lit(" – Conduct) Directions, 2025")))
+        .when(i % 4 == 1, F.concat(F.lit("Notes to "), F.lower(name), F.lit(" on "), F.coalesce("source", F.lit("")))).when(i % 4 == 2, F.substring("text", 1, 60))
+    )
+    meant_for = F.when(i % 3 == 0, "All banks,").when(i % 3 == 1, F.concat(F.lit("All "), name))
+    return read_table(spark, sf_dir, "documents").select(i.alias("id"), subject.alias("subject"), meant_for.alias("meant_for"))
 
 
 def _scan_sql(text: str) -> str:
@@ -61,47 +51,76 @@ def _scan_sql(text: str) -> str:
     return f"list_filter([{each}], lambda x: x IS NOT NULL)"
 
 
-@R.add(f"SELECT id, {_scan_sql('coalesce(subject, chr(32)) || chr(32) || coalesce(meant_for, chr(32))')} AS found FROM {_values(TITLES, 'id, subject, meant_for')}")
+_FOUND = f"SELECT id, {_scan_sql('coalesce(subject, chr(32)) || chr(32) || coalesce(meant_for, chr(32))')} AS found FROM titles"
+
+
+@R.add(f"WITH {TITLES_SQL} {_FOUND}")
 def entity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _literal(spark, TITLES, "id int, subject string, meant_for string")
+    df = titles(spark, sf_dir)
     return df.select("id", X.scan_entities(F.concat_ws(" ", F.coalesce("subject", F.lit(" ")), F.coalesce("meant_for", F.lit(" ")))).alias("found"))
 
 
-@R.add(f"SELECT entity, count(*) AS n FROM (SELECT unnest({_scan_sql('text')}) AS entity FROM documents) GROUP BY entity")
+@R.add(f"WITH {TITLES_SQL} SELECT entity, count(*) AS n FROM (SELECT unnest(found) AS entity FROM ({_FOUND})) GROUP BY entity")
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = read_table(spark, sf_dir, "documents").select(F.explode(X.scan_entities(F.col("text"))).alias("entity"))
-    return found.groupBy("entity").agg(F.count("*").alias("n"))
+    return entity_scan(spark, sf_dir).select(F.explode("found").alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
 
 
 _HEAD = f"""string_split(regexp_replace(regexp_extract(coalesce(subject, ''), {_q('(?i)' + D.TITLE_PATTERN)}, 1), {_q(D.TOPIC_PATTERN)}, chr(1)), chr(1))[1]"""
 
 
-@R.add(f"""WITH v AS (SELECT * FROM {_values(TITLES, 'id, subject, meant_for')}), h AS (SELECT *, {_HEAD} AS head FROM v),
-f AS (SELECT *, {_scan_sql('head')} AS a, {_scan_sql('meant_for')} AS b FROM h), g AS (SELECT *, a || list_filter(b, lambda x: NOT list_contains(a, x)) AS found FROM f)
-SELECT id, CASE WHEN len(found) = 0 AND regexp_matches(coalesce(meant_for, ''), {_q('(?i)' + D.ALL_BANKS_PATTERN)}) THEN [{_q(D.ALL_BANKS)}] ELSE found END AS applies_to FROM g""")
+_BINDS = f"""h AS (SELECT *, {_HEAD} AS head FROM titles), f AS (SELECT *, {_scan_sql('head')} AS a, {_scan_sql('meant_for')} AS b FROM h),
+g AS (SELECT *, a || list_filter(b, lambda x: NOT list_contains(a, x)) AS found FROM f),
+binds AS (SELECT id, subject, meant_for, CASE WHEN len(found) = 0 AND regexp_matches(coalesce(meant_for, ''), {_q('(?i)' + D.ALL_BANKS_PATTERN)}) THEN [{_q(D.ALL_BANKS)}] ELSE found END AS applies_to FROM g)"""
+
+
+@R.add(f"WITH {TITLES_SQL}, {_BINDS} SELECT id, applies_to FROM binds")
 def applies_to_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literal(spark, TITLES, "id int, subject string, meant_for string").select("id", X.applies_to(F.col("subject"), F.col("meant_for")).alias("applies_to"))
+    return titles(spark, sf_dir).select("id", X.applies_to(F.col("subject"), F.col("meant_for")).alias("applies_to"))
+
 
+_REFS = """refs AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'RBI/' || coalesce(lang, 'DoS') || '/2025-26/' || doc_id WHEN 1 THEN 'RBI/2025-26/' || doc_id END AS number,
+  CASE doc_id % 5 WHEN 0 THEN 'CO.' || upper(coalesce(source, 'x')) || '.No.S' || doc_id WHEN 1 THEN 'A.P. (DIR Series) Circular No. ' || doc_id WHEN 2 THEN 'REF.No.MPD.BC.' || doc_id || '/07.01' WHEN 3 THEN '12/' || doc_id END AS ref FROM documents)"""
 
-@R.add(f"""WITH t AS (SELECT *, list_filter(list_transform(regexp_extract_all(coalesce(ref, ''), '[A-Za-z]+'), lambda x: upper(x)), lambda x: length(x) > 1 AND x NOT IN ('CO', 'RBI', 'NO', 'REF')) AS k FROM {_values(REFS, 'id, number, ref')})
+
+def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, number, ref): numbers and departmental references for every document in the forms that circulars have."""
+    i, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    number = F.when(i % 3 == 0, F.concat(F.lit("RBI/"), F.coalesce("lang", F.lit("DoS")), F.lit("/2025-26/"), n)).when(i % 3 == 1, F.concat(F.lit("RBI/2025-26/"), n))
+    ref = (
+        F.when(i % 5 == 0, F.concat(F.lit("CO."), F.upper(F.coalesce("source", F.lit("x"))), F.lit(".No.S"), n)).when(i % 5 == 1, F.concat(F.lit("A.P. (DIR Series) Circular No. "), n))
+        .when(i % 5 == 2, F.concat(F.lit("REF.No.MPD.BC."), n, F.lit("/07.01"))).when(i % 5 == 3, F.concat(F.lit("12/"), n))
+    )
+    return read_table(spark, sf_dir, "documents").select(i.alias("id"), number.alias("number"), ref.alias("ref"))
+
+
+@R.add(f"""WITH {_REFS}, t AS (SELECT *, list_filter(list_transform(regexp_extract_all(coalesce(ref, ''), '[A-Za-z]+'), lambda x: upper(x)), lambda x: length(x) > 1 AND x NOT IN ('CO', 'RBI', 'NO', 'REF')) AS k FROM refs)
 SELECT id, CASE WHEN regexp_extract(coalesce(number, ''), '^RBI/([A-Za-z]+)/', 1) <> '' THEN upper(regexp_extract(number, '^RBI/([A-Za-z]+)/', 1))
 WHEN regexp_matches(trim(coalesce(ref, '')), '(?i)^A\\.\\s*P\\.') THEN 'AP-DIR' ELSE k[1] END AS department FROM t""")
 def department_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literal(spark, REFS, "id int, number string, ref string").select("id", X.department(F.col("number"), F.col("ref")).alias("department"))
+    return refs(spark, sf_dir).select("id", X.department(F.col("number"), F.col("ref")).alias("department"))
+
+
+@R.add(f"WITH {_REFS} SELECT id, nullif(regexp_extract('see ' || number || ' of ' || coalesce(ref, 'x'), {_q(D.NUMBER_PATTERN)}, 0), '') AS number FROM refs")
+def number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("see "), F.col("number"), F.lit(" of "), F.coalesce("ref", F.lit("x")))
+    return refs(spark, sf_dir).select("id", X.number_of(text).alias("number"))
 
 
-@R.add(f"""WITH d AS (SELECT id, coalesce(text, '') AS t FROM {_values(DATES, 'id, text')}),
+@R.add(f"""WITH d AS (SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'Mumbai, ' || strftime(ts, '%B %-d, %Y') WHEN 1 THEN 'dated ' || strftime(ts, '%-d.%-m.%Y') WHEN 2 THEN strftime(ts, '%b %d,%Y')
+  WHEN 3 THEN 'Foo 6, 2026 and ' || strftime(ts, '%d.%m.%Y') WHEN 4 THEN strftime(ts, '%d') || '.31.2026' ELSE 'no date' END AS t FROM events),
 m AS (SELECT id, t, regexp_extract(t, {_q(D.LONG_DATE_PATTERN)}, 0) AS a, regexp_extract(t, {_q(D.DOT_DATE_PATTERN)}, 0) AS b,
 concat_ws(' ', regexp_extract(t, {_q(D.LONG_DATE_PATTERN)}, 1), regexp_extract(t, {_q(D.LONG_DATE_PATTERN)}, 2), regexp_extract(t, {_q(D.LONG_DATE_PATTERN)}, 3)) AS l FROM d)
 SELECT id, CASE WHEN a <> '' THEN strftime(coalesce(try_strptime(l, '%B %d %Y'), try_strptime(l, '%b %d %Y')), '%Y-%m-%d') WHEN b <> '' THEN strftime(try_strptime(b, '%d.%m.%Y'), '%Y-%m-%d') END AS issue_date,
 nullif(CASE WHEN a <> '' THEN a ELSE b END, '') AS raw_date FROM m""")
 def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literal(spark, DATES, "id int, text string").select("id", X.iso_date(F.col("text")).alias("issue_date"), X.raw_date(F.col("text")).alias("raw_date"))
-
-
-@R.add(f"SELECT id, nullif(regexp_extract(text, {_q(D.NUMBER_PATTERN)}, 0), '') AS number FROM {_values(NUMBERS, 'id, text')}")
-def number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literal(spark, NUMBERS, "id int, text string").select("id", X.number_of(F.col("text")).alias("number"))
+    """The days of all events, written in the forms that circulars have, and read again."""
+    i, day = F.col("event_id"), lambda form: F.date_format("ts", form)
+    text = (
+        F.when(i % 6 == 0, F.concat(F.lit("Mumbai, "), day("MMMM d, yyyy"))).when(i % 6 == 1, F.concat(F.lit("dated "), day("d.M.yyyy"))).when(i % 6 == 2, day("MMM dd,yyyy"))
+        .when(i % 6 == 3, F.concat(F.lit("Foo 6, 2026 and "), day("dd.MM.yyyy"))).when(i % 6 == 4, F.concat(day("dd"), F.lit(".31.2026"))).otherwise("no date")
+    )
+    df = read_table(spark, sf_dir, "events").select(i.alias("id"), text.alias("text"))
+    return df.select("id", X.iso_date(F.col("text")).alias("issue_date"), X.raw_date(F.col("text")).alias("raw_date"))
 
 
 @R.add("SELECT page_id, trim(left(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), 120), '_') AS name FROM pages")
@@ -120,28 +139,36 @@ def page_title_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
 
 
-@R.add()
+# the generated pages have no tables and open a paragraph only by <p>; it ends at its end tag, at the next one, or with the article
+@R.add(r"""WITH parts AS (SELECT page_id, unnest(string_split(regexp_replace(regexp_replace(html, '(?s)<(script|style).*?</(script|style)>|<!--.*?-->', '', 'g'), '</p>|</article>', chr(1), 'g'), '<p>')[2:]) AS part,
+  generate_subscripts(string_split(regexp_replace(regexp_replace(html, '(?s)<(script|style).*?</(script|style)>|<!--.*?-->', '', 'g'), '</p>|</article>', chr(1), 'g'), '<p>')[2:], 1) AS place FROM pages),
+bare AS (SELECT page_id, place, regexp_replace(replace(replace(replace(replace(regexp_replace(string_split(part, chr(1))[1], '\s*<[^>]*>\s*', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS t FROM parts),
+texts AS (SELECT page_id, place, trim(regexp_replace(t, '[ \t]+', ' ', 'g')) AS text FROM bare)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY place) - 1)::INT AS pos, 'text' AS kind, text FROM texts WHERE text <> ''""")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = read_table(spark, sf_dir, "pages").select("page_id", blocks("html").alias("b"))
     return made.select("page_id", F.posexplode("b").alias("pos", "b")).select("page_id", "pos", "b.kind", "b.text")
 
 
-CIRCULAR = (
-    '<table class="td"><tr><td><p>RBI/2025-26/99<br/>A.P. (DIR Series) Circular No. 15</p><p>November 28, 2025</p><p>All Authorised Persons</p><p>Madam / Sir,</p>'
-    "<p>Compliance with identification norms of customers</p><p>" + "The bank shall keep records of each transaction. " * 3 + '</p><table><tr><th>Item</th><th>Rate</th></tr><tr><td>Bank Rate</td><td>5.50</td></tr></table></td></tr></table>'
-    '<a href="/rdocs/Notification/PDFs/N99.PDF">x</a>'
-)
-
-
-@R.add("SELECT 'circular:1' AS key, 'RBI/2025-26/99' AS number, '2025-11-28' AS issue_date, 'AP-DIR' AS department, 'All Authorised Persons' AS meant_for, ['Authorised Persons'] AS applies_to, 'Compliance with identification norms of customers' AS subject")
+@R.add(f"""WITH {TITLES_SQL.replace("CASE doc_id % 4 WHEN 0 THEN", "CASE WHEN true THEN").replace(" WHEN 1 THEN 'Notes", " WHEN false THEN 'Notes").replace("  WHEN 2 THEN left", "  WHEN false THEN left")}, {_BINDS}
+SELECT 'circular:' || id AS key, 'RBI/2025-26/' || id AS number, '2025-11-' || lpad((id % 28 + 1)::VARCHAR, 2, '0') AS issue_date, 'AP-DIR' AS department, meant_for, applies_to, subject,
+CASE id % 3 WHEN 0 THEN 'https://rbidocs.rbi.org.in/rdocs/Notification/PDFs/N' || id || '.PDF' WHEN 1 THEN 'https://www.rbi.org.in/x/N' || id || '.pdf' END AS pdf_url FROM binds""")
 def circular_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.createDataFrame([(1, CIRCULAR), (2, "<p>no number</p>")], "rbi_id long, html string")
-    return parse_circulars(pages, F.lit("2026-01-01").cast("timestamp")).select("key", "number", "issue_date", "department", "meant_for", "applies_to", "subject")
-
-
-@R.add(f"""SELECT id, CASE WHEN length(text) > 120 THEN NULL {' '.join(f"WHEN regexp_matches(text, {_q(p)}) THEN {n}" for n, p in D.HEADING_PATTERNS)} END AS level FROM {_values(LINES, 'id, text')}""")
-def heading_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literal(spark, LINES, "id int, text string").select("id", X.heading_level(F.col("text")).alias("level"))
+    """A circular made of every document's title, parsed: number, reference, date, addressee, subject, classes and link."""
+    i = F.col("id").cast("string")
+    name = F.array(*map(F.lit, _CLASSES))[(F.col("id") % len(_CLASSES)).cast("int")]
+    subject = F.concat(F.lit("Reserve Bank of India ("), name, F.lit(" – Conduct) Directions, 2025"))
+    p = lambda *parts: F.concat(F.lit("<p>"), *parts, F.lit("</p>"))
+    link = F.when(F.col("id") % 3 == 0, F.concat(F.lit('<a href="/y/other.pdf">o</a><a href="https://rbidocs.rbi.org.in/rdocs/Notification/PDFs/N'), i, F.lit('.PDF">n</a>'))).when(
+        F.col("id") % 3 == 1, F.concat(F.lit('<a href="/rdocs/content/pdfs/Utkarsh.pdf">u</a><a href="/x/N'), i, F.lit('.pdf">x</a>'))
+    ).otherwise('<a href="/rdocs/content/pdfs/Accessibility.pdf">a</a>')
+    html = F.concat(
+        F.lit('<table class="td"><tr><td>'), p(F.lit("RBI/2025-26/"), i, F.lit("<br/>A.P. (DIR Series) Circular No. "), i), p(F.lit("November "), (F.col("id") % 28 + 1).cast("string"), F.lit(", 2025")),
+        F.when(F.col("meant_for").isNotNull(), p(F.col("meant_for"))).otherwise(""), p(F.lit("Madam / Sir,")), p(subject), p(F.lit("The bank shall keep records. ")), F.lit("</td></tr></table>"), link,
+    )
+    pages = titles(spark, sf_dir).select(F.col("id").alias("rbi_id"), html.alias("html"))
+    none = spark.createDataFrame([(-1, "<p>no number</p>")], "rbi_id long, html string")
+    return parse_circulars(pages.unionByName(none), F.lit("2026-01-01").cast("timestamp")).select("key", "number", "issue_date", "department", "meant_for", "applies_to", "subject", "pdf_url")
 
 
 _SENTENCES = r"string_split(regexp_replace({}, '([.;])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1))"
@@ -152,15 +179,24 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
 
 
-TABLE_ROWS = 60
+_LINE_ROWS = """lines AS (SELECT doc_id, '| ' || trim(line) || ' |' AS r, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents) WHERE trim(line) <> '')"""
+_TABLE_HEAD = "| Line |\n| --- |\n"
 
 
-@R.add()
+@R.add(f"""WITH RECURSIVE {_LINE_ROWS},
+fold AS (SELECT doc_id, place, r, 0 AS part, length(r) + 1 AS n FROM lines WHERE place = 1
+  UNION ALL SELECT s.doc_id, s.place, s.r, CASE WHEN full_up THEN part + 1 ELSE part END, CASE WHEN full_up THEN 0 ELSE n END + length(s.r) + 1
+  FROM (SELECT t.doc_id, t.place, t.r, f.part, f.n, f.n + length(t.r) > {D.MAX_CHARS - 2 - len("| Line |") - len("| --- |")} AS full_up FROM fold f JOIN lines t ON t.doc_id = f.doc_id AND t.place = f.place + 1) s),
+whole AS (SELECT doc_id, '| Line |' || chr(10) || '| --- |' || chr(10) || string_agg(r, chr(10) ORDER BY place) AS md FROM lines GROUP BY doc_id),
+parts AS (SELECT doc_id, part, '| Line |' || chr(10) || '| --- |' || chr(10) || string_agg(r, chr(10) ORDER BY place) AS text FROM fold GROUP BY doc_id, part)
+SELECT p.doc_id, p.part::INT AS part, md5(CASE WHEN length(md) <= {D.MAX_CHARS} THEN md ELSE p.text END) AS text_md5 FROM parts p JOIN whole USING (doc_id) WHERE length(md) > {D.MAX_CHARS} OR part = 0""")
 def table_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long markdown table in parts; the fold has no SQL twin, tests hold it against a loop."""
-    rows = F.transform(F.sequence(F.lit(1), F.lit(TABLE_ROWS)), lambda i: F.concat(F.lit("| row "), i.cast("string"), F.lit(" | " + "value " * 8 + "|")))
-    md = F.concat(F.lit("| Item | Rate |\n| --- | --- |\n"), F.array_join(rows, "\n"))
-    return spark.range(1).select(F.posexplode(split_table(md)).alias("part", "text"))
+    """The lines of every document as a markdown table, in parts that repeat its head."""
+    lines = F.transform(text_blocks(F.col("text")), lambda b: F.concat(F.lit("| "), b["text"], F.lit(" |")))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).filter(F.size("lines") > 0)
+    md = F.concat(F.lit(_TABLE_HEAD), F.array_join("lines", "\n"))
+    return docs.select("doc_id", F.posexplode(split_table(md)).alias("part", "text")).select("doc_id", "part", F.md5("text").alias("text_md5"))
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +235,7 @@ chunks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY idx)
 
 
 @R.add(CHUNK_SQL + "SELECT doc_id, pos::INT AS position, level FROM levels")
-def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def heading_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heading level of every line with text in the documents, null for what is no heading; positions count all lines from 1."""
     lines = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
     lines = lines.select("doc_id", (F.col("at") + 1).alias("position"), F.trim("line").alias("line")).filter("line <> ''")
@@ -303,19 +339,35 @@ def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed(with_ids(chunk(docs)), HashingEmbedder())
 
 
-def _answers(spark: SparkSession, sf_dir: str, questions: list[str], source: str) -> DataFrame:
-    asked = spark.createDataFrame(list(enumerate(questions)), "query_id long, question string")
-    return A.answer(asked, document_index(spark, sf_dir), HashingEmbedder(), ExtractiveGenerator(), F.lit("2026-01-01").cast("timestamp"), "run", source)
+def _answers(spark: SparkSession, sf_dir: str, due: str, source: str) -> DataFrame:
+    """Answers to what users say in the conversations that are due, from all documents."""
+    turns = read_table(spark, sf_dir, "conversations").filter(f"role = 'user' AND text IS NOT NULL AND {due}")
+    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
+    index = spill(document_index(spark, sf_dir), "index")  # searched, then read for the texts of the hits
+    return A.answer_batch(asked, index, HashingEmbedder(), ExtractiveGenerator(), F.lit("2026-01-01").cast("timestamp"), "run", source)
 
 
 @R.add()
 def ask_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark, sf_dir, D.QUESTIONS[:1], "ask").drop("seconds")
+    return _answers(spark, sf_dir, "conv_id = 0 AND turn = 0", "ask").drop("seconds")
 
 
 @R.add()
 def batch_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.batch_summary(_answers(spark, sf_dir, D.QUESTIONS, "batch")).drop("median_seconds")
+    return A.batch_summary(_answers(spark, sf_dir, "conv_id % 100 = 0", "batch")).drop("median_seconds")
+
+
+@R.add(CITATION_SQL + """, log AS (SELECT conv_id, conv_id % 7 = 3 AS failed, conv_id % 5 = 1 AS short, (conv_id * 31 % 101) / 4.0 AS seconds FROM talk)
+SELECT count(*) FILTER (NOT failed) AS answered, count(*) FILTER (NOT failed AND short) AS insufficient, (SELECT count(*) FROM checks WHERE status = 'ok' AND conv_id % 7 <> 3) AS ok,
+(SELECT count(*) FROM checks WHERE status = 'wrong_source' AND conv_id % 7 <> 3) AS wrong_source, (SELECT count(*) FROM checks WHERE status = 'not_found' AND conv_id % 7 <> 3) AS not_found, count(*) AS asked,
+list_sort(list(seconds) FILTER (NOT failed))[count(*) FILTER (NOT failed) // 2 + 1]::DOUBLE AS median_seconds FROM log""")
+def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a batch whose answers are the conversations."""
+    i = F.col("conv_id")
+    log = _talks(spark, sf_dir).select(
+        verify(F.col("citations"), F.col("texts"), F.col("numbers")).alias("citations"), F.when(i % 7 == 3, "failed").alias("error"), (i % 5 == 1).alias("insufficient_context"), ((i * 31 % 101) / 4.0).alias("seconds")
+    )
+    return A.batch_summary(log)
 
 
 @R.add("SELECT doc_id, '[1] ' || doc_id || '  (None)' || chr(10) || 'binds: ' || coalesce(lang, '(not entity-scoped)') || chr(10) || 'document: ' || coalesce(source, 'None') || chr(10) || 'section: -' || chr(10) || '---' || chr(10) || coalesce(lang, 'x') AS block FROM documents")

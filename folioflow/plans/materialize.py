@@ -6,6 +6,7 @@ the table twice reads it twice instead of computing it twice.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one is set."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset a temporary one is set, if driver and executors are one process; else it is an error."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioflow-")
         spark.conf.set(CHECKPOINT_DIR, found)
     return found.rstrip("/")

@@ -61,7 +61,7 @@ def label_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOG = """WITH log AS (SELECT event_id AS seq, ts, event_type AS model, value, user_id % 5 = 0 AS failed, event_type = 'view' AS short FROM events)"""
 
 
-@R.add(_LOG + """ SELECT count(*) AS logged, arg_min(strftime(ts, '%Y-%m-%d'), seq) AS first_date, arg_max(strftime(ts, '%Y-%m-%d'), seq) AS last_date,
+@R.add(_LOG + """ SELECT count(*) AS logged, strftime(min(ts), '%Y-%m-%d') AS first_date, strftime(max(ts), '%Y-%m-%d') AS last_date,
 count(*) FILTER (NOT failed) AS answered, count(*) FILTER (NOT failed AND short) AS insufficient,
 sum(CASE WHEN NOT failed THEN seq % 3 ELSE 0 END)::BIGINT AS verified, sum(CASE WHEN NOT failed THEN 3 ELSE 0 END)::BIGINT AS citations,
 (100 * sum(CASE WHEN NOT failed THEN seq % 3 ELSE 0 END) // greatest(sum(CASE WHEN NOT failed THEN 3 ELSE 0 END), 1))::BIGINT AS verified_percent FROM log""")
@@ -76,7 +76,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
     failed = F.col("user_id") % 5 == 0
     return e.select(
-        F.col("event_id").alias("seq"), F.col("ts").alias("timestamp"), F.col("event_type").alias("model"), (F.col("event_type") == "view").alias("insufficient_context"),
+        F.col("event_id").alias("seq"), F.col("ts").alias("timestamp"), F.lit("events").alias("run_id"), F.col("event_type").alias("model"), (F.col("event_type") == "view").alias("insufficient_context"),
         (F.col("event_id") % 3).alias("verified"), F.lit(3).cast("long").alias("n_citations"), F.col("value").alias("seconds"), F.when(failed, "failed").alias("error"),
     )
 
@@ -88,7 +88,7 @@ def log_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_model(event_log(spark, sf_dir))
 
 
-@R.add(_LOG + " SELECT seq, model FROM log ORDER BY seq DESC LIMIT 10")
+@R.add(_LOG + " SELECT seq, model FROM log ORDER BY ts DESC, seq DESC LIMIT 10")
 def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last ten records: a report whose length is the feature."""
     from folioflow.operators.answer import tail

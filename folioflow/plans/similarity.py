@@ -1,7 +1,4 @@
-"""Similarity queries over the table embeddings: a label is a class.
-
-The first eight vectors are the standing queries; each search over them is registered once more, as ``*_due``, with every row whose id is divisible by 100 as a query.
-"""
+"""Similarity queries over the table embeddings: a label is a class. The queries are the rows whose id is divisible by 100, at any size of the table."""
 
 from __future__ import annotations
 
@@ -14,12 +11,11 @@ from folioflow.plans.registry import Registry
 from folioflow.sources.tables import read_table
 
 R = Registry()
-N_QUERIES = 8
-STANDING, DUE = f"vec_id < {N_QUERIES}", "vec_id % 100 = 0"
+DUE = "vec_id % 100 = 0"
 
 _CORPUS = """
 WITH corpus AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, {applies} AS applies_to FROM embeddings),
-asked AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label::VARCHAR AS class FROM embeddings WHERE vec_id < 8),
+asked AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label::VARCHAR AS class FROM embeddings WHERE vec_id % 100 = 0),
 scored AS (SELECT query_id, id, applies_to, class, round(list_inner_product(c.v, q.v), 6) AS sim FROM corpus c, asked q WHERE {where}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM scored)
 """
@@ -39,8 +35,8 @@ def corpus(spark: SparkSession, sf_dir: str, unscoped: bool = False) -> DataFram
     return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", applies.alias("applies_to"))
 
 
-def asked(spark: SparkSession, sf_dir: str, classes=None, which: str = STANDING) -> DataFrame:
-    q = read_table(spark, sf_dir, "embeddings").filter(which)
+def asked(spark: SparkSession, sf_dir: str, classes=None) -> DataFrame:
+    q = read_table(spark, sf_dir, "embeddings").filter(DUE)
     label = F.col("label").cast("string")
     none = F.lit(None).cast("array<string>")
     return q.select(F.col("vec_id").alias("query_id"), "embedding", label.alias("class"), (none if classes is None else classes(label)).alias("classes"))
@@ -50,70 +46,56 @@ def _shown(found: DataFrame) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("sim", 4).alias("sim"))
 
 
-def _searched(sql: str):
-    """Register a search over the standing queries, and over the due ones as ``<name>_due``; only the query set of the SQL differs."""
-
-    def register(f):
-        def due(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, sf_dir, DUE)
-
-        due.__name__ = f"{f.__name__}_due"
-        R.add(sql.replace(STANDING, DUE))(due)
-        return R.add(sql)(f)
-
-    return register
-
-
-@_searched(_TOP.format(applies=_LABEL, where="true"))
-def topk_unfiltered(spark: SparkSession, sf_dir: str, which: str = STANDING) -> DataFrame:
-    return _shown(search.topk(corpus(spark, sf_dir), asked(spark, sf_dir, which=which), 10))
+@R.add(_TOP.format(applies=_LABEL, where="true"))
+def topk_unfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.topk(corpus(spark, sf_dir), asked(spark, sf_dir), 10))
 
 
-@_searched(_TOP.format(applies=_LABEL, where="list_contains(applies_to, class)"))
-def topk_prefiltered(spark: SparkSession, sf_dir: str, which: str = STANDING) -> DataFrame:
-    return _shown(search.topk(corpus(spark, sf_dir), asked(spark, sf_dir, lambda c: F.array(c), which), 10))
+@R.add(_TOP.format(applies=_LABEL, where="list_contains(applies_to, class)"))
+def topk_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.topk(corpus(spark, sf_dir), asked(spark, sf_dir, lambda c: F.array(c)), 10))
 
 
-@_searched(_TOP.format(applies=_LABEL, where="list_has_any(applies_to, [class, '3'])"))
-def topk_multi_entity(spark: SparkSession, sf_dir: str, which: str = STANDING) -> DataFrame:
-    return _shown(search.topk(corpus(spark, sf_dir), asked(spark, sf_dir, lambda c: F.array(c, F.lit("3")), which), 10))
+@R.add(_TOP.format(applies=_LABEL, where="list_has_any(applies_to, [class, '3'])"))
+def topk_multi_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.topk(corpus(spark, sf_dir), asked(spark, sf_dir, lambda c: F.array(c, F.lit("3"))), 10))
 
 
-@_searched(_TOP.format(applies=_SOME, where="len(applies_to) = 0 OR list_contains(applies_to, class)"))
-def topk_or_unscoped(spark: SparkSession, sf_dir: str, which: str = STANDING) -> DataFrame:
-    return _shown(search.topk(corpus(spark, sf_dir, unscoped=True), asked(spark, sf_dir, lambda c: F.array(c), which), 10))
+@R.add(_TOP.format(applies=_SOME, where="len(applies_to) = 0 OR list_contains(applies_to, class)"))
+def topk_or_unscoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.topk(corpus(spark, sf_dir, unscoped=True), asked(spark, sf_dir, lambda c: F.array(c)), 10))
 
 
-@_searched(_TOP.format(applies=_LABEL, where="list_contains(applies_to, class) AND c.v[2] > 0.2"))
-def topk_short_result(spark: SparkSession, sf_dir: str, which: str = STANDING) -> DataFrame:
+@R.add(_TOP.format(applies=_LABEL, where="list_contains(applies_to, class) AND c.v[2] > 0.2"))
+def topk_short_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A narrow predicate of the query itself leaves fewer rows than k; the result is short, not padded."""
-    return _shown(search.topk(corpus(spark, sf_dir).filter("CAST(embedding[1] AS DOUBLE) > 0.2"), asked(spark, sf_dir, lambda c: F.array(c), which), 10))
+    return _shown(search.topk(corpus(spark, sf_dir).filter("CAST(embedding[1] AS DOUBLE) > 0.2"), asked(spark, sf_dir, lambda c: F.array(c)), 10))
 
 
 _PRECISION = """, hits AS (SELECT query_id, list_contains(applies_to, class)::INT AS hit FROM ranked WHERE rank <= 10)
 SELECT query_id, sum(hit)::BIGINT AS hits, count(*) AS returned, sum(hit) / greatest(count(*), 1) AS precision FROM hits GROUP BY ROLLUP (query_id)"""
 
 
-@_searched(_CORPUS.format(applies=_LABEL, where="id <> query_id") + _PRECISION)
-def precision_at_k(spark: SparkSession, sf_dir: str, which: str = STANDING) -> DataFrame:
-    q = asked(spark, sf_dir, which=which)
+@R.add(_CORPUS.format(applies=_LABEL, where="id <> query_id") + _PRECISION)
+def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = asked(spark, sf_dir)
     return search.precision(search.topk(corpus(spark, sf_dir), q, 10, exclude_self=True), q)
 
 
-@_searched(_CORPUS.format(applies=_SOME, where="id <> query_id AND (len(applies_to) = 0 OR list_contains(applies_to, class))") + _PRECISION)
-def precision_at_k_filtered(spark: SparkSession, sf_dir: str, which: str = STANDING) -> DataFrame:
-    q = asked(spark, sf_dir, lambda c: F.array(c), which)
+@R.add(_CORPUS.format(applies=_SOME, where="id <> query_id AND (len(applies_to) = 0 OR list_contains(applies_to, class))") + _PRECISION)
+def precision_at_k_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = asked(spark, sf_dir, lambda c: F.array(c))
     return search.precision(search.topk(corpus(spark, sf_dir, unscoped=True), q, 10, exclude_self=True), q)
 
 
-@_searched(_CORPUS.format(applies=_LABEL, where="id <> query_id") + "SELECT query_id, rank::BIGINT AS rank, id, round(sim, 4) AS sim FROM ranked WHERE rank <= 5")
-def neighbour_probe(spark: SparkSession, sf_dir: str, which: str = STANDING) -> DataFrame:
-    return _shown(search.topk(corpus(spark, sf_dir), asked(spark, sf_dir, which=which), 5, exclude_self=True))
+@R.add(_CORPUS.format(applies=_LABEL, where="id <> query_id") + "SELECT query_id, rank::BIGINT AS rank, id, round(sim, 4) AS sim FROM ranked WHERE rank <= 5")
+def neighbour_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.topk(corpus(spark, sf_dir), asked(spark, sf_dir), 5, exclude_self=True))
 
 
-@R.add()
+@R.add(_CORPUS.replace("WHERE vec_id % 100 = 0", "ORDER BY md5(vec_id::VARCHAR || ':0'), vec_id LIMIT 6").format(applies=_LABEL, where="id <> query_id") + "SELECT query_id, rank::BIGINT AS rank, id, round(sim, 4) AS sim FROM ranked WHERE rank <= 5")
 def neighbour_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours of six rows drawn by a hash; the draw is Spark's, so there is no SQL twin."""
+    """Neighbours of six rows drawn by a hash: a sample is the feature."""
     return _shown(search.probe(corpus(spark, sf_dir)))
 
 

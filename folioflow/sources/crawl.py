@@ -15,6 +15,9 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+AGENT = "folioflow/0.1"
+
+
 class IdRange(InputPartition):
     def __init__(self, ids: list[int]):
         self.ids = ids
@@ -47,7 +50,7 @@ class _Reader(DataSourceReader):
         self.url = options["url"]
         self.start, self.back = int(options["start"]), int(options.get("back", "700"))
         self.delay, self.tasks = float(options.get("delay", "0.4")), int(options.get("tasks", "3"))
-        self.agent = options.get("agent", "folioflow/0.1")
+        self.agent = options.get("agent", AGENT)
 
     def partitions(self) -> list[IdRange]:
         ids = list(range(self.start, self.start - self.back, -1))

@@ -75,72 +75,53 @@ def test_body_html(spark):
     assert one(spark, body_html(F.col("h")), h="<table class='other'>") is None
 
 
-def reference_fold(blocks):
-    """The state machine as a plain loop."""
-    import re
-
-    out, path, buf, n = [], [], [], 0
-
-    def flush(carry):
-        nonlocal buf, n
-        t = "\n".join(buf).strip()
-        if len(t) >= D.MIN_CHARS:
-            out.append((list(path), t))
-        buf, n = [], 0
-        if carry and len(t) > D.OVERLAP_CHARS:
-            tail = t[-D.OVERLAP_CHARS :]
-            tail = tail[tail.find(" ") + 1 :]
-            buf, n = [tail], len(tail)
-
-    def add(t):
-        nonlocal n
-        if n and n + len(t) > D.TARGET_CHARS:
-            flush(True)
-        buf.append(t)
-        n += len(t) + 1
-
-    for kind, t in blocks:
-        level = next((v for v, p in D.HEADING_PATTERNS if len(t) <= D.HEADING_MAX and re.match(p, t)), None)
-        if kind == "table":
-            flush(False)
-            buf, n = [t], len(t)
-            flush(False)
-        elif level is not None:
-            flush(False)
-            path[level:] = [t]
-        elif len(t) > D.MAX_CHARS:
-            flush(True)
-            for s in re.split(D.SENTENCE_PATTERN, t):
-                add(s)
+def made_blocks(rng, doc):
+    """(blocks, path of each word, tables): paragraphs of words that occur nowhere else, headings and tables."""
+    blocks, path, where, tables, count = [], [], {}, [], 0
+    for _ in range(int(rng.integers(0, 25))):
+        kind = int(rng.integers(0, 12))
+        if kind < 2:
+            level = int(rng.integers(0, 2))
+            heading = ["Chapter II Scope", "Annex III", "Introduction"][kind] if level == 0 else ["A. Short title", "3. Definitions apply"][kind]
+            path = [*path[:level], heading]
+            blocks.append(("text", heading))
+        elif kind == 2:
+            tables.append((list(path), "| a | b |\n| --- | --- |\n| " + "cell " * int(rng.integers(20, 90)) + "|"))
+            blocks.append(("table", tables[-1][1]))
         else:
-            add(t)
-    flush(False)
-    return out
-
-
-def test_chunks_match_the_loop(spark):
+            said = []
+            for _ in range(1 if kind > 3 else 14):
+                words = [f"{'Wx'[i > 0]}{doc}q{count + i}" for i in range(int(rng.integers(16, 60)))]
+                count += len(words)
+                where.update(dict.fromkeys(words, list(path)))
+                said.append(" ".join(words))
+            blocks.append(("text", ". ".join(said)))
+    return blocks, where, tables
+
+
+def test_chunks_hold_every_word_once_in_order(spark):
+    """The rules of packing: order, completeness, sizes, overlap, paths, and tables alone."""
     rng = np.random.default_rng(5)
-    docs = []
-    for i in range(40):
-        blocks = []
-        for _ in range(int(rng.integers(0, 25))):
-            kind = rng.integers(0, 10)
-            words = " ".join("w" * int(x) for x in rng.integers(1, 9, int(rng.integers(1, 160)))).capitalize()
-            if kind == 0:
-                blocks.append(("text", ["Chapter II Scope", "A. Short title", "3. Definitions apply"][int(rng.integers(0, 3))]))
-            elif kind == 1:
-                blocks.append(("table", "| a | b |\n| --- | --- |\n| " + words[:900] + " |"))
-            elif kind == 2:
-                blocks.append(("text", ". ".join(words[:300].capitalize() for _ in range(12))))
-            else:
-                blocks.append(("text", words))
-        docs.append((i, blocks))
-    df = spark.createDataFrame([(i, [{"kind": k, "text": t} for k, t in b]) for i, b in docs], f"i int, blocks {schemas.BLOCKS_TYPE}")
+    docs = [made_blocks(rng, i) for i in range(40)]
+    df = spark.createDataFrame([(i, [{"kind": k, "text": t} for k, t in b]) for i, (b, _, _) in enumerate(docs)], f"i int, blocks {schemas.BLOCKS_TYPE}")
     got = {}
     for r in chunk(df).orderBy("i", "chunk_index").collect():
-        assert r.n_chars == len(r.text) and (r.section is None) == (not r.section_path)
-        got.setdefault(r.i, []).append((r.section_path, r.text))
-    assert got == {i: want for i, b in docs if (want := reference_fold(b))}
+        assert r.n_chars == len(r.text) >= D.MIN_CHARS and (r.section is None) == (not r.section_path) and (r.section or "") == " > ".join(r.section_path)
+        assert r.chunk_index == len(got.setdefault(r.i, []))
+        got[r.i].append((r.section_path, r.text))
+    assert sum(map(len, got.values())) > 100
+    for i, (blocks, where, tables) in enumerate(docs):
+        mine = got.get(i, [])
+        assert [x for x in mine if x[1].startswith("|")] == [(p, t.strip()) for p, t in tables]
+        longest = max((len(s) for k, t in blocks if k == "text" for s in ([t] if len(t) <= D.MAX_CHARS else t.split(". "))), default=0) + 1
+        packed = [(p, t, [w.strip(".") for w in t.split()]) for p, t in mine if not t.startswith("|")]
+        first_seen = list(dict.fromkeys(w for _, _, words in packed for w in words if w in where))
+        assert first_seen == list(where)
+        for (p, t, words), (q, _, nxt) in zip(packed, packed[1:], strict=False):
+            again = [w for w in nxt if w in set(words)]
+            assert again == nxt[: len(again)] and again == words[len(words) - len(again) :] and len(" ".join(again)) <= D.OVERLAP_CHARS and (not again or p == q)
+        for p, t, words in packed:
+            assert all(where[w] == p for w in words if w in where) and len(t) <= max(D.TARGET_CHARS + 1, D.OVERLAP_CHARS + 1 + longest)  # the line end after a tail is not counted
 
 
 def test_long_tables_repeat_their_header(spark):
@@ -170,10 +151,27 @@ def test_search_filters_before_ranking(spark):
 def test_headings_of_every_line(spark, tmp_path):
     from folioflow.plans import catalogue
 
-    text = "Chapter II Applicability\n\n  3. Short Title\nplain words\n" + "1. The bank shall keep records. " * 8
+    text = "Chapter II Applicability\n\n  3. Short Title\nplain words\n" + "1. The bank shall keep records. " * 8 + "\nPart 3\nAnnexure - IV\nSchedule of charges\nA. Short title\n3. short title\nChapters of a book\nINTRODUCTION "
     spark.createDataFrame([(1, text), (2, None), (3, "Preamble")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(map(tuple, catalogue.queries()["heading_lines"](spark, str(tmp_path)).collect()))
-    assert got == [(1, 1, 0), (1, 3, 1), (1, 4, None), (1, 5, None), (3, 1, 0)]
+    got = sorted(map(tuple, catalogue.queries()["heading_classify"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 1, 0), (1, 3, 1), (1, 4, None), (1, 5, None), (1, 6, 0), (1, 7, 0), (1, 8, 0), (1, 9, 1), (1, 10, None), (1, 11, None), (1, 12, 0), (3, 1, 0)]
+
+
+def test_dates_numbers_departments(spark):
+    dates = {"Mumbai, August 6, 2026": "2026-08-06", "Feb 03, 2026": "2026-02-03", "Sept 6, 2026": None, "Foo 6, 2026 and 01.02.2026": None, "31.02.2026": None, "dated 6.8.2026": "2026-08-06", "January 31,2025": "2025-01-31", "none": None}
+    assert [one(spark, X.iso_date(F.col("t")), t=t) for t in dates] == list(dates.values())
+    assert one(spark, X.raw_date(F.col("t")), t="Foo 6, 2026 and 01.02.2026") == "Foo 6, 2026"
+    assert one(spark, X.number_of(F.col("t")), t="RBI/DOR/2026-27/213 x RBI/2020-21/1") == "RBI/DOR/2026-27/213" and one(spark, X.number_of(F.col("t")), t="RBI/x") is None
+    refs = {"CO.DGBA.GBD.No.S228/42": "DGBA", "REF.No.MPD.BC.401": "MPD", "DCM(Plg) No.S737": "DCM", "A.P. (DIR Series) Circular No. 15": "AP-DIR", "RBI/CO.DPSS.POLC.No.1/02": "DPSS", "12/34": None, "DoS.CO.PPG.47": "DOS"}
+    assert [one(spark, X.department(F.lit("RBI/2025-26/1"), F.col("t")), t=t) for t in refs] == list(refs.values())
+    assert one(spark, X.department(F.col("n"), F.lit("x")), n="RBI/dor/2026-27/2") == "DOR"
+
+
+def test_classes_of_titles(spark):
+    binds = lambda s, m=None: one(spark, X.applies_to(F.lit(s), F.lit(m).cast("string")), x=1)
+    assert binds("Reserve Bank of India (Payments Banks - Conduct) Directions, 2025") == ["Payments Banks"] and binds("Compliance with norms", "All Authorised Persons") == ["Authorised Persons"]
+    assert binds("Penal Interest", "All banks,") == [D.ALL_BANKS] and binds(None) == [] and binds("x", "All Standalone Primary Dealers") == ["Standalone Primary Dealers", "Primary Dealers"]
+    assert binds("Reserve Bank of India [Small Finance Banks, excluding NBFCs] Directions", "All Scheduled Commercial Banks") == ["Small Finance Banks", "Commercial Banks"]
 
 
 def test_search_takes_queries_in_blocks(spark, monkeypatch):
@@ -186,10 +184,10 @@ def test_search_takes_queries_in_blocks(spark, monkeypatch):
     assert blocks == whole and len(whole) == 4 * 12 and search.topk(corpus, queries.limit(0), 4).count() == 0
 
 
-def test_due_queries_grow_with_the_table(spark):
+def test_queries_grow_with_the_table(spark):
     from folioflow.plans import catalogue
 
-    got = catalogue.queries()["topk_unfiltered_due"](spark, "/root/testdata/sf0.1")
+    got = catalogue.queries()["topk_unfiltered"](spark, "/root/testdata/sf0.1")
     assert sorted({r.query_id for r in got.collect()}) == list(range(0, 2000, 100)) and got.count() == 200
 
 
@@ -206,6 +204,17 @@ def test_containment_finds_quotes_inside_words(spark):
     assert sorted(map(tuple, containment(texts, quotes, "t", "q").collect())) == [(1, 1), (1, 2), (2, 2)]
 
 
+def test_containment_in_passes(spark, monkeypatch):
+    from folioflow.operators import containment as C
+
+    monkeypatch.setattr(C, "SHORT", 2)
+    texts = spark.createDataFrame([(i, f"text {i} of many") for i in range(9)], "t long, text string")
+    quotes = spark.createDataFrame([(str(i), f"EXT {i}") for i in range(7)] + [("x", "absent"), ("y", " of   many ")], "q string, text string")
+    assert sorted(map(tuple, containment(texts, quotes, "t", "q").collect())) == sorted([(i, str(i)) for i in range(7)] + [(i, "y") for i in range(9)])
+    long = quotes.filter("q = 'long'")
+    assert "Generate" not in containment(texts, long, "t", "q")._jdf.queryExecution().optimizedPlan().toString() or containment(texts, long, "t", "q").count() == 0
+
+
 def test_upsert_takes_given_columns_only(spark):
     table = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "key string, n int, s string")
     delta = spark.createDataFrame([("b", None), ("c", 3)], "key string, n int")
@@ -239,6 +248,74 @@ def test_collection_ask_and_history(spark, tmp_path):
     assert A.batch_summary(log).first().asked == 2
 
 
+def test_a_batch_stops_when_the_quota_is_gone(spark):
+    class Meter:
+        """A generator whose quota ends at a question that says so."""
+
+        name = "meter"
+
+        def answer(self, question, sources):
+            if "stop" in question:
+                raise QuotaExhausted("429")
+            return {"answer": "x", "citations": [], "insufficient_context": True}
+
+    index = embed(spark.createDataFrame([(1, "some text", "n", None, ["a"], "s", None)], "chunk_id long, text string, number string, issue_date string, applies_to array<string>, subject string, section string"), HashingEmbedder())
+    asked = spark.createDataFrame([(i, "stop here" if i in (5, 6) else f"question {i}") for i in range(12)], "query_id long, question string").coalesce(1)
+    log = A.answer_batch(asked, index, HashingEmbedder(), Meter(), NOW(), "r", block=4)
+    got = sorted((r.seq, r.error) for r in log.collect())
+    assert [s for s, e in got if e is None and s < 4] == [0, 1, 2, 3] and all(s < 8 for s, _ in got) and A.NOT_ASKED not in {e for _, e in got}
+    assert {e for _, e in got if e} == {"QuotaExhausted: 429"} and A.batch_summary(log).first().answered == sum(e is None for _, e in got)
+    whole = A.answer_batch(asked.filter("query_id > 6"), index, HashingEmbedder(), Meter(), NOW(), "r", block=2)
+    assert whole.count() == 5 and A.answer_batch(asked.limit(0), index, HashingEmbedder(), Meter(), NOW(), "r").count() == 0
+
+
+def test_refusals_of_a_service():
+    from folioflow.operators.generate import failure
+
+    assert isinstance(failure(429, ""), QuotaExhausted) and isinstance(failure(400, "RESOURCE_EXHAUSTED"), QuotaExhausted) and type(failure(404, "gone")) is RuntimeError
+    busy = failure(503, "{'retryDelay': '7s'}")
+    assert isinstance(busy, Transient) and busy.delay == 7 and failure(500, "x").delay is None and isinstance(failure(400, "UNAVAILABLE"), Transient)
+
+
+def test_a_remote_generator():
+    import http.server
+    import json
+    import threading
+
+    from folioflow.operators.generate import RemoteGenerator
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            gone = "quota" in asked["prompt"]
+            body = json.dumps({"answer": asked["model"], "citations": [{"source_id": 1, "quote": "a"}], "insufficient_context": False}).encode()
+            self.send_response(429 if gone else 200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        g = RemoteGenerator(f"http://127.0.0.1:{server.server_port}/", "m1", "k")
+        assert g.answer("q", ["a"]) == {"answer": "m1", "citations": [{"source_id": 1, "quote": "a"}], "insufficient_context": False}
+        with pytest.raises(QuotaExhausted):
+            g.answer("quota", ["a"])
+    finally:
+        server.shutdown()
+
+
+def test_a_log_of_two_runs_is_in_order_of_time(spark):
+    day = lambda d: datetime.datetime(2026, 1, d)
+    rows = [(0, day(2), "b", None), (1, day(2), "b", None), (0, day(1), "z", None), (1, day(1), "z", "Broken"), (0, day(3), "a", None)]
+    log = spark.createDataFrame(rows, "seq long, timestamp timestamp, run_id string, error string").withColumns({"insufficient_context": F.lit(False), "verified": F.lit(1), "n_citations": F.lit(2)})
+    h = A.history(log).first()
+    assert (h.first_date, h.last_date, h.logged, h.answered) == ("2026-01-01", "2026-01-03", 5, 4)
+    assert [(r.run_id, r.seq) for r in A.tail(log, 3).collect()] == [("b", 0), ("b", 1), ("a", 0)]
+
+
 def test_generation_errors_and_retries():
     calls = []
 
@@ -293,6 +370,119 @@ def test_crawl_source_reads_a_folder(spark, tmp_path):
     assert sorted((r.rbi_id, r.html) for r in got.collect()) == [(3, "<p>3</p>"), (5, "<p>5</p>")]
 
 
+def test_only_missing_bodies_are_fetched(spark, tmp_path):
+    from folioflow.operators import fetch as N
+
+    for i in (1, 2, 3):
+        (tmp_path / f"{i}.html").write_bytes(f"<p>x</p><table class='td'><p>body {i} \xff".encode("latin-1") if i < 3 else b"<p>no table</p>")
+    rows = [(f"c{i}", "circular", f"file://{tmp_path}/{i}.html", None) for i in (1, 2, 3, 9)] + [("d", "master_direction", f"file://{tmp_path}/1.html", None), ("e", "circular", f"file://{tmp_path}/1.html", "kept")]
+    docs = spark.createDataFrame(rows, "key string, doc_type string, source_url string, body_path string")
+    got = {r.key: r.html for r in N.bodies(docs, delay=0).collect()}
+    assert set(got) == {"c1", "c2"} and got["c1"].startswith("<table class='td'><p>body 1")
+    kept = spark.createDataFrame([("c1",)], "key string")
+    assert [r.key for r in N.bodies(docs, kept, delay=0).collect()] == ["c2"]
+
+
+def test_downloads_are_checked_and_kept_by_date(spark, tmp_path):
+    from folioflow.operators import fetch as N
+
+    (tmp_path / "good.pdf").write_bytes(b"%PDF-1.4 content")
+    (tmp_path / "wall.pdf").write_bytes(b"<html>are you a robot</html>")
+    (tmp_path / "page.html").write_text(f'<a href="/rdocs/content/pdfs/Utkarsh.pdf">u</a><a href="http://rbidocs.rbi.org.in/rdocs/Notification/none.pdf">n</a>')
+    (tmp_path / "bare.html").write_text("<p>no link</p>")
+    url = lambda n: f"file://{tmp_path}/{n}"
+    rows = [("a", "RBI/2025-26/1", "s", "2025-11-28", url("page.html"), url("good.pdf"), None), ("b", None, " ", None, None, url("good.pdf"), None), ("c", "n", None, None, None, url("wall.pdf"), None),
+            ("d", "n", None, None, url("bare.html"), None, None), ("e", "n", None, None, None, url("absent.pdf"), None), ("f", "n", None, None, None, url("good.pdf"), "kept")]
+    docs = spark.createDataFrame(rows, "key string, number string, subject string, issue_date string, source_url string, pdf_url string, local_path string")
+    got = {r.key: r for r in N.download(docs, f"{tmp_path}/pdfs", delay=0).collect()}
+    assert {k: r.outcome for k, r in got.items()} == {"a": "saved", "b": "saved", "c": "not a pdf", "d": "no link", "e": "failed"}
+    assert got["a"].local_path.endswith("pdfs/year=2025/month=11/RBI_2025-26_1.pdf") and got["b"].local_path.endswith("year=undated/month=00/b.pdf") and got["c"].local_path is None
+    kept = spark.read.parquet(f"{tmp_path}/pdfs").collect()
+    assert sorted(r.key for r in kept) == ["a", "b"] and {bytes(r.content) for r in kept} == {b"%PDF-1.4 content"}
+    found = N.resolved(docs.filter("key = 'd'").withColumn("source_url", F.lit(url("page.html"))), delay=0).first()
+    assert found.pdf_url == "http://rbidocs.rbi.org.in/rdocs/Notification/none.pdf"
+
+
+def test_a_docs_table_that_cannot_be_read_is_an_error(spark, tmp_path):
+    from folioflow.__main__ import _docs
+
+    assert _docs(spark, str(tmp_path)).count() == 0
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "part-0.parquet").write_bytes(b"not parquet at all")
+    with pytest.raises(Exception, match="."):
+        _docs(spark, str(tmp_path)).count()
+
+
+def test_the_command_line_from_pages_to_answers(spark, tmp_path, monkeypatch, capsys):
+    from folioflow import __main__ as cli
+
+    text = "Payments Banks shall verify the identity of every customer before opening an account. Records are kept for five years. " * 2
+    for i in (5, 6):
+        html = page(f"RBI/2025-26/{i}", "November 28, 2025", "All Payments Banks", "Madam / Sir,", "Reserve Bank of India (Payments Banks – Conduct) Directions, 2025", text)
+        (tmp_path / f"{i}.html").write_text(html)
+    (tmp_path / "asked.txt").write_text("What must Payments Banks verify before opening an account?\n\nHow long are records kept?\n")
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / ".env").write_text("FOLIO_TEST_SETTING=1\n")
+    monkeypatch.setattr(cli.config, "load", lambda: None)
+    monkeypatch.setattr(cli.D, "DETAIL_URL", f"file://{tmp_path}/")
+    run = lambda *args: cli.main([*args, "--data", str(tmp_path / "data"), "--delay", "0"])
+    run("harvest", "--url", f"file://{tmp_path}/{{id}}.html", "--start", "6", "--back", "4")
+    docs = spark.read.parquet(f"{tmp_path}/data/docs")
+    assert sorted(r.key for r in docs.collect()) == ["circular:5", "circular:6"]
+    docs = docs.withColumn("source_url", F.concat(F.lit(f"file://{tmp_path}/"), F.col("rbi_id").cast("string"), F.lit(".html")))
+    cli._write_swapped(docs, f"{tmp_path}/data/docs")
+    run("text")
+    (tmp_path / "5.html").unlink()
+    (tmp_path / "7.html").write_text(page("RBI/2025-26/7", "November 29, 2025"))
+    run("harvest", "--resume", "--url", f"file://{tmp_path}/{{id}}.html", "--start", "8", "--back", "5")
+    assert spark.read.parquet(f"{tmp_path}/data/docs").count() == 3
+    run("text")
+    bodies = spark.read.parquet(f"{tmp_path}/data/bodies")
+    assert bodies.count() == bodies.select("key").distinct().count() == 2
+    run("chunk")
+    run("build")
+    run("batch", "--questions", str(tmp_path / "asked.txt"))
+    run("ask", "How long are records kept?")
+    run("history")
+    log = spark.read.parquet(f"{tmp_path}/data/log").collect()
+    assert len(log) == 3 and len({r.run_id for r in log}) == 2 and all(r.error is None for r in log) and spark.read.json(f"{tmp_path}/data/batch").count() == 2
+    spans = spark.read.parquet(f"{tmp_path}/data/spans").collect()
+    assert {"harvest", "text", "chunk", "build", "batch", "ask", "history"} <= {r.name for r in spans} and any(r.kind == "generation" for r in spans)
+    run("download")
+    assert "no link" in capsys.readouterr().out
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from folioflow.plans import materialize
+
+    class Unset:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})()
+        sparkContext = type("S", (), {"master": "spark://host:7077"})()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        materialize.shared_dir(Unset())
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """The entry imports without the subpackage, and doesn't hide errors inside it."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("folioflow", "__spark_entry__.py"):
+        (shutil.copytree if os.path.isdir(f"{root}/{name}") else shutil.copy)(f"{root}/{name}", f"{tmp_path}/{name}")
+    shutil.rmtree(tmp_path / "folioflow" / "llm", ignore_errors=True)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    done = run()
+    assert done.returncode == 0 and done.stdout.split()[1] == "False" and int(done.stdout.split()[0]) > 50
+    (tmp_path / "folioflow" / "llm").mkdir()
+    (tmp_path / "folioflow" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "folioflow" / "llm" / "registry.py").write_text("import a_module_that_is_missing")
+    assert run().returncode != 0
+
+
 def test_files(spark, tmp_path):
     from folioflow.sources import files
 
@@ -304,7 +494,7 @@ def test_files(spark, tmp_path):
 
 
 def test_stream_upserts_over_two_runs(spark, tmp_path):
-    from folioflow.streaming.ingest import current, read_stream, upsert_stream
+    from folioflow.streaming.ingest import current, read_stream, upsert_stream, versions
 
     write = lambda rows: spark.createDataFrame(rows, "key long, n int, ts timestamp").write.mode("append").parquet(f"{tmp_path}/in")
     t = lambda d: datetime.datetime(2026, 1, d)
@@ -314,3 +504,8 @@ def test_stream_upserts_over_two_runs(spark, tmp_path):
     write([(2, 6, t(3)), (3, 7, t(1))])
     run()
     assert sorted((r.key, r.n) for r in current(spark, f"file://{tmp_path}/t").collect()) == [(1, 2), (2, 6), (3, 7)]
+    write([(1, 99, datetime.datetime(2025, 1, 1)), (3, 8, t(1)), (4, 1, t(1))])  # a late row changes nothing, one of the same time does
+    run()
+    assert sorted((r.key, r.n) for r in current(spark, f"file://{tmp_path}/t").collect()) == [(1, 2), (2, 6), (3, 8), (4, 1)]
+    kept = versions(spark, f"file://{tmp_path}/t")
+    assert len(kept) <= 4 and all(len(v) <= 2 for v in kept.values())
