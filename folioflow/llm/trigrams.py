@@ -3,12 +3,14 @@
 A pattern is walked once. Stretches whose possible strings are few become sets of strings; a set means: for one of its
 strings, all trigrams. Stretches are joined by AND, alternatives by OR. What no trigram constrains is ``True``.
 Trigrams are in ASCII lower case, so a query suits both case-sensitive and case-insensitive rules.
+
+The patterns may hold literals, escapes, classes, groups, alternatives, anchors, greedy, lazy and possessive quantifiers, look-arounds (which
+constrain nothing here) and leading flags; anything else is refused.
 """
 
 from __future__ import annotations
 
-from re import _constants as K
-from re import _parser as parser
+import re
 
 FEW = 128  # possible strings followed at once
 SMALL_CLASS = 8  # characters of a class that are still followed
@@ -16,7 +18,7 @@ SMALL_CLASS = 8  # characters of a class that are still followed
 
 def derive(pattern: str):
     """The query of a pattern: a trigram, ("and", [...]), ("or", [...]) or True."""
-    exact, query = _walk(parser.parse(pattern))
+    exact, query = _walk(parse(pattern))
     return _and([query, _strings(exact)]) if exact is not None else query
 
 
@@ -64,55 +66,147 @@ def _or(parts):
     return kept[0] if len(kept) == 1 else ("or", kept)
 
 
-def _class(items):
-    """The characters of a class, or None where they are many or negated."""
-    found: set[str] = set()
-    for op, arg in items:
-        if op is K.LITERAL:
-            found.add(chr(arg))
-        elif op is K.RANGE and arg[1] - arg[0] < SMALL_CLASS:
-            found |= {chr(c) for c in range(arg[0], arg[1] + 1)}
-        else:
-            return None
-    return found if len(found) <= SMALL_CLASS else None
-
-
-def _walk(nodes):
+CODED = re.compile(r"x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|x\{([0-9A-Fa-f]+)\}")
+CONTROLS = {"n": "\n", "r": "\r", "t": "\t", "f": "\f", "v": "\v", "a": "\a", "0": "\0"}
+QUANTIFIER = re.compile(r"(?:([*+?])|\{(\d+)(,?)(\d*)\})[?+]?")
+MANY = 1 << 30
+
+
+def parse(pattern: str) -> list[tuple]:
+    """The pattern as nodes: ("set", characters or None for many), ("empty",), ("any of", branches), ("repeat", least, most, nodes)."""
+    reader = _Reader(re.sub(r"^\(\?[a-zA-Z]+\)", "", pattern))
+    nodes = reader.branches()
+    if reader.at < len(reader.text):
+        raise ValueError(f"unbalanced parenthesis: {pattern}")
+    return nodes
+
+
+class _Reader:
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def next(self, *starts: str) -> bool:
+        """Step over the first of ``starts`` that comes next."""
+        for s in starts:
+            if self.text.startswith(s, self.at):
+                self.at += len(s)
+                return True
+        return False
+
+    def branches(self) -> list[tuple]:
+        each = [self.sequence()]
+        while self.next("|"):
+            each.append(self.sequence())
+        return each[0] if len(each) == 1 else [("any of", each)]
+
+    def sequence(self) -> list[tuple]:
+        nodes = []
+        while self.at < len(self.text) and self.text[self.at] not in "|)":
+            atom = self.atom()
+            found = QUANTIFIER.match(self.text, self.at)
+            if found:
+                self.at = found.end()
+                sign, low, comma, high = found.groups()
+                least = int(low) if low else int(sign == "+")
+                most = (int(high) if high else MANY if comma else least) if low else 1 if sign == "?" else MANY
+                atom = [("repeat", least, most, atom)]
+            nodes += atom
+        return nodes
+
+    def atom(self) -> list[tuple]:
+        if self.next("("):
+            around = self.next("?=", "?!", "?<=", "?<!")
+            if not around and not self.next("?:", "?>") and self.next("?P<", "?<"):
+                self.at = self.text.index(">", self.at) + 1
+            elif self.text.startswith("?", self.at):
+                raise ValueError(f"unknown group: {self.text}")
+            inside = self.branches()
+            if not self.next(")"):
+                raise ValueError(f"missing parenthesis: {self.text}")
+            return [("empty",)] if around else [("any of", [inside])]
+        if self.next("["):
+            return [("set", self.characters())]
+        if self.next("."):
+            return [("set", None)]
+        if self.next("^", "$", r"\b", r"\B", r"\A", r"\Z", r"\z"):
+            return [("empty",)]
+        return [("set", self.one())]
+
+    def one(self) -> set[str] | None:
+        """A character, or those of an escape."""
+        if not self.next("\\"):
+            self.at += 1
+            return {self.text[self.at - 1]}
+        coded = CODED.match(self.text, self.at)
+        if coded:
+            self.at = coded.end()
+            return {chr(int(next(filter(None, coded.groups())), 16))}
+        self.at += 1
+        c = self.text[self.at - 1]
+        if c in CONTROLS:
+            return {CONTROLS[c]}
+        if c.isalnum() and c not in "dDwWsShHpP":
+            raise ValueError(f"unknown escape: {self.text}")
+        if c in "pP":
+            self.at = self.text.index("}", self.at) + 1
+        return None if c.isalnum() else {c}
+
+    def characters(self) -> set[str] | None:
+        """The characters of a class, or None where they are many or negated."""
+        many = self.next("^")
+        found: set[str] = set()
+        first = True
+        while first or not self.text.startswith("]", self.at):
+            if self.at >= len(self.text):
+                raise ValueError(f"missing bracket: {self.text}")
+            low, first = self.one(), False
+            if low and self.text.startswith("-", self.at) and not self.text.startswith("-]", self.at):
+                self.at += 1
+                a, b = ord(min(low)), ord(min(self.one() or {"\0"}))
+                low = {chr(c) for c in range(a, b + 1)} if b - a < SMALL_CLASS else None
+            many = many or low is None
+            found |= low or set()
+        self.at += 1
+        return None if many or len(found) > SMALL_CLASS else found
+
+
+def _walk(nodes: list[tuple]):
     """(strings, query): all strings that the nodes match, or None; and what holds besides."""
     exact, queries, whole = {""}, [], True
-    for op, arg in nodes:
-        own, query = None, True
-        if op is K.LITERAL:
-            own = {chr(arg)}
-        elif op is K.IN:
-            own = _class(arg)
-        elif op is K.SUBPATTERN:
-            own, query = _walk(arg[-1])
-        elif op is K.BRANCH:
-            each = [_walk(branch) for branch in arg[1]]
-            if all(e is not None for e, _ in each) and all(q is True for _, q in each):
-                own = set().union(*(e for e, _ in each))
-            else:
-                query = _or([_and([q, _strings(e)]) if e is not None else q for e, q in each])
-        elif op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT):
-            low, high, inner = arg
-            inside, inner_query = _walk(inner)
-            if high == 1 and inside is not None and inner_query is True:
-                own = inside | ({""} if low == 0 else set())
-            elif low >= 1:
-                query = _and([inner_query, _strings(inside)]) if inside is not None else inner_query
-                if inside is not None and low == high and len(inside) ** low <= FEW:
-                    own, query = {""}, True
-                    for _ in range(low):
-                        own = {a + b for a in own for b in inside}
-        elif op is K.AT:
-            own = {""}
+    for node in nodes:
+        own, query = _own(node)
         if own is not None and len(own) * len(exact) <= FEW:
             exact = {a + b for a in exact for b in own}
             queries.append(query)
         else:
             queries += [_strings(exact), _and([query, _strings(own)]) if own is not None else query]
             exact, whole = {""}, False
-    if whole:
-        return exact, _and(queries)
-    return None, _and([*queries, _strings(exact)])
+    return (exact, _and(queries)) if whole else (None, _and([*queries, _strings(exact)]))
+
+
+def _own(node: tuple):
+    """``_walk`` for one node."""
+    if node[0] == "set":
+        return node[1], True
+    if node[0] == "empty":
+        return {""}, True
+    if node[0] == "any of":
+        each = [_walk(branch) for branch in node[1]]
+        if len(each) == 1:
+            return each[0]
+        if all(strings is not None and query is True for strings, query in each):
+            return set().union(*(strings for strings, _ in each)), True
+        return None, _or([_and([query, _strings(strings)]) if strings is not None else query for strings, query in each])
+    _, least, most, inner = node
+    strings, query = _walk(inner)
+    if strings is not None and query is True:
+        if most == 1:
+            return strings | ({""} if least == 0 else set()), True
+        if 1 <= least == most and len(strings) ** least <= FEW:
+            made = {""}
+            for _ in range(least):
+                made = {a + b for a in made for b in strings}
+            return made, True
+    if least == 0:
+        return None, True
+    return None, _and([query, _strings(strings)]) if strings is not None else query
