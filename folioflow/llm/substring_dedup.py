@@ -13,6 +13,12 @@ what is found for a string goes back to its occurrences by a join whose hot keys
 Copies of a whole text repeat all its windows: those of the ``COPIES`` largest groups are marked at once and take no further part. Copies in
 smaller groups go the way of all others, so the bound changes no result.
 
+A minimiser under which more than ``HOT`` strings arrive isn't sorted in one bucket: its strings are cut into windows, the least document of each
+window is aggregated before the shuffle, and the join that brings it back is one that adaptive execution can split.
+
+The filter is bounded by ``max_bits``, about 16 million minimisers or 0.5 GB of text at the default; beyond it more minimisers that don't repeat pass and
+their strings travel too, up to all of them: some three times the text, before compression. No result depends on it.
+
 Windows are judged on the input, never on what is left. Null and empty texts have no words. A null id is neither smaller
 nor larger than another: such a row is left whole. Rows that share an id don't repeat each other. Tables without rows, ties and extra
 columns need no rule; extra columns pass through.
@@ -30,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import bitfilter, wordhash
+from folioflow.llm.training import slices
 from folioflow.plans.materialize import spill
 
 WINDOW, MINI = 13, 4
@@ -39,7 +46,8 @@ SENT = 100_000  # strings that a task remembers to have sent
 WORDS = 150_000  # word hashes that a task keeps
 BATCH = 128  # documents handled at once
 COPIES = 50_000  # groups of equal texts, the largest, whose copies are told apart beforehand
-CHUNK = 20_000  # packed strings sorted at once, more where one minimiser has more
+CHUNK = 20_000  # packed strings sorted at once, at most HOT more
+HOT = 5_000
 
 
 def minimisers(h: np.ndarray, window: int, mini: int) -> np.ndarray:
@@ -84,7 +92,7 @@ def _held(window: int, mini: int, first):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = wordhash.WordHashes(WORDS)
-        for frame in frames:
+        for frame in slices(frames, BATCH):
             frame = frame[~_copies(frame, first.value)]
             owner, _, _, keys = super_kmers([wordhash.split(t) for t in frame["text"]], cache, window, mini)
             order = np.lexsort((keys, owner))
@@ -108,7 +116,7 @@ def _super_kmers(window: int, mini: int, bloom, first):
         sent: dict[tuple[int, int], tuple[int, int]] = {}
         bits = bloom.value
         size = np.uint64(len(bits) * 64 - 1)
-        for frame in frames:
+        for frame in slices(frames, BATCH):
             if len(sent) > SENT:
                 sent.clear()
             again = _copies(frame, first.value)
@@ -208,6 +216,34 @@ def _count(window: int):
     return run
 
 
+def _windows(window: int):
+    """The windows of packed strings: (mini, p0, k, a, b, lo, hi), a and b being the 128-bit hash of the k-th window."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = wordhash.WordHashes(WORDS)
+        for frame in slices(frames, CHUNK):
+            words = [s.encode("utf-8", "surrogatepass").split() for s in frame["packed"]]
+            sizes = np.array([len(w) for w in words], np.int64)
+            counts = sizes - window + 1
+            h, tops = cache.of(list(chain.from_iterable(words))), np.cumsum(counts)
+            k = np.arange(counts.sum()) - np.repeat(tops - counts, counts)
+            at = k + np.repeat(np.cumsum(sizes) - sizes, counts)
+            a, b = (wordhash.rolled(h, window, seed)[at].view(np.int64) for seed in (1, 2))
+            own = {c: np.repeat(frame[c].to_numpy(), counts) for c in ("mini", "p0", "lo", "hi")}
+            yield pd.DataFrame(own | {"k": k.astype(np.int32), "a": a, "b": b})
+
+    return run
+
+
+def _hot(sent: DataFrame, window: int) -> DataFrame:
+    """What ``_count`` gives, for strings of hot minimisers."""
+    strings = sent.groupBy("mini", "p0").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("packed").alias("packed"))
+    windows = spill(strings.mapInPandas(_windows(window), "mini long, p0 long, lo long, hi long, k int, a long, b long"), "hot-windows")
+    least = spill(windows.groupBy("a", "b").agg(F.min("lo").alias("least")), "hot-least")
+    met = windows.join(least, ["a", "b"]).groupBy("mini", "p0").agg(F.array_sort(F.collect_list(F.struct("k", "least"))).alias("each"), F.max(F.col("least") < F.col("hi")).alias("late"))
+    return met.filter("late").select("mini", "p0", F.transform("each", lambda x: x["least"]).alias("least"))
+
+
 def _collected(bloom: DataFrame, bits: int) -> np.ndarray:
     """The filter as an array; ``bits`` bounds it."""
     out = np.zeros(bits // 64, np.int64)
@@ -220,7 +256,6 @@ def _collected(bloom: DataFrame, bits: int) -> np.ndarray:
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, mini: int = MINI, max_bits: int = bitfilter.MAX_BITS) -> DataFrame:
     """(id, th, starts): for each document, the first words of windows that also start in a smaller id. th is xxhash64 of the text."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     text = F.col(f"`{text_col}`")
     texts = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("th2"), text.alias("text"))
     thin = spill(texts.select("id", "th", "th2", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars")), "text-hashes")
@@ -233,7 +268,16 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bloom = spark.sparkContext.broadcast(_collected(bitfilter.build(twice), bits))
     cand = spill(texts.mapInPandas(_super_kmers(window, mini, bloom, first), "mini long, id long, th long, start int, p0 long, role byte, packed string"), "super-kmers")
     sent = cand.filter("role IN (1, 2)").select("mini", "p0", "id", "packed")
+    places = bitfilter.bits_for(sent.count() // (HOT // 10), max_bits)
+    place = bitfilter.positions(F.col("mini"), places, 1)[0]
+    crowded = spill(sent.groupBy(place.alias("pos")).count().filter(F.col("count") > HOT).select("pos"), "hot-minimisers")
+    hot = None
+    if crowded.count():
+        probed = bitfilter.probe(sent, bitfilter.build(crowded), F.col("mini"), places, "hot", 1)
+        sent, hot = probed.filter("NOT hot").drop("hot"), probed.filter("hot").drop("hot")
     counted = sent.repartition("mini").sortWithinPartitions("mini").mapInPandas(_count(window), "mini long, p0 long, least array<long>")
+    if hot is not None:
+        counted = counted.unionByName(_hot(hot, window))
     late = F.filter(F.transform("least", lambda d, k: F.when(d < F.col("id"), F.col("start") + k)), lambda s: s.isNotNull())
     met = cand.filter("role < 3").select("mini", "p0", "id", "th", "start").join(counted, ["mini", "p0"]).select("id", "th", late.alias("starts")).filter(F.size("starts") > 0)
     copied = cand.filter("role = 3").select("id", "th", F.sequence(F.lit(0), F.col("start") - 1).alias("starts"))

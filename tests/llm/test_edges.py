@@ -414,6 +414,23 @@ def test_substrings(docs, none):
     assert got[9][0][0] == 30_000 and substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_substrings_under_hot_minimisers(spark, monkeypatch):
+    """A line that every document holds between words of its own: buckets larger than HOT give what sorting gives."""
+    import random
+
+    rng = random.Random(4)
+    line = " ".join(f"common{i}" for i in range(15))
+    rows = [(i, " ".join(f"d{rng.randint(0, 40)}" for _ in range(30)) + f" {line} " + " ".join(f"e{i}x{j}" for j in range(rng.randint(0, 20)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    read = lambda: sorted((r.doc_id, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(df).collect())
+    whole = read()
+    monkeypatch.setattr(substring_dedup, "HOT", 20)
+    called = []
+    real = substring_dedup._hot
+    monkeypatch.setattr(substring_dedup, "_hot", lambda *a: called.append(1) or real(*a))
+    assert read() == whole and called and sum(n >= 15 for _, n, _ in whole) == 299
+
+
 def test_pieces(docs, none, spark):
     coded = sentencepieces.decode(sentencepieces.encode(docs))
     for r in coded.collect():
