@@ -342,6 +342,16 @@ def test_answer_json_and_models(spark):
     assert [r.name for r in list_models(spark, models, "b").collect()] == ["b", "c"] and list_models(spark, models, "b", True).count() == 3
 
 
+def test_short_lists_of_questions(spark, tmp_path):
+    from folioflow.__main__ import entity_queries, questions
+
+    asked = entity_queries(spark).filter(F.array_contains(A.detect_entities(F.col("question")), F.col("class")))
+    assert sorted(r["class"] for r in asked.collect()) == sorted(D.ASKED_CLASSES)
+    (tmp_path / "q.json").write_text('{"question": "x", "class": "y"}\n')
+    assert [tuple(r)[:2] for r in entity_queries(spark, str(tmp_path / "q.json")).collect()] == [("x", "y")]
+    assert [r.question for r in questions(spark).collect()] == D.SAMPLE_QUESTIONS
+
+
 def test_config_and_tracing():
     env = {"A": "kept"}
     assert config.parse("# c\nexport B='x y'\nA=1\nbad") == {"B": "x y", "A": "1"} and config.load("/nonexistent/.env", env) == {}
