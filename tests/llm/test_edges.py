@@ -44,6 +44,21 @@ def test_exact_dedup_with_a_full_filter(docs):
     assert sorted(map(str, exact_dedup.decide(docs, max_bits=64).collect())) == sorted(map(str, exact_dedup.decide(docs).collect()))
 
 
+def test_filters_of_ranges_keep_their_effect(spark):
+    """Keys far beyond one filter: each range has its own, all repeated keys pass and few others do; one filter would let nearly all pass."""
+    from folioflow.llm import bitfilter
+    from folioflow.plans.materialize import spill
+
+    keys = spill(spark.range(3000).selectExpr("CAST(id AS string) AS k").unionAll(spark.range(100).selectExpr("CAST(id * 7 AS string) AS k")), "keys")
+    n, bits = keys.count(), 4096
+    assert bitfilter.ranges_for(n, bits) == 13
+    got = bitfilter.maybe_repeated(keys, "k", n, bits)
+    sent = {r.k for r in got.filter("maybe").collect()}
+    assert got.count() == n and {str(i * 7) for i in range(100)} <= sent and len(sent) < 100 + 0.1 * 2900
+    one = bitfilter.probe(keys, bitfilter.repeated(keys.select("k"), bits), F.col("k"), bits, "maybe")
+    assert one.filter("maybe").count() > 0.4 * n
+
+
 def test_near_duplicates(docs, none):
     got = {}
     for r in minhash.near_duplicates(docs, shingle=4).collect():

@@ -88,7 +88,10 @@ def test_mix_is_near_its_targets(spark):
 
 def test_pipeline_against_plain_stages(spark):
     """Every stage on its predecessor's rows, decided anew by plain Python."""
+    import duckdb
+
     import corpus_pipeline as P
+    from folioflow.llm import language_id, sql
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = {}
@@ -97,6 +100,8 @@ def test_pipeline_against_plain_stages(spark):
         kept[name] = (docs.toPandas(), out.toPandas())
         docs = spark.createDataFrame(kept[name][1], out.schema)
     before, after = kept["language"]
+    model = language_id.train(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    assert sorted(after["doc_id"]) == sorted(i for i, t in zip(before["doc_id"], before["text"], strict=True) if not model.judge(t)[2])
     assert set(after["doc_id"]) <= set(before["doc_id"]) and len(after) > 0.98 * len(before) and list(after.columns) == list(before.columns)
     before, after = kept["exact"]
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
@@ -105,6 +110,10 @@ def test_pipeline_against_plain_stages(spark):
     sets = {i: shingle_set(low(t), 5) for i, t in zip(before["doc_id"], before["text"], strict=True)}
     assert sorted(after["doc_id"]) == sorted(set(roots(sets, 80).values()))
     before, after = kept["mix"]
+    con = duckdb.connect()
+    con.register("documents", before)
+    copies = {i: n for i, n in con.sql(f"SELECT doc_id, copies FROM ({sql.MIXING}) WHERE copies > 0").fetchall()}
+    assert after.groupby("doc_id").size().to_dict() == copies
     assert set(after["doc_id"]) <= set(before["doc_id"]) and after.groupby("doc_id").size().max() <= 3 and list(after.columns) == list(before.columns)
     assert len(kept["tokens"][1]) == len(after) and kept["tokens"][1]["round_trip"].all()
 
