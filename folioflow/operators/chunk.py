@@ -81,7 +81,7 @@ def pack(steps: Column) -> Column:
                 F.when(adds, counted + F.char_length(x["text"]) + 1).otherwise(counted).alias("n"),
             )
 
-        return bind(strip(F.array_join(acc["buf"], "\n")), with_text)
+        return bind(F.when(flush, strip(F.array_join(acc["buf"], "\n"))), with_text)  # what is held back is joined only to be cut
 
     start = F.struct(no_chunks.alias("out"), no_lines.alias("path"), no_lines.alias("buf"), F.lit(0).alias("n"))
     return F.aggregate(steps, start, step, lambda acc: bind(strip(F.array_join(acc["buf"], "\n")), lambda text: emit(acc["out"], acc["path"], text)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folioflow.dictionaries import QUERY_PREFIX
 
 DIM = 384
+PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Embedder(Protocol):
@@ -29,18 +30,29 @@ class HashingEmbedder:
         self.dim = dim
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
+        out = np.zeros((len(texts), self.dim), np.float64)
+        known = _Terms()
         for row, text in zip(out, texts, strict=True):
-            words = [w.strip(".,;:()[]\"'?!") for w in (text or "").lower().split()]
-            words = [w[:-1] if len(w) > 3 and w.endswith("s") else w for w in words if w]
-            for term in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
-                h = xxhash.xxh64_intdigest(term)
-                row[h % self.dim] += 1.0 if h >> 63 else -1.0
-            row[:] = np.sign(row) * np.sqrt(np.abs(row))
-            length = np.linalg.norm(row)
-            if length:
-                row /= length
-        return out
+            words = np.fromiter(map(known.__getitem__, (text or "").lower().split()), np.uint64)
+            words = words[words > 0]
+            if len(words):
+                terms = np.concatenate([words, (words[:-1] * PAIR + words[1:]) * PAIR])
+                row += np.bincount((terms % np.uint64(self.dim)).astype(np.int64), np.where(terms >> np.uint64(63), 1.0, -1.0), self.dim)
+        out = np.sign(out) * np.sqrt(np.abs(out))
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(length > 0, length, 1.0)).astype(np.float32)
+
+
+class _Terms(dict):
+    """The hash of each word without punctuation around it and without a plural s; 0 where nothing is left. It is emptied when it is large."""
+
+    def __missing__(self, token: str) -> int:
+        word = token.strip(".,;:()[]\"'?!")
+        word = word[:-1] if len(word) > 3 and word.endswith("s") else word
+        if len(self) >= 200_000:
+            self.clear()
+        self[token] = h = (xxhash.xxh64_intdigest(word) or 1) if word else 0
+        return h
 
 
 def embed(rows: DataFrame, embedder: Embedder, text_col: str = "text", out: str = "embedding") -> DataFrame:
