@@ -2,9 +2,9 @@
 
 Every rule is a regular expression; a Boolean trigram query is derived from it. The index holds, for each trigram that
 some query names, its postings: words of 64 documents, keyed by id // 64. Postings are intersected word by word,
-which gives candidate documents for each rule; candidates are verified with the rule itself. A rule without mandatory
-trigrams (the hexadecimal one) scans every document. Documents that are candidates of no indexed rule don't
-shuffle: a Bloom filter of candidate ids, of bounded size, lets them pass straight through.
+which gives candidate documents for each rule; a candidate is verified with the rules themselves. A rule without mandatory
+trigrams (the hexadecimal one) scans every document. Documents never shuffle: a Bloom filter of candidate ids, of bounded size, tells
+which to verify. Its false positives, more of them where candidates are too many for it, are verified in vain and change nothing.
 
 A span is (kind, start, end) in code points, end exclusive; matches of a kind are leftmost and don't overlap. Null
 and empty texts have no spans. Rows with a null id can't be indexed and are verified against every rule. Rows that share an
@@ -117,28 +117,19 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     """``docs`` with ``secret_spans``, which replaces a column of that name: array of (start, kind, end), kind being the place of the rule in ``rules``, sorted."""
     derived = queries_of(rules)
     indexed = {k: q for k, q in derived.items() if q is not True}
-    place = {k: i for i, k in enumerate(indexed)}
     names = sorted(set().union(set(), *map(trigrams.vocabulary, indexed.values())))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     packed = packed.select("doc", F.col(f"doc.`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")).alias("body"))
-    none = F.lit(0).cast("long")
     if indexed:
         index = spill(build_index(docs, names, id_col, text_col), "trigram-index")
         found = spill(candidates(index, indexed), "trigram-candidates")
         bits = bitfilter.bits_for(found.count(), max_bits)
         probed = bitfilter.probe(packed, bitfilter.present(found.select("id"), bits), F.col("id"), bits, "maybe")
-        every = F.lit((1 << len(indexed)) - 1).cast("long")
-        met = probed.filter("maybe AND id IS NOT NULL").join(found.withColumnRenamed("id", "found_id"), F.col("id") == F.col("found_id"), "left").select("doc", "body", F.coalesce("rules", none).alias("rules"))
-        passed = probed.filter("NOT maybe OR id IS NULL").select("doc", "body", F.when(F.col("id").isNull(), every).otherwise(none).alias("rules"))
-        packed = passed.unionByName(met)
-    else:
-        packed = packed.select("doc", "body", none.alias("rules"))
+        packed = probed.select("doc", "body", (F.col("maybe") | F.col("id").isNull()).alias("candidate"))
     parts = []
     for order, rule in enumerate(rules):
         own = spans_of(F.col("body"), rule, order)
-        if rule.kind in place:
-            own = F.when(F.col("rules").bitwiseAND(1 << place[rule.kind]) != 0, own).otherwise(F.array().cast(SPAN))
-        parts.append(own)
+        parts.append(F.when(F.col("candidate"), own).otherwise(F.array().cast(SPAN)) if rule.kind in indexed else own)
     kept = [F.col(f"doc.`{c}`") for c in docs.columns if c.lower() != "secret_spans"]
     return packed.select(*kept, F.array_sort(F.concat(*parts)).alias("secret_spans"))
 
