@@ -109,12 +109,6 @@ def with_ids(chunks: DataFrame, key: str = "doc_key") -> DataFrame:
     return chunks.withColumn("chunk_id", F.xxhash64(F.col(key), F.col("chunk_index")))
 
 
-def upper_median(x: Column) -> Column:
-    """The element at place n // 2 of the sorted values."""
-    ordered = F.sort_array(F.collect_list(x))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
-
-
 def upper_median_by(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """The upper median of ``value`` for each key from counts of equal values: no group is collected."""
     from pyspark.sql import Window as W

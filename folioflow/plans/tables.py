@@ -14,6 +14,7 @@ from folioflow.operators import store
 from folioflow.operators.blocks import blocks
 from folioflow.operators.chunk import chunk, text_blocks, with_ids
 from folioflow.operators.embed import HashingEmbedder, embed
+from folioflow.operators.generate import decode_answers
 from folioflow.operators.parse import parse_directions
 from folioflow.plans.documents import _CLASS, _CLASSES, CHUNK_SQL, TITLES_SQL, _scan_sql, titles
 from folioflow.plans.materialize import shared_dir
@@ -178,3 +179,23 @@ def table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     made = read_table(spark, sf_dir, "documents").select("doc_id", html.alias("html")).select("doc_id", blocks("html").alias("b"))
     return made.select("doc_id", F.posexplode("b").alias("pos", "b")).select("doc_id", "pos", "b.kind", "b.text")
+
+
+@R.add("SELECT doc_id::VARCHAR AS key, 'bodies/' || doc_id AS body_path, length(text) AS n_chars FROM documents WHERE doc_id % 5 > 0 AND doc_id % 3 > 0")
+def docs_with_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents beside their bodies; those without a path, and those whose file is missing, are left out."""
+    docs = _docs(spark, sf_dir).withColumn("body_path", F.when(F.col("body_path").isNotNull(), F.concat(F.lit("bodies/"), F.col("key"))))
+    kept = read_table(spark, sf_dir, "documents").filter("doc_id % 3 > 0").select(F.concat(F.lit("bodies/"), _text("doc_id")).alias("body_path"), F.col("text").alias("html"))
+    return files.with_bodies(docs, kept).select("key", "body_path", F.char_length("html").cast("long").alias("n_chars"))
+
+
+@R.add("""SELECT conv_id, turn, md5(text) AS answer_md5, turn % 3 AS source_id, left(text, 20) AS quote, turn % 2 = 0 AS insufficient_context FROM conversations WHERE text IS NOT NULL""")
+def answers_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said in the conversations as answers in JSON, decoded by their schema."""
+    cites = F.array(F.struct((F.col("turn") % 3).alias("source_id"), F.substring("text", 1, 20).alias("quote")))
+    body = F.to_json(F.struct(F.col("text").alias("answer"), cites.alias("citations"), (F.col("turn") % 2 == 0).alias("insufficient_context"), F.lit("more").alias("unknown")))
+    said = read_table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", body.alias("json"))
+    reply, cite = F.col("reply"), F.col("reply.citations")[0]
+    return decode_answers(said).select(
+        "conv_id", "turn", F.md5(reply["answer"]).alias("answer_md5"), cite["source_id"].cast("long").alias("source_id"), cite["quote"].alias("quote"), reply["insufficient_context"].alias("insufficient_context")
+    )
