@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from folioflow.llm.minhash import near_duplicates
 from folioflow.llm.mixing import mix_plan
 from folioflow.llm.substring_dedup import substring_dedup
 from folioflow.llm.training import held_out
+from folioflow.session import bounded
 from folioflow.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,7 +85,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {
+    found = {
         "op1_minhash": op1_minhash,
         "op2_toxicity": op2_toxicity,
         "op3_html_extract": op3_html_extract,
@@ -95,6 +97,15 @@ def queries() -> dict[str, Query]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_mixing": op10_mixing,
     }
+    return {name: _bounded(query) for name, query in found.items()}
+
+
+def _bounded(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(bounded(spark), sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:
