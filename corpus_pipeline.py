@@ -21,10 +21,12 @@ from folioflow.llm.exact_dedup import exact_dedup
 from folioflow.llm.minhash import near_dedup
 from folioflow.llm.mixing import mix_sources
 from folioflow.plans.materialize import spill
+from folioflow.session import bounded
 from folioflow.sources.tables import read_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return language_id.accepted(docs, language_id.train(docs))
 
 
@@ -33,6 +35,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return near_dedup(docs)
 
 
@@ -41,6 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     coded = sentencepieces.encode_and_decode(docs)
     return coded.select(
         "doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
