@@ -21,7 +21,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC,
 """
 _LABEL = "[label::VARCHAR]"
 _SOME = "CASE WHEN embedding[1]::DOUBLE > 0.15 THEN [] ELSE [label::VARCHAR] END"
-_TOP = _CORPUS + "SELECT query_id, rank::BIGINT AS rank, id, round(sim, 4) AS sim FROM ranked WHERE rank <= 10"
+_TOP = _CORPUS + "SELECT query_id, rank::BIGINT AS rank, id, sim FROM ranked WHERE rank <= 10"
 
 
 def _no_class():
@@ -43,7 +43,7 @@ def asked(spark: SparkSession, sf_dir: str, classes=None) -> DataFrame:
 
 
 def _shown(found: DataFrame) -> DataFrame:
-    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("sim", 4).alias("sim"))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "sim")
 
 
 @R.add(_TOP.format(applies=_LABEL, where="true"))
@@ -88,12 +88,12 @@ def precision_at_k_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.precision(search.topk(corpus(spark, sf_dir, unscoped=True), q, 10, exclude_self=True), q)
 
 
-@R.add(_CORPUS.format(applies=_LABEL, where="id <> query_id") + "SELECT query_id, rank::BIGINT AS rank, id, round(sim, 4) AS sim FROM ranked WHERE rank <= 5")
+@R.add(_CORPUS.format(applies=_LABEL, where="id <> query_id") + "SELECT query_id, rank::BIGINT AS rank, id, sim FROM ranked WHERE rank <= 5")
 def neighbour_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(search.topk(corpus(spark, sf_dir), asked(spark, sf_dir), 5, exclude_self=True))
 
 
-@R.add(_CORPUS.replace("WHERE vec_id % 100 = 0", "ORDER BY md5(vec_id::VARCHAR || ':0'), vec_id LIMIT 6").format(applies=_LABEL, where="id <> query_id") + "SELECT query_id, rank::BIGINT AS rank, id, round(sim, 4) AS sim FROM ranked WHERE rank <= 5")
+@R.add(_CORPUS.replace("WHERE vec_id % 100 = 0", "ORDER BY md5(vec_id::VARCHAR || ':0'), vec_id LIMIT 6").format(applies=_LABEL, where="id <> query_id") + "SELECT query_id, rank::BIGINT AS rank, id, sim FROM ranked WHERE rank <= 5")
 def neighbour_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of six rows drawn by a hash: a sample is the feature."""
     return _shown(search.probe(corpus(spark, sf_dir)))
