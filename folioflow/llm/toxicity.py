@@ -3,9 +3,10 @@
 Texts are folded first: case, homoglyphs of other alphabets, and digits or signs that stand for letters in a word. A spelling that can be
 read in several ways (1 for i or l; @ or $ at the start or end, a letter or none) is read as the lexicon word among its readings. The lexicon and its
 weights are learned from a bounded sample of labelled rows (``TRAIN_ROWS``): a word's weight is its log-odds between toxic and
-clean documents, and words enter by their G statistic. A word counts once for each pair of neighbours it is seen with, so copies of one
+clean documents, and words enter by their G statistic, which must exceed what chance brings among so many words. A word counts once for each pair of neighbours it is seen with, so copies of one
 document don't make its words look telling. Phrases of two words that are common in clean documents are exceptions: their words don't count, however many phrases hold them. The
-weights found in a text are set against its length, and a logistic curve, fitted on the same sample, turns them into a score in [0, 1].
+weights found in a text are set against its length, and a logistic curve, fitted on the same sample and moved so that from ``THRESHOLD`` on a share of ``PRECISION`` of
+its rows is toxic, turns them into a score in [0, 1].
 
 Null and empty texts have no matches and get the score of a text without matches. Without labelled rows of both kinds every score is 0. Labels, languages, sources and
 ids are no inputs of a score. Rows are independent: repeated rows, ties and null ids need no rule, and other columns pass through.
@@ -28,11 +29,10 @@ from folioflow.plans.materialize import spill
 
 TRAIN_ROWS = 30_000
 LEXICON = 400
-LEAST_G = 30.0
 LEAST_WEIGHT = 1.5
 MOST_WEIGHT = 6.0
 EXCEPTION_SUPPORT = 5
-THRESHOLD = 0.7
+THRESHOLD, PRECISION = 0.7, 0.98
 # fixed values: letters of other alphabets that look like Latin ones
 HOMOGLYPHS = str.maketrans("авеіјкмнорстухԁѕαειοκνρτυχ", "abeijkmhopctyxdsaeiokvptyx")
 # fixed values: digits and signs written for letters
@@ -152,6 +152,20 @@ def _occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["word", "before", "after", "toxic"])
 
 
+def shifted(curve: tuple[float, ...], scores: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """The curve moved so that THRESHOLD is the least score from which on the share of toxic rows is at least PRECISION."""
+    order = np.argsort(-scores, kind="stable")
+    ranked, hits = scores[order], np.cumsum(y[order])
+    last = np.append(ranked[1:] != ranked[:-1], True)  # rows of one score stand or fall together
+    good = last & (hits / np.arange(1, len(y) + 1) >= PRECISION)
+    if not good.any():
+        return curve
+    at = int(np.flatnonzero(good)[-1])
+    below = ranked[at + 1] if at + 1 < len(ranked) else 0.0
+    cut = np.clip((ranked[at] + below) / 2, 1e-6, 1 - 1e-6)
+    return (curve[0] + float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(cut / (1 - cut))), *curve[1:])
+
+
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     at_most: int = TRAIN_ROWS, size: int = LEXICON,
@@ -172,12 +186,13 @@ def train(
         return Lexicon({})
     seen = rows.mapInPandas(_occurrences, "word string, before string, after string, toxic int").groupBy("word", "before", "after").agg(F.max("toxic").alias("toxic"))
     seen = spill(seen, "toxicity-words")
-    counts = seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counts = spill(seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "toxicity-counts")
+    least_g = 2 * float(np.log(max(2, counts.count())))  # chance alone brings about one word of all so far
     p, q = bad / (bad + good), good / (bad + good)
     n_word = F.col("t") + F.col("c")
     g = 2 * (F.col("t") * F.log(F.col("t") / (n_word * p)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n_word * q))).otherwise(0.0))
     weight = F.log((F.col("t") + 0.5) / (bad + 1.0)) - F.log((F.col("c") + 0.5) / (good + 1.0))
-    top = counts.filter("t > 0").withColumns({"g": g, "weight": weight}).filter((F.col("g") >= LEAST_G) & (F.col("weight") >= LEAST_WEIGHT))
+    top = counts.filter("t > 0").withColumns({"g": g, "weight": weight}).filter((F.col("g") >= least_g) & (F.col("weight") >= LEAST_WEIGHT))
     found = top.orderBy(F.desc("g"), "word").limit(size).collect()
     lexicon = Lexicon({r["word"]: min(float(r["weight"]), MOST_WEIGHT) for r in found})
     if not found:
@@ -198,7 +213,9 @@ def train(
         return pd.DataFrame([shared.value.features(t, automaton) for t in column], columns=["a", "b"])
 
     table = rows.select(measured("text").alias("x"), "toxic").select("x.a", "x.b", "toxic").toPandas()
-    lexicon.curve = fit_curve(table["a"].to_numpy(), table["b"].to_numpy(), table["toxic"].to_numpy(float))
+    a, b, y = table["a"].to_numpy(), table["b"].to_numpy(), table["toxic"].to_numpy(float)
+    lexicon.curve = fit_curve(a, b, y)
+    lexicon.curve = shifted(lexicon.curve, lexicon.score(a, b), y)
     return lexicon
 
 

@@ -375,6 +375,14 @@ def test_scores_against_loops():
         assert math.isclose(score, 1 / (1 + math.exp(3.0 - a - 0.5 * b)))
 
 
+def test_the_curve_is_moved_to_its_precision():
+    scores, y = toxicity.np.array([0.9, 0.8, 0.6, 0.4, 0.4, 0.1]), toxicity.np.array([1.0, 1.0, 1.0, 1.0, 0.0, 0.0])
+    logit = lambda p: toxicity.np.log(p / (1 - p))
+    moved = toxicity.shifted((0.0, 1.0, 2.0), scores, y)  # the two rows of 0.4 stand or fall together
+    assert abs(moved[0] - (logit(toxicity.THRESHOLD) - logit(0.5))) < 1e-9 and moved[1:] == (1.0, 2.0)
+    assert toxicity.shifted((0.0, 1.0, 2.0), scores, 1 - y) == (0.0, 1.0, 2.0)
+
+
 def test_toxicity_beside_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "x", 1, 2, 0.5)], "doc_id long, text string, doc int, score int, toxicity double")
     got = toxicity.toxicity(df, toxicity.Lexicon({"x": 2.0}, {}, (0.0, 1.0, 0.0)))
