@@ -184,19 +184,36 @@ _LINE_ROWS = """lines AS (SELECT doc_id, '| ' || trim(line) || ' |' AS r, row_nu
 _TABLE_HEAD = "| Line |\n| --- |\n"
 
 
-@R.add(f"""WITH RECURSIVE {_LINE_ROWS},
+_TABLE_PARTS = f"""WITH RECURSIVE {_LINE_ROWS},
 fold AS (SELECT doc_id, place, r, 0 AS part, length(r) + 1 AS n FROM lines WHERE place = 1
   UNION ALL SELECT s.doc_id, s.place, s.r, CASE WHEN full_up THEN part + 1 ELSE part END, CASE WHEN full_up THEN 0 ELSE n END + length(s.r) + 1
   FROM (SELECT t.doc_id, t.place, t.r, f.part, f.n, f.n + length(t.r) > {D.MAX_CHARS - 2 - len("| Line |") - len("| --- |")} AS full_up FROM fold f JOIN lines t ON t.doc_id = f.doc_id AND t.place = f.place + 1) s),
 whole AS (SELECT doc_id, '| Line |' || chr(10) || '| --- |' || chr(10) || string_agg(r, chr(10) ORDER BY place) AS md FROM lines GROUP BY doc_id),
-parts AS (SELECT doc_id, part, '| Line |' || chr(10) || '| --- |' || chr(10) || string_agg(r, chr(10) ORDER BY place) AS text FROM fold GROUP BY doc_id, part)
-SELECT p.doc_id, p.part::INT AS part, md5(CASE WHEN length(md) <= {D.MAX_CHARS} THEN md ELSE p.text END) AS text_md5 FROM parts p JOIN whole USING (doc_id) WHERE length(md) > {D.MAX_CHARS} OR part = 0""")
-def table_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of every document as a markdown table, in parts that repeat its head."""
+parts AS (SELECT doc_id, part, '| Line |' || chr(10) || '| --- |' || chr(10) || string_agg(r, chr(10) ORDER BY place) AS text FROM fold GROUP BY doc_id, part),
+split AS (SELECT p.doc_id, p.part, CASE WHEN length(md) <= {D.MAX_CHARS} THEN md ELSE p.text END AS text FROM parts p JOIN whole USING (doc_id) WHERE length(md) > {D.MAX_CHARS} OR part = 0)
+"""
+
+
+def line_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, md): the lines of every document as a markdown table."""
     lines = F.transform(text_blocks(F.col("text")), lambda b: F.concat(F.lit("| "), b["text"], F.lit(" |")))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).filter(F.size("lines") > 0)
-    md = F.concat(F.lit(_TABLE_HEAD), F.array_join("lines", "\n"))
-    return docs.select("doc_id", F.posexplode(split_table(md)).alias("part", "text")).select("doc_id", "part", F.md5("text").alias("text_md5"))
+    return docs.select("doc_id", F.concat(F.lit(_TABLE_HEAD), F.array_join("lines", "\n")).alias("md"))
+
+
+@R.add(_TABLE_PARTS + "SELECT doc_id, part::INT AS part, md5(text) AS text_md5 FROM split")
+def table_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in parts that repeat its head."""
+    return line_tables(spark, sf_dir).select("doc_id", F.posexplode(split_table(F.col("md"))).alias("part", "text")).select("doc_id", "part", F.md5("text").alias("text_md5"))
+
+
+@R.add(_TABLE_PARTS + f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INT AS chunk_index, 'Annex' AS section, length(text)::INT AS n_chars, md5(text) AS text_md5
+FROM split WHERE length(text) >= {D.MIN_CHARS}""")
+def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables under a heading, with a short line before them: each part of a table is a chunk of its own."""
+    block = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    docs = line_tables(spark, sf_dir).select("doc_id", F.array(block("text", F.lit("Annex")), block("text", F.lit("A short line.")), block("table", F.col("md"))).alias("blocks"))
+    return chunk(docs).select("doc_id", "chunk_index", "section", "n_chars", F.md5("text").alias("text_md5"))
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

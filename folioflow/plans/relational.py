@@ -122,15 +122,16 @@ def running_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event file as a stream, upserted batch by batch into a versioned table."""
+    """The events in files out of order, a file a micro-batch, upserted into a table of buckets: late rows don't replace newer ones."""
     import uuid
 
     from folioflow.streaming.ingest import current, read_stream, upsert_stream
 
-    schema = read_table(spark, sf_dir, "events").schema
+    events = read_table(spark, sf_dir, "events")
     base = f"{shared_dir(spark)}/folioflow-stream-{uuid.uuid4().hex}"
-    stream = read_stream(spark, f"{sf_dir}/events.parquet*", schema).withColumn("newest", F.struct("ts", "event_id"))
-    upsert_stream(stream, f"{base}/table", f"{base}/checkpoint", "user_id", "newest").awaitTermination()
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(f"{base}/in")
+    stream = read_stream(spark, f"{base}/in", events.schema, files_per_trigger=1).withColumn("newest", F.struct("ts", "event_id"))
+    upsert_stream(stream, f"{base}/table", f"{base}/checkpoint", "user_id", "newest", buckets=8).awaitTermination()
     return current(spark, f"{base}/table").select("user_id", "event_id", "event_type")
 
 
