@@ -12,7 +12,7 @@ without a piece become UTF-8 byte pieces.
 
 Null and empty texts have no ids, and decode to the empty text. U+2581 stands for a space inside the vocabulary, so a text that contains it decodes with
 a space in its place; every other text survives the round trip. The path of the model is a parameter; its tables, of fixed size, are
-broadcast. Memory is bounded by ``BLOCK`` bytes of text, the longest text and Spark's own bound of a batch. Rows are independent of each other: repeated rows, ties and null ids
+broadcast. Memory is bounded by ``BLOCK`` bytes of text, the longest text, ``CELLS`` scores and Spark's own bound of a batch. Rows are independent of each other: repeated rows, ties and null ids
 need no rule, and other columns, whatever their names, pass through, but for those that the result replaces.
 """
 
@@ -37,7 +37,7 @@ BASE = U(0x9E3779B97F4A7C15)
 NEVER = np.iinfo(np.int64).max
 PAIRS = 1 << 20  # places for neighbours that a worker remembers
 BLOCK = 1 << 20  # bytes handled as one array, more where one text has more
-CELLS = 1 << 20  # scores held at once, more where one word has more
+CELLS = 1 << 20  # scores held at once
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -274,14 +274,21 @@ class Tables:
                 break
         return found
 
-    def advance(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after another, how many each word has) of words of equal length. ``pieces`` is by word, character and size, as from ``ending``."""
-        count, n, longest = pieces.shape
+    def advance(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, how many each word has) of words of equal length, given as rows of characters."""
+        count, n = words.shape
+        longest = min(n, self.longest)
         last = np.full((count, n + 1), -1, np.int32)  # the backpointer: the last piece of the best path to a place
         every = np.arange(count)
+        first = stop = 0  # the pieces at hand end from first to stop
         for end in range(1, n + 1):
+            if end > stop:
+                first, stop = stop, min(n, stop + max(1, CELLS // (count * self.longest)))
+                left = max(0, first + 1 - longest)
+                some = words[:, left:stop]
+                pieces = self.ending(some.ravel(), np.repeat((every + 1) * some.shape[1], some.shape[1])).reshape(count, -1, self.longest)[:, first - left :]
             sizes = min(end, longest)
-            piece = pieces[:, end - 1, :sizes]
+            piece = pieces[:, end - 1 - first, :sizes]
             before = last[:, end - sizes : end][:, ::-1]
             best = (piece >= 0) & (before >= 0)  # the scores: true for 0, false for minus infinity
             if end <= longest:  # a piece from the start has no step before it, and no other path then
@@ -368,9 +375,7 @@ class Tables:
         while at < len(starts):
             n = int(lengths[at])
             stop = min(int(np.searchsorted(lengths, n, "right")), at + max(1, CELLS // (n * self.longest)))
-            words = codes[starts[at:stop, None] + np.arange(n)]
-            ends = np.repeat(np.arange(1, stop - at + 1) * n, n)
-            ids, used = self.advance(self.ending(words.ravel(), ends).reshape(stop - at, n, self.longest))
+            ids, used = self.advance(codes[starts[at:stop, None] + np.arange(n)])
             pool.append(ids)
             counts.append(used)
             at = stop
