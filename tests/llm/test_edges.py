@@ -93,6 +93,26 @@ def test_blocks_find_what_all_pairs_find(spark):
     assert got == roots({i: shingle_set(t, 4) for i, t in texts.items()}, 80)
 
 
+def test_components_of_chains_stars_and_nothing(spark):
+    import random
+
+    from folioflow.llm.components import components
+
+    rng = random.Random(1)
+    for links in ([], [(1, 1)], [(i, i + 1) for i in range(40)], [(500, i) for i in range(1, 60)] + [(500, 700)], [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]):
+        named = {n: {(min(e), max(e)) for e in links if n in e and e[0] != e[1]} for e in links for n in e}
+        want = {}
+        for n in sorted(named):
+            todo, seen = [n], {n}
+            while todo:
+                for e in named[todo.pop()]:
+                    for m in set(e) - seen:
+                        seen.add(m)
+                        todo.append(m)
+            want[n] = min(seen)
+        assert {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()} == {n: r for n, r in want.items() if n != r}
+
+
 def test_estimate_is_corrected_for_chance():
     assert minhash.least_agreeing(minhash.MARGIN) == int(minhash.BANDS * minhash.ROWS / 2**minhash.BITS)
 
