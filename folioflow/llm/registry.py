@@ -8,11 +8,12 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import html_extract, language_id, secrets, sentencepieces, sql, toxicity
+from folioflow.llm import html_extract, language_id, secrets, sentencepieces, sql, toxicity, turn_repair, warc
 from folioflow.llm.exact_dedup import decide
 from folioflow.llm.fingerprints import edited_fingerprints
 from folioflow.llm.minhash import near_duplicates
 from folioflow.llm.mixing import mix_plan
+from folioflow.llm.prefix_trie import prefix_trie
 from folioflow.llm.substring_dedup import substring_dedup
 from folioflow.llm.training import held_out
 from folioflow.session import bounded
@@ -84,6 +85,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.scratch_archive(spark)
+    warc.write_warc(read_table(spark, sf_dir, "pages"), path)
+    return warc.read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = turn_repair.repair(turn_repair.damage(read_table(spark, sf_dir, "conversations")))
+    return found.select(*[c for c in found.columns if c != "turns"], F.sha2(F.encode(turn_repair.written(F.col("turns")), "UTF-8"), 256).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Query]:
     found = {
         "op1_minhash": op1_minhash,
@@ -96,6 +112,9 @@ def queries() -> dict[str, Query]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_mixing": op10_mixing,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_warc": op12_warc,
+        "op13_turn_repair": op13_turn_repair,
     }
     return {name: _bounded(query) for name, query in found.items()}
 
@@ -116,4 +135,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_secret_scan": sql.SECRETS,
         "op9_substring_dedup": sql.SUBSTRINGS,
         "op10_mixing": sql.MIXING,
+        "op11_prefix_trie": sql.PREFIX_TRIE,
+        "op12_warc": sql.WARC,
+        "op13_turn_repair": sql.TURN_REPAIR,
     }

@@ -85,6 +85,105 @@ SELECT page_id, url, text, length(text) AS n_chars FROM tidy
 """
 
 
+WARC = r"""
+WITH sized AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+placed AS (SELECT *, row_number() OVER same AS n, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM sized WINDOW same AS (PARTITION BY payload_digest ORDER BY page_id, url))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND n > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND n > 1 THEN least END AS refers_to
+FROM placed
+"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of an ASCII text, bit by bit."""
+    byte = f"list_transform(range(1, len({text}) + 1), lambda i: ascii({text}[i])::BIGINT)"
+    shifted = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce({byte}, lambda crc, b: list_reduce(range(8), lambda c, n: {shifted}, xor(crc, b)), 4294967295::BIGINT), 4294967295)"
+
+
+PREFIX_TRIE = rf"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos, digest, words
+  FROM (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, len({WORDS}) AS words
+        FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32("(conv_id::VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT i.conv_id, 0 AS part, pos, digest, words FROM ids i JOIN turns t ON t.conv_id = base AND pos <= h
+  UNION ALL SELECT i.conv_id, 1, pos, digest, words FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND pos > h),
+placed AS (SELECT conv_id, row_number() OVER run AS d, string_agg(digest, '') OVER run AS path, words FROM rebuilt WINDOW run AS (PARTITION BY conv_id ORDER BY part, pos)),
+members AS (
+  SELECT conv_id, 0 AS d, '' AS node, NULL AS parent, 0 AS words FROM ids
+  UNION ALL SELECT conv_id, d, md5(path), CASE WHEN d = 1 THEN '' ELSE md5(path[:-33]) END, words FROM placed),
+ended AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS last FROM members),
+nodes AS (
+  SELECT d, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends FROM ended GROUP BY d, node),
+family AS (SELECT v.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.parent = v.node AND c.d = v.d + 1) AS children FROM nodes v LEFT JOIN nodes u ON u.node = v.parent AND u.d = v.d - 1),
+below AS (
+  SELECT m.d, m.node, sum((v.n - 1) * v.words)::BIGINT AS saved, count(*) FILTER (v.children = 0) AS leaves
+  FROM family v JOIN members m ON m.conv_id = v.conv_id AND m.d <= v.d GROUP BY m.d, m.node)
+SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n AS n_convs, children AS n_children, leaves AS n_leaves, saved AS saved_tokens, ends AS ends_sha256
+FROM family JOIN below USING (d, node)
+"""
+
+
+def _turn_repair() -> str:
+    """The lattice row by row: for each state of the grammar the least of cost and audit, as a text of six digits and the audit."""
+
+    def edit(key: str, price: str, letter: str) -> str:
+        return f"(printf('%06d', {key}[1:6]::BIGINT + {price}) || {key}[7:] || '{letter}')"
+
+    def inserted(us: str, ai: str, st: str, sy: str) -> tuple[str, str]:
+        user = f"least({us}, {edit(st, '2', 'I')}, {edit(sy, '2', 'I')}, {edit(ai, '2', 'I')})"
+        return user, f"least({ai}, {edit(user, '2', 'I')})"
+
+    user, assistant = inserted("us", "ai", "st", "sy")
+
+    def used(into: str, origins: list[str], initial: str | None) -> str:
+        found = [f"CASE WHEN fault < 2 AND {key} IS NOT NULL THEN {edit(key, '2 + fault', 'R')} END" for key in origins if initial in ("u", "a")]
+        found += [f"CASE WHEN fault < 2 AND initial = '{initial}' THEN {edit(key, 'fault', 'K')} END" for key in origins] if initial else []
+        return f"least({', '.join([edit(into, '3', 'D'), *found])})"
+
+    spaces = "||".join(f"chr({i})" for i in (32, 9, 10, 11, 12, 13))
+    k = _crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")
+    return rf"""
+WITH RECURSIVE chosen AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {k} % 20 AS k FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM chosen),
+placed AS (
+  SELECT *, coalesce(conv_id::VARCHAR, '-') AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, rtrim(text, {spaces}) AS bare FROM damaged),
+rows AS (
+  SELECT *, role[1] AS initial, CASE WHEN bare = '' THEN 3 WHEN seen > 1 THEN 2 WHEN bare[-1] NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+         lag(role[1]) OVER (PARTITION BY c ORDER BY i) AS before FROM placed),
+report AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 3) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY c),
+lattice AS (
+  SELECT DISTINCT c, 0::BIGINT AS i, '000000' AS st, NULL::VARCHAR AS sy, NULL::VARCHAR AS us, NULL::VARCHAR AS ai FROM rows
+  UNION ALL
+  SELECT f.c, r.i, {edit("st", "3", "D")}, {used("sy", ["st"], "s")}, {used("us", ["st", "sy", "ai"], "u")}, {used("ai", ["us"], "a")}
+  FROM (SELECT c, i, st, sy, {user} AS us, {assistant} AS ai FROM lattice) f JOIN rows r ON r.c = f.c AND r.i = f.i + 1),
+best AS (
+  SELECT c, key[1:6]::BIGINT AS cost, key[7:] AS audit
+  FROM (SELECT c, least(st, {assistant}) AS key, row_number() OVER (PARTITION BY c ORDER BY i DESC) AS n FROM lattice) WHERE n = 1),
+letters AS (SELECT c, j, audit[j] AS letter FROM (SELECT c, audit, unnest(range(1, len(audit) + 1)) AS j FROM best)),
+steps AS (SELECT *, count(*) FILTER (letter <> 'I') OVER run AS i, count(*) FILTER (letter <> 'D') OVER run AS p FROM letters WINDOW run AS (PARTITION BY c ORDER BY j)),
+lines AS (SELECT s.c, s.j, s.letter, s.p, CASE s.letter WHEN 'I' THEN '' ELSE r.text END AS text, r.role FROM steps s LEFT JOIN rows r ON r.c = s.c AND r.i = s.i AND s.letter <> 'I' WHERE s.letter <> 'D'),
+led AS (SELECT *, max(CASE WHEN p = 1 AND letter = 'K' AND role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY c) AS lead FROM lines),
+written AS (
+  SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (p - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS repaired FROM led GROUP BY c)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '-') AS c FROM conversations) ids
+LEFT JOIN report USING (c) LEFT JOIN best USING (c) LEFT JOIN written USING (c)
+"""
+
+
+TURN_REPAIR = _turn_repair()
+
+
 def _spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
     """The spans of one kind: lengths of matches and of the gaps between them give the places."""
     p = pattern.replace("'", "''")
