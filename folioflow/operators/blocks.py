@@ -6,7 +6,8 @@ non-empty ones are joined by one space.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from itertools import zip_longest
 
@@ -27,56 +28,89 @@ BARRIERS = frozenset(["table", "td", "th", "tr", "ul", "ol", "div"])
 TOC_LINES, TOC_SHARE = 8, 0.8
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+ROWS = frozenset(["tr", "li", "p"])
+UNREAD = frozenset(["script", "style"])
 
-    def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
-    def walk(self) -> Iterator[Node]:
-        """Elements below this one, in document order."""
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+class Node:
+    """An element. ``near`` is the nearest element, itself or above, that a start tag may end or must not pass; ``row`` the nearest row, item or
+    paragraph above; ``linked`` tells whether there is a link below. All are kept while the tree is built, so that nothing climbs or walks it again."""
 
-    def strings(self, skip: frozenset = frozenset(["script", "style"])) -> Iterator[str]:
-        for c in self.children:
-            if isinstance(c, str):
-                yield c
-            elif c.tag not in skip:
-                yield from c.strings(skip)
+    __slots__ = ("tag", "attrs", "children", "parent", "near", "row", "linked")
 
-    def text(self) -> str:
-        return " ".join(t for t in (s.strip() for s in self.strings()) if t)
+    def __init__(self, tag: str, attrs: dict, parent: Node | None):
+        self.tag, self.attrs, self.children, self.parent, self.linked = tag, attrs, [], parent, False
+        self.near = self if parent is None or tag in BARRIERS or tag in ENDED_BY else parent.near
+        self.row = None if parent is None else parent if parent.tag in ROWS else parent.row
+
+    def walk(self, within: Callable[[Node], bool] = lambda node: True) -> Iterator[Node]:
+        """Elements below this one, in document order; of those that ``within`` denies only themselves. Depth costs no recursion."""
+        stack = [iter(self.children)]
+        while stack:
+            for c in stack[-1]:
+                if isinstance(c, Node):
+                    yield c
+                    if c.children and within(c):
+                        stack.append(iter(c.children))
+                        break
+            else:
+                stack.pop()
+
+    def strings(self, skip: frozenset = UNREAD) -> Iterator[str]:
+        stack = [iter(self.children)]
+        while stack:
+            for c in stack[-1]:
+                if isinstance(c, str):
+                    yield c
+                elif c.tag not in skip:
+                    stack.append(iter(c.children))
+                    break
+            else:
+                stack.pop()
+
+    def text(self, skip: frozenset = UNREAD) -> str:
+        return " ".join(t for t in (s.strip() for s in self.strings(skip)) if t)
 
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: Counter[str] = Counter()
+
+    def close_up_to(self, node: Node) -> None:
+        """End ``node`` and all that is open inside it."""
+        while True:
+            ended, self.at = self.at, self.at.parent
+            self.open[ended.tag] -= 1
+            if ended is node:
+                return
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        node = self.at
+        node = self.at.near
         while node.parent is not None:
             if tag in ENDED_BY.get(node.tag, ()):
-                self.at = node.parent
+                self.close_up_to(node)
                 break
             if node.tag in BARRIERS:
                 break
-            node = node.parent
+            node = node.parent.near
         new = Node(tag, dict(attrs), self.at)
         self.at.children.append(new)
+        if tag == "a":
+            above = self.at
+            while above is not None and not above.linked:
+                above.linked, above = True, above.parent
         if tag not in VOID:
             self.at = new
+            self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            node = node.parent
+        if self.open[tag] > 0:  # else there is nothing to end, and nothing to look for
+            node = self.at
+            while node.tag != tag:
+                node = node.parent
+            self.close_up_to(node)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -100,11 +134,7 @@ def _rows(table: Node) -> list[Node]:
 
 
 def _own(table: Node) -> Iterator[Node]:
-    for c in table.children:
-        if isinstance(c, Node):
-            yield c
-            if c.tag != "table":
-                yield from _own(c)
+    return table.walk(lambda node: node.tag != "table")
 
 
 def _cells(row: Node) -> list[Node]:
@@ -121,15 +151,22 @@ def is_data(table: Node) -> bool:
     return width(table) > 1
 
 
+CONTENTS = "table of contents"
+
+
 def is_contents(table: Node) -> bool:
     """A rendered table of contents: it says so, or it is a long list of which nearly every row is a link."""
-    if clean_text(table.text()).lower().startswith("table of contents"):
+    begun = ""
+    for string in table.strings():  # no more of a table is read than its first words
+        begun = clean_text(f"{begun} {string.strip()}").lower()
+        if len(begun) >= len(CONTENTS):
+            break
+    if begun.startswith(CONTENTS):
         return True
     rows = _rows(table)
     if width(table) != 1 or len(rows) < TOC_LINES:
         return False
-    links = [r for r in rows if "a" in {n.tag for n in r.walk()}]
-    return len(links) / len(rows) >= TOC_SHARE
+    return sum(r.linked for r in rows) / len(rows) >= TOC_SHARE
 
 
 def markdown(rows: list[list[str]]) -> str:
@@ -139,30 +176,28 @@ def markdown(rows: list[list[str]]) -> str:
     return "\n".join([*lines[:1], "|" + " --- |" * len(columns), *lines[1:]]) if lines else ""
 
 
+NO_NOTES = frozenset(["sup"])
+PARAGRAPH = frozenset(["sup", "p"])  # a paragraph inside another one is a block of its own
+
+
 def blocks_of(html: str | None) -> list[tuple[str, str]]:
     """(kind, text) in document order: paragraphs, and tables of two columns and more as markdown. Layout tables are looked through."""
     root = tree(html)
     root = body_table(root) or root
     out: list[tuple[str, str]] = []
 
-    def visit(node: Node) -> None:
-        for c in node.children:
-            if not isinstance(c, Node) or c.tag == "sup":
-                continue
-            if c.tag == "table" and is_contents(c):
-                continue
-            if c.tag == "table" and is_data(c):
-                made = markdown([[clean_text(" ".join(t for t in (s.strip() for s in cell.strings(frozenset(["sup"]))) if t)) for cell in _cells(r)] for r in _rows(c)])
-                if made:
-                    out.append(("table", made))
-                continue
-            if c.tag == "p":
-                text = clean_text(" ".join(t for t in (s.strip() for s in c.strings(frozenset(["sup"]))) if t))
-                if text:
-                    out.append(("text", text))
-            visit(c)
-
-    visit(root)
+    def looked_through(node: Node) -> bool:
+        return node.tag != "sup" and not (node.tag == "table" and (is_contents(node) or is_data(node)))
+
+    for node in root.walk(looked_through):
+        if node.tag == "table" and not is_contents(node) and is_data(node):
+            made = markdown([[clean_text(cell.text(NO_NOTES)) for cell in _cells(r)] for r in _rows(node)])
+            if made:
+                out.append(("table", made))
+        elif node.tag == "p":
+            text = clean_text(node.text(PARAGRAPH))
+            if text:
+                out.append(("text", text))
     return out
 
 
@@ -178,6 +213,9 @@ def blocks(html: Column | str) -> Column:
 PARTS_TYPE = "paragraphs array<string>, hrefs array<string>, has_body boolean, anchors array<struct<text:string,href:string,row_text:string>>"
 
 
+PART = UNREAD | {"p"}
+
+
 def page_parts(html: Column | str) -> Column:
     """Non-empty paragraphs of the body table, all links, and anchors with the text of the row, item or paragraph around them."""
 
@@ -186,14 +224,14 @@ def page_parts(html: Column | str) -> Column:
         for h in column:
             root = tree(h)
             body = body_table(root)
-            paragraphs = [t for t in (n.text() for n in body.walk() if n.tag == "p") if t] if body else []
-            anchors = []
+            paragraphs = [t for t in (n.text(PART) for n in body.walk() if n.tag == "p") if t] if body else []
+            anchors, texts = [], {}
             for n in root.walk():
                 if n.tag == "a" and n.attrs.get("href"):
-                    around = n.parent
-                    while around is not None and around.tag not in ("tr", "li", "p"):
-                        around = around.parent
-                    anchors.append({"text": n.text(), "href": n.attrs["href"], "row_text": around.text() if around is not None else n.text()})
+                    around = n.row or n
+                    if around not in texts:
+                        texts[around] = around.text()
+                    anchors.append({"text": n.text(), "href": n.attrs["href"], "row_text": texts[around]})
             out.append((paragraphs, [a["href"] for a in anchors], body is not None, anchors))
         return pd.DataFrame(out, columns=["paragraphs", "hrefs", "has_body", "anchors"])
 

@@ -1,87 +1,119 @@
 """Exact similarity search with the filter applied before ranking, and the experiments built on it.
 
-Queries are taken in blocks of at most ``MAX_QUERIES``, each shipped to the tasks as one matrix; each Arrow batch of the corpus is multiplied with
-``SLICE`` queries at a time, and only the best k per query leave the task's batch. With more than one block, each is searched and written before the next. Ranks come from a window over those few rows. Nothing of
-the corpus is collected or broadcast.
+Queries and corpus are dealt to the cells of a grid, query blocks by corpus blocks, in one shuffle, whatever their numbers. A cell is one matrix product, taken ``SLICE`` queries
+at a time; only its best k per query leave it, and the best of all cells are ranked by a window that keeps k rows per query before its shuffle. Nothing of
+queries or corpus passes through the driver or is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
-from itertools import batched
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions.vectors import unscoped
-from folioflow.plans.materialize import spill
 
-MAX_QUERIES = 10_000
-SLICE = 256  # queries multiplied with a batch at once
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 16_384
+#: Below this many rows a corpus block isn't cut further to give every core a cell.
+LEAST_BLOCK = 512
+SLICE = 256  # queries multiplied with a block at once
 DIGITS = 6  # similarities are ranked as rounded, ties by id, so that any engine finds the same rows
 
+FOUND = "query_id long, id long, sim double, applies_to array<string>"
+_FOUND = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("sim", pa.float64()), ("applies_to", pa.list_(pa.string()))])
+
 
 def topk(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, id, sim, applies_to): the k most similar rows of ``corpus`` (id, embedding, applies_to) for each row of ``queries``.
 
     ``queries`` has query_id, embedding and classes: null or empty asks without a filter, else only rows that bind one of the classes, or
-    none at all, are eligible. Fewer eligible rows give fewer results; k of 0 or less gives none.
+    none at all, are eligible. Fewer eligible rows give fewer results; k of 0 or less gives none. Rows without a vector are left out on either side.
     """
-    blocks = batched(queries.select("query_id", "embedding", "classes").toLocalIterator(), MAX_QUERIES)
-    found, done = _topk(corpus, next(blocks, ()), k, exclude_self), []
-    for block in blocks:  # written before the next one is made: the driver holds one block
-        done.append(spill(found, "topk"))
-        found = _topk(corpus, block, k, exclude_self)
-    return reduce(DataFrame.unionByName, done, found)
-
-
-def _topk(corpus: DataFrame, asked: Sequence[Row], k: int, exclude_self: bool) -> DataFrame:
-    """``topk`` for one block of queries."""
-    ids = np.array([r["query_id"] for r in asked], np.int64)
-    matrix = np.array([r["embedding"] for r in asked], np.float64) if asked else np.zeros((0, 0))
-    classes = [frozenset(r["classes"] or ()) for r in asked]
-    wanted = sorted(set().union(*classes)) if all(classes) and classes else []
-    rows = corpus.select(F.col("id").cast("long").alias("id"), "embedding", "applies_to").filter(F.col("embedding").isNotNull())
-    if wanted:  # every query filters: no row outside their union matters
-        rows = rows.filter(F.coalesce(F.arrays_overlap("applies_to", F.array(*map(F.lit, wanted))), F.lit(False)) | unscoped(F.col("applies_to")))
-    rows = rows.withColumn("applies_to", F.coalesce("applies_to", F.array().cast("array<string>")))
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame) or not len(ids) or k <= 0:
-                continue
-            own, applies = frame["id"].to_numpy(), frame["applies_to"].to_numpy()
-            vectors = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
-            bound = [frozenset(a) for a in applies] if any(classes) else []
-            fits = {c: np.fromiter((not b or not b.isdisjoint(c) for b in bound), bool, len(bound)) for c in set(classes) if c}
-            for at in range(0, len(ids), SLICE):
-                names = ids[at : at + SLICE]
-                sims = np.round(vectors @ matrix[at : at + SLICE].T, DIGITS)
-                fit = np.ones(sims.shape, bool)
-                for q, c in enumerate(classes[at : at + SLICE]):
-                    if c:
-                        fit[:, q] = fits[c]
-                if exclude_self:
-                    fit &= own[:, None] != names
-                if len(own) > k:
-                    sims[~fit] = -np.inf
-                    fit &= sims >= np.partition(sims, len(own) - k, axis=0)[len(own) - k]
-                row, q = np.nonzero(fit)
-                order = np.lexsort((own[row], -sims[row, q], q))
-                row, q = row[order], q[order]
-                first = np.arange(len(q)) - np.searchsorted(q, q) < k
-                row, q = row[first], q[first]
-                yield pd.DataFrame({"query_id": names[q], "id": own[row], "sim": sims[row, q], "applies_to": applies[row]})
-
-    found = rows.mapInPandas(best, "query_id long, id long, sim double, applies_to array<string>")
+    rows, asked = searchable(corpus), askable(queries)
+    n_rows, n_asked = rows.count(), asked.count()
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    across, down = blocks(n_asked, QUERY_BLOCK), max(blocks(n_rows, CORPUS_BLOCK), min(2 * cores, blocks(n_rows, LEAST_BLOCK)))
+    left = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).withColumn("_c", dealt(F.col("id"), F.lit(down)))
+    right = asked.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("_q", dealt(F.col("query_id"), F.lit(across)))
+
+    def cell(corpus: pa.Table, asked: pa.Table) -> pa.Table:
+        parts = list(best_of(corpus, asked, k, exclude_self))
+        return pa.concat_tables(parts) if parts else _FOUND.empty_table()
+
+    return ranked(left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(cell, FOUND), k)
+
+
+def searchable(corpus: DataFrame) -> DataFrame:
+    return corpus.select(F.col("id").cast("long").alias("id"), "embedding", F.coalesce("applies_to", F.array().cast("array<string>")).alias("applies_to")).filter(F.col("embedding").isNotNull())
+
+
+def askable(queries: DataFrame) -> DataFrame:
+    """(query_id, wanted, classes). No column is named as one of the corpus: queries are often rows of it, and the two sides of a cogroup mustn't share columns."""
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("wanted"), "classes").filter(F.col("wanted").isNotNull())
+
+
+def blocks(rows: int, size: int) -> int:
+    return max(1, -(-rows // size))
+
+
+def dealt(key: Column, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("grid")), parts).cast("int")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of (query_id, id, sim, ...) per query, with their rank."""
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "sim", "applies_to")
 
 
+def matrix(table: pa.Table, column: str = "embedding", kind: type = np.float64) -> np.ndarray:
+    """A column of equally long vectors as a matrix."""
+    flat = table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
+    return flat.reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 0), kind)
+
+
+def fitting(rows: pa.Table, asked: pa.Table) -> Iterator[tuple[int, np.ndarray | None]]:
+    """For each query which rows it may have: None for all."""
+    classes = [frozenset(c or ()) for c in asked["classes"].to_pylist()]
+    bound = [frozenset(a or ()) for a in rows["applies_to"].to_pylist()] if any(classes) else []
+    fits = {c: np.fromiter((not b or not b.isdisjoint(c) for b in bound), bool, len(bound)) for c in set(classes) if c}
+    return ((at, fits.get(c)) for at, c in enumerate(classes))
+
+
+def chosen(sims: np.ndarray, fit: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the k greatest of each column of ``sims`` among those that fit, ties by id."""
+    if len(own) > k:
+        sims = np.where(fit, sims, -np.inf)
+        fit = fit & (sims >= np.partition(sims, len(own) - k, axis=0)[len(own) - k])
+    row, q = np.nonzero(fit)
+    order = np.lexsort((own[row], -sims[row, q], q))
+    row, q = row[order], q[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return row[first], q[first]
+
+
+def best_of(rows: pa.Table, asked: pa.Table, k: int, exclude_self: bool) -> Iterator[pa.Table]:
+    """The best k rows of a block for each query of a block."""
+    if not rows.num_rows or not asked.num_rows or k <= 0:
+        return
+    own, names, vectors, wanted = rows["id"].to_numpy(), asked["query_id"].to_numpy(), matrix(rows), matrix(asked, "wanted")
+    fits = dict(fitting(rows, asked))
+    for at in range(0, len(names), SLICE):
+        sims = np.round(vectors @ wanted[at : at + SLICE].T, DIGITS)
+        fit = np.ones(sims.shape, bool)
+        for q in range(sims.shape[1]):
+            if fits[at + q] is not None:
+                fit[:, q] = fits[at + q]
+        if exclude_self:
+            fit &= own[:, None] != names[at : at + SLICE]
+        row, q = chosen(sims, fit, own, k)
+        yield pa.table({"query_id": names[at + q], "id": own[row], "sim": sims[row, q], "applies_to": rows["applies_to"].take(pa.array(row))}, schema=_FOUND)
+
+
 def precision(results: DataFrame, asked: DataFrame) -> DataFrame:
     """Hits, returned rows and their share per query, and a total (query_id null). ``asked`` has query_id and class; rows that bind no class are misses."""
     hit = F.coalesce(F.array_contains("applies_to", F.col("class")), F.lit(False)).cast("int")
@@ -101,7 +133,7 @@ def probe(corpus: DataFrame, seeds: int = 6, k: int = 5, seed: int = 0) -> DataF
 def worked_example(results: DataFrame, asked: DataFrame) -> DataFrame:
     """Ranked rows with OK where they bind the class asked about, else --."""
     flag = F.when(F.array_contains("applies_to", F.col("class")), "OK").otherwise("--")
-    return results.join(F.broadcast(asked.select("query_id", "class")), "query_id").withColumn("flag", flag)
+    return results.join(asked.select("query_id", "class"), "query_id").withColumn("flag", flag)
 
 
 def pairing_mismatches(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:

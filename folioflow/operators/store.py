@@ -84,9 +84,12 @@ def append_log(records: DataFrame, path: str) -> None:
 
 
 def build_collection(chunks: DataFrame, vectors: DataFrame, path: str) -> int:
-    """Rewrite the search collection: payload and vector per chunk, laid out by department. The count must equal the chunks' or it is an error."""
+    """Rewrite the search collection: payload and vector per chunk, laid out by ranges of department and chunk, so that a department of any size is dealt to many tasks.
+
+    The count must equal the chunks' or it is an error.
+    """
     points = chunks.select("chunk_id", *PAYLOAD).join(vectors.select("chunk_id", "embedding"), "chunk_id")
-    points.repartition("department").sortWithinPartitions("department", "issue_date").write.mode("overwrite").parquet(path)
+    points.repartitionByRange("department", "chunk_id").sortWithinPartitions("department", "issue_date").write.mode("overwrite").parquet(path)
     want, got = chunks.count(), chunks.sparkSession.read.parquet(path).count()
     if want != got:
         raise ValueError(f"expected {want} points, found {got}")

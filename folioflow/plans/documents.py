@@ -12,6 +12,7 @@ from folioflow.operators import store
 from folioflow.operators.blocks import blocks
 from folioflow.operators.chunk import chunk, chunk_stats, class_counts, split_table, text_blocks, with_ids
 from folioflow.operators.containment import containment
+from folioflow.operators.dictionary import named
 from folioflow.operators.embed import HashingEmbedder, embed
 from folioflow.operators.generate import ExtractiveGenerator, format_sources
 from folioflow.operators.parse import parse_circulars
@@ -299,6 +300,47 @@ def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment(docs, items, "doc_id", "item_id")
 
 
+_QUOTES = """quotes AS (SELECT conv_id || ':' || turn || ':' || part AS quote_id, CASE part WHEN 0 THEN left(text, 12) WHEN 1 THEN substr(text, 9, 70) ELSE right(text, 9) END AS text
+  FROM conversations, (SELECT unnest([0, 1, 2]) AS part) WHERE text IS NOT NULL)"""
+
+
+@R.add(f"""WITH {_QUOTES}, plain AS (SELECT conv_id, {_NORM.format('text')} AS t FROM conversations),
+asked AS (SELECT quote_id, {_NORM.format('text')} AS q FROM quotes), needed AS (SELECT DISTINCT q FROM asked WHERE q <> ''),
+met AS (SELECT q, count(DISTINCT conv_id) AS n FROM needed JOIN plain ON contains(t, q) GROUP BY q)
+SELECT quote_id, coalesce(n, 0) AS n_conversations FROM asked LEFT JOIN met USING (q)""")
+def quote_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three quotes of every turn, short and long ones: in how many conversations their words stand."""
+    talks = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    part = F.explode(F.array(*map(F.lit, range(3)))).alias("part")
+    quote = F.when(F.col("part") == 0, F.substring("text", 1, 12)).when(F.col("part") == 1, F.substring("text", 9, 70)).otherwise(F.substring("text", -9, 9))
+    quotes = talks.filter("text IS NOT NULL").select("*", part).select(F.concat_ws(":", "conv_id", "turn", "part").alias("quote_id"), quote.alias("text"))
+    hits = containment(talks.select("conv_id", "text"), quotes, "conv_id", "quote_id").groupBy("quote_id").agg(F.count("*").alias("n"))
+    return quotes.select("quote_id").join(hits, "quote_id", "left").select("quote_id", F.coalesce("n", F.lit(0)).alias("n_conversations"))
+
+
+#: A dictionary made of the tables: every word of seven ASCII letters and more of turns and benchmark items, with and without an ending.
+_TERMS = r"""said AS (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark),
+terms AS (SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D.,]+')) AS w FROM said) WHERE regexp_full_match(w, '[a-z]{7,}'))"""
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term_id, pattern) of the dictionary."""
+    said = read_table(spark, sf_dir, "conversations").select("text").unionByName(read_table(spark, sf_dir, "benchmark").select("text"))
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D.,]+"), F.lit(0)))
+    found = said.select(word.alias("term_id")).filter(F.col("term_id").rlike("^[a-z]{7,}$")).distinct()
+    return found.select("term_id", F.concat(F.lit(r"\b"), "term_id", F.lit(r"(?:s|en)?\b")).alias("pattern"))
+
+
+@R.add(rf"""WITH {_TERMS},
+words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM documents),
+forms AS (SELECT term, term AS w FROM terms UNION ALL SELECT term, term || 's' FROM terms UNION ALL SELECT term, term || 'en' FROM terms)
+SELECT term, count(DISTINCT doc_id) AS n_docs FROM forms JOIN words USING (w) GROUP BY term""")
+def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents each term of a large dictionary of patterns stands."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return named(docs, terms(spark, sf_dir)).groupBy(F.col("term_id").alias("term")).agg(F.count("*").alias("n_docs"))
+
+
 def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as answers to check: their turns are the sources, five quotes cite them."""
     turn = F.struct("turn", "text")

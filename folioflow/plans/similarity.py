@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.vectors import dot, entity_filter
-from folioflow.operators import search
+from folioflow.operators import ann, search
+from folioflow.plans.materialize import spill
 from folioflow.plans.registry import Registry
 from folioflow.sources.tables import read_table
 
@@ -105,6 +106,32 @@ def worked_example(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.worked_example(search.topk(corpus(spark, sf_dir), q, 10), q).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "flag")
 
 
+def _found_by_codes(spark: SparkSession, sf_dir: str, classes=None) -> tuple[DataFrame, DataFrame]:
+    """What the approximate index and the exact search find for the same queries."""
+    rows, q = corpus(spark, sf_dir), asked(spark, sf_dir, classes)
+    model = ann.fit(rows)
+    return ann.search(rows, spill(ann.index(rows, model), "ann-index"), q, model, 10), search.topk(rows, q, 10)
+
+
+@R.add()
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The approximate search; what it finds depends on the model, so its recall is what is held against SQL."""
+    return _shown(_found_by_codes(spark, sf_dir)[0])
+
+
+_WANTED = "(" + _CORPUS + "SELECT '{kind}' AS kind, count(*) AS wanted, true AS reached FROM ranked WHERE rank <= 10)"
+
+
+@R.add(_WANTED.format(kind="all rows", applies=_LABEL, where="true") + " UNION ALL " + _WANTED.format(kind="rows of a class", applies=_LABEL, where="list_contains(applies_to, class)"))
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many true neighbours there are, and whether the approximate index finds nine in ten of them: without a filter, and with one inside the lists."""
+    out = None
+    for kind, classes in (("all rows", None), ("rows of a class", lambda c: F.array(c))):
+        row = ann.recall(*_found_by_codes(spark, sf_dir, classes)).select(F.lit(kind).alias("kind"), "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("reached"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @R.add("SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS norm2 FROM embeddings")
 def dot_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select("vec_id", F.round(dot(F.col("embedding"), F.col("embedding")), 4).alias("norm2"))

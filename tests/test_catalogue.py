@@ -16,7 +16,7 @@ def test_query_matches_sql(spark, name):
 
 def test_answers(spark):
     """The answering queries have no SQL: their records are held against the tables."""
-    assert set(catalogue.queries()) - set(SQL) == {"ask_pipeline", "batch_pipeline"}
+    assert set(catalogue.queries()) - set(SQL) == {"ask_pipeline", "batch_pipeline", "ann_topk"}
     (record,) = catalogue.queries()["ask_pipeline"](spark, SMALL).collect()
     assert len(record.retrieved) == 8 and record.error is None and record.n_citations == len(record.citations)
     assert record.verified == sum(c.status == "ok" for c in record.citations) == record.n_citations

@@ -12,9 +12,8 @@ from folioflow import dictionaries as D
 from folioflow.functions import text as X
 from folioflow.operators import answer as A
 from folioflow.operators import search, store
-from folioflow.operators.blocks import blocks_of, body_html
+from folioflow.operators.blocks import blocks_of, body_html, page_parts
 from folioflow.operators.chunk import chunk, chunk_stats, split_table, with_ids
-from folioflow.operators.containment import containment
 from folioflow.operators.embed import HashingEmbedder, embed
 from folioflow.operators.generate import ExtractiveGenerator, QuotaExhausted, Transient, decode_answers, list_models, with_retry
 from folioflow.operators.parse import parse_circulars, parse_directions
@@ -70,6 +69,23 @@ def test_blocks_keep_order_and_look_through_layout():
     assert blocks_of("<table><tr><td>Table of Contents</td></tr><tr><td><p>x</p></td></tr></table>") == []
 
 
+def test_very_deep_pages_are_read():
+    """Depth costs neither recursion nor a climb for every tag."""
+    from folioflow.operators.blocks import blocks_of, tree
+
+    deep = 100_000
+    assert blocks_of("<div>" * deep + "<p>end</p>") == [("text", "end")] and blocks_of("<b>" * deep + "</i>" * deep + "<p>end") == [("text", "end")]
+    assert blocks_of("<table><tr><td>" * deep + "<p>end</p>") == [("text", "end")] and blocks_of("<p>a<td>" * 5000)[-1] == ("text", "a")
+    assert tree("<b>" * deep + "text" + "<a href=x>y</a>" * 10).text().endswith("y y")
+
+
+def test_very_deep_pages_in_tasks(spark):
+    deep = 20_000
+    df = spark.createDataFrame([("<i>" * deep + '<table class="td"><tr><td><p>body <a href="u">link</a>',)], "html string")
+    (r,) = df.select(page_parts("html").alias("p")).collect()
+    assert list(r.p.paragraphs) == ["body link"] and r.p.anchors[0].row_text == "body link"
+
+
 def test_body_html(spark):
     assert one(spark, body_html(F.col("h")), h="<div><table class='td'><p>x</p></table>").startswith("<table class='td'>")
     assert one(spark, body_html(F.col("h")), h="<table class='other'>") is None
@@ -178,10 +194,12 @@ def test_search_takes_queries_in_blocks(spark, monkeypatch):
     corpus = vectors(spark, [(i, [float(i % 7), float(i % 5 + 1)], [str(i % 3)] if i % 4 else None) for i in range(60)])
     queries = corpus.filter("id % 5 = 0").selectExpr("id AS query_id", "embedding", "CASE WHEN id % 2 = 0 THEN array('1') END AS classes")
     whole = sorted(map(tuple, search.topk(corpus, queries, 4, exclude_self=True).select("query_id", "rank", "id", "sim").collect()))
-    monkeypatch.setattr(search, "MAX_QUERIES", 5)
-    monkeypatch.setattr(search, "SLICE", 2)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(search, "CORPUS_BLOCK", 7)
     blocks = sorted(map(tuple, search.topk(corpus, queries, 4, exclude_self=True).select("query_id", "rank", "id", "sim").collect()))
-    assert blocks == whole and len(whole) == 4 * 12 and search.topk(corpus, queries.limit(0), 4).count() == 0
+    assert blocks == whole and len(whole) == 4 * 12 and search.topk(corpus, queries.limit(0), 4).count() == 0 == search.topk(corpus.limit(0), queries, 4).count()
+    plan = search.topk(corpus, queries, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "LocalRelation" not in plan and "Union" not in plan  # one job over all blocks, nothing from the driver
 
 
 def test_queries_grow_with_the_table(spark):
@@ -198,23 +216,15 @@ def test_verification_outcomes(spark):
     assert [(v.status, v.found_in, v.cited_doc) for v in got] == [("ok", [1], "n1"), ("wrong_source", [1], "n2"), ("wrong_source", [2], None), ("not_found", [], None), ("not_found", [], "n1")]
 
 
+from folioflow.operators.containment import containment  # noqa: E402
+
+
 def test_containment_finds_quotes_inside_words(spark):
     texts = spark.createDataFrame([(1, "xx Alpha beta gamma delta epsilon zeta yy"), (2, "alpha beta"), (3, None)], "t long, text string")
     quotes = spark.createDataFrame([(1, "pha beta  gamma delta epsilon ze"), (2, "BETA"), (3, ""), (4, None)], "q long, text string")
     assert sorted(map(tuple, containment(texts, quotes, "t", "q").collect())) == [(1, 1), (1, 2), (2, 2)]
 
 
-def test_containment_in_passes(spark, monkeypatch):
-    from folioflow.operators import containment as C
-
-    monkeypatch.setattr(C, "SHORT", 2)
-    texts = spark.createDataFrame([(i, f"text {i} of many") for i in range(9)], "t long, text string")
-    quotes = spark.createDataFrame([(str(i), f"EXT {i}") for i in range(7)] + [("x", "absent"), ("y", " of   many ")], "q string, text string")
-    assert sorted(map(tuple, containment(texts, quotes, "t", "q").collect())) == sorted([(i, str(i)) for i in range(7)] + [(i, "y") for i in range(9)])
-    long = quotes.filter("q = 'long'")
-    assert "Generate" not in containment(texts, long, "t", "q")._jdf.queryExecution().optimizedPlan().toString() or containment(texts, long, "t", "q").count() == 0
-
-
 def test_upsert_takes_given_columns_only(spark):
     table = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "key string, n int, s string")
     delta = spark.createDataFrame([("b", None), ("c", 3)], "key string, n int")
