@@ -29,17 +29,20 @@ TOC_LINES, TOC_SHARE = 8, 0.8
 
 
 ROWS = frozenset(["tr", "li", "p"])
+CONTENTS = "table of contents"
+PEEK = 60  # characters kept of an element's beginning
 UNREAD = frozenset(["script", "style"])
 
 
 class Node:
     """An element. ``near`` is the nearest element, itself or above, that a start tag may end or must not pass; ``row`` the nearest row, item or
-    paragraph above; ``linked`` tells whether there is a link below. All are kept while the tree is built, so that nothing climbs or walks it again."""
+    paragraph above; ``linked`` tells whether there is a link below; ``begun`` are the first words. All are kept while the tree is built, so that nothing climbs or walks it again."""
 
-    __slots__ = ("tag", "attrs", "children", "parent", "near", "row", "linked")
+    __slots__ = ("tag", "attrs", "children", "parent", "near", "row", "linked", "begun")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.children, self.parent, self.linked = tag, attrs, [], parent, False
+        self.begun = ""
         self.near = self if parent is None or tag in BARRIERS or tag in ENDED_BY else parent.near
         self.row = None if parent is None else parent if parent.tag in ROWS else parent.row
 
@@ -114,6 +117,10 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
+        words = data[:PEEK].strip() or data.strip()[:PEEK]
+        above = self.at
+        while words and above is not None and above.tag not in UNREAD and len(above.begun) < PEEK:  # above a full one all are full
+            above.begun, above = f"{above.begun} {words}"[:PEEK + 1], above.parent
 
 
 def tree(html: str | None) -> Node:
@@ -151,17 +158,9 @@ def is_data(table: Node) -> bool:
     return width(table) > 1
 
 
-CONTENTS = "table of contents"
-
-
 def is_contents(table: Node) -> bool:
     """A rendered table of contents: it says so, or it is a long list of which nearly every row is a link."""
-    begun = ""
-    for string in table.strings():  # no more of a table is read than its first words
-        begun = clean_text(f"{begun} {string.strip()}").lower()
-        if len(begun) >= len(CONTENTS):
-            break
-    if begun.startswith(CONTENTS):
+    if clean_text(table.begun).lower().startswith(CONTENTS):
         return True
     rows = _rows(table)
     if width(table) != 1 or len(rows) < TOC_LINES:
