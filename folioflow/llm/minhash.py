@@ -19,7 +19,7 @@ only families that then still fall apart are compared in blocks. Texts are sent,
 
 Lower-casing is of A-Z. A document with fewer words than a shingle is one shingle; without words (null text too) its set
 is empty and it is linked with nothing. A null id is linked with nothing and has no component. Rows that share an id are
-one document. Ties need no rule: a component is named by its least id. An empty table gives an empty result.
+one document, which has the links of all its texts: their components are one. Ties need no rule: a component is named by its least id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -255,12 +255,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     further = components(more).select(F.col("node").alias("label"), F.col("root").alias("top"))
     roots = label.join(further, "label", "left").select(F.col("cid").alias("node"), F.coalesce("top", "label").alias("root"))
     named = classes.select("k0", "k1", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("k0", "k1", F.coalesce("root", "cid").alias("root"))
-    return features.select("id", "n_shingles", "k0", "k1").join(named, ["k0", "k1"], "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("root", "id"), F.lit(True)).alias("kept"),
+    rows = features.select("id", "n_shingles", "k0", "k1").join(named, ["k0", "k1"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("root"))
+    return _one_document_an_id(spill(rows, "minhash-rows")).select(
+        F.col("id").alias(id_col), "n_shingles", F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept")
     )
 
 
+def _one_document_an_id(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, n_shingles, root) in which all components that rows of one id lie in are one."""
+    torn = spill(rows.filter("id IS NOT NULL").groupBy("id").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high"), "minhash-torn")
+    if torn.isEmpty():
+        return rows
+    tied = components(rows.join(torn, "id").select(F.col("root").alias("u"), F.col("low").alias("v")))
+    whole = rows.join(tied.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return whole.select("id", "n_shingles", F.coalesce("top", "root").alias("root"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row of ``docs`` for each component, with its columns. Rows outside any group don't shuffle."""
     decided = spill(near_duplicates(docs, id_col, text_col, shingle, percent).select(F.col(f"`{id_col}`").alias("id"), "kept"), "minhash-kept")

@@ -70,6 +70,46 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicates(none).count() == 0 and minhash.near_dedup(none).count() == 0
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    """Against all pairs of rows, linked by likeness or by their id; each component has one survivor."""
+    import random
+
+    from test_queries import shingle_set
+
+    def check(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        sets = [shingle_set(t, 4) for _, t in rows]
+        root = list(range(len(rows)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a in range(len(rows)):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if rows[a][0] == rows[b][0] or sets[a] and sets[b] and 100 * both >= 80 * len(sets[a] | sets[b]):
+                    root[find(a)] = find(b)
+        least = {}
+        for at, (i, _) in enumerate(rows):
+            least[find(at)] = min(i, least.get(find(at), i))
+        want = sorted((i, least[find(at)]) for at, (i, _) in enumerate(rows))
+        assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df, shingle=4).collect()) == want
+        assert sorted(r.doc_id for r in minhash.near_dedup(df, shingle=4).collect()) == sorted(set(least.values()))
+
+    a, b = PASSAGE, " ".join(f"other{i}" for i in range(30))
+    check([(3, a), (5, a), (5, b), (9, b)])
+    rng = random.Random(6)
+    bases = [[f"w{n}x{i}" for i in range(40)] for n in range(12)]
+    texts = []
+    for _ in range(60):
+        words = list(rng.choice(bases))
+        words[rng.randrange(40)] = f"new{rng.randrange(3)}"
+        texts.append((rng.randrange(45), " ".join(words)))
+    check(texts)
+
+
 def test_blocks_find_what_all_pairs_find(spark):
     """A crowd of near copies in many small blocks: components equal those of all pairs."""
     import random
