@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow import dictionaries as D
+from folioflow.functions import tables
 from folioflow.functions import text as X
 from folioflow.operators import answer as A
 from folioflow.operators import store
@@ -141,16 +142,27 @@ def page_title_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the generated pages have no tables and open a paragraph only by <p>; it ends at its end tag, at the next one, or with the article
-@R.add(r"""WITH parts AS (SELECT page_id, unnest(string_split(regexp_replace(regexp_replace(html, '(?s)<(script|style).*?</(script|style)>|<!--.*?-->', '', 'g'), '</p>|</article>', chr(1), 'g'), '<p>')[2:]) AS part,
+_PAGE_BLOCKS = r"""WITH parts AS (SELECT page_id, unnest(string_split(regexp_replace(regexp_replace(html, '(?s)<(script|style).*?</(script|style)>|<!--.*?-->', '', 'g'), '</p>|</article>', chr(1), 'g'), '<p>')[2:]) AS part,
   generate_subscripts(string_split(regexp_replace(regexp_replace(html, '(?s)<(script|style).*?</(script|style)>|<!--.*?-->', '', 'g'), '</p>|</article>', chr(1), 'g'), '<p>')[2:], 1) AS place FROM pages),
 bare AS (SELECT page_id, place, regexp_replace(replace(replace(replace(replace(regexp_replace(string_split(part, chr(1))[1], '\s*<[^>]*>\s*', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS t FROM parts),
 texts AS (SELECT page_id, place, trim(regexp_replace(t, '[ \t]+', ' ', 'g')) AS text FROM bare)
-SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY place) - 1)::INT AS pos, 'text' AS kind, text FROM texts WHERE text <> ''""")
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY place) - 1)::INT AS pos, 'text' AS kind, text FROM texts WHERE text <> ''"""
+
+
+@R.add(_PAGE_BLOCKS)
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = read_table(spark, sf_dir, "pages").select("page_id", blocks("html").alias("b"))
     return made.select("page_id", F.posexplode("b").alias("pos", "b")).select("page_id", "pos", "b.kind", "b.text")
 
 
+@R.add(_PAGE_BLOCKS)
+def page_blocks_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same blocks by a table function in SQL: its columns follow those of the table it is given."""
+    tables.register(spark)
+    read_table(spark, sf_dir, "pages").select("page_id", "html").createOrReplaceTempView("folioflow_pages")
+    return spark.sql("SELECT * FROM page_blocks(TABLE(folioflow_pages) PARTITION BY page_id)")
+
+
 @R.add(f"""WITH {TITLES_SQL.replace("CASE doc_id % 4 WHEN 0 THEN", "CASE WHEN true THEN").replace(" WHEN 1 THEN 'Notes", " WHEN false THEN 'Notes").replace("  WHEN 2 THEN left", "  WHEN false THEN left")}, {_BINDS}
 SELECT 'circular:' || id AS key, 'RBI/2025-26/' || id AS number, '2025-11-' || lpad((id % 28 + 1)::VARCHAR, 2, '0') AS issue_date, 'AP-DIR' AS department, meant_for, applies_to, subject,
 CASE id % 3 WHEN 0 THEN 'https://rbidocs.rbi.org.in/rdocs/Notification/PDFs/N' || id || '.PDF' WHEN 1 THEN 'https://www.rbi.org.in/x/N' || id || '.pdf' END AS pdf_url FROM binds""")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioflow.operators import summaries, versions
 from folioflow.operators.chunk import upper_median_by
 from folioflow.operators.store import categories, latest, unfetched, upsert
-from folioflow.plans.materialize import shared_dir
+from folioflow.plans.materialize import shared_dir, spill
 from folioflow.plans.registry import Registry
 from folioflow.sources.tables import read_table
 
@@ -123,18 +126,108 @@ def running_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events in files out of order, a file a micro-batch, upserted into a table of buckets: late rows don't replace newer ones."""
-    import uuid
-
     from folioflow.streaming.ingest import current, read_stream, upsert_stream
 
-    events = read_table(spark, sf_dir, "events")
-    base = f"{shared_dir(spark)}/folioflow-stream-{uuid.uuid4().hex}"
+    events, base = read_table(spark, sf_dir, "events"), _stream_folder(spark)
     events.repartition(4, F.xxhash64("event_id")).write.parquet(f"{base}/in")
     stream = read_stream(spark, f"{base}/in", events.schema, files_per_trigger=1).withColumn("newest", F.struct("ts", "event_id"))
     upsert_stream(stream, f"{base}/table", f"{base}/checkpoint", "user_id", "newest", buckets=8).awaitTermination()
     return current(spark, f"{base}/table").select("user_id", "event_id", "event_type")
 
 
+def _stream_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/folioflow-stream-{uuid.uuid4().hex}"
+
+
+@R.add("SELECT event_id, user_id, event_type FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in files by time, each with the rows of the file before once more and new rows far too late: every event comes out once, the late ones don't. The stream stops after three files and is restarted."""
+    from folioflow.streaming.ingest import append_stream, deduplicated, read_stream
+
+    base = _stream_folder(spark)
+    events = _in_parts(spark, sf_dir)
+    late = events.filter("event_id % 10 = 0").withColumns({"event_id": -1 - F.col("event_id"), "part": F.col("part") + 3})
+    sent = spill(events.unionByName(events.withColumn("part", F.col("part") + 1)).unionByName(late), "sent")
+    for files in ((0, 1, 2), (3, 4, 5, 6, 7)):
+        for part in files:
+            sent.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = read_stream(spark, f"{base}/in", sent.drop("part").schema, files_per_trigger=1)
+        append_stream(deduplicated(stream, ["event_id"]), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(sent.drop("part").schema).parquet(f"{base}/out").select("event_id", "user_id", "event_type")
+
+
+def _in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with the number of their fifth in order of time."""
+    events = read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ids = (events.agg(F.max("event_id").alias("last")).first()["last"] or 0) + 1
+    return events.withColumn("part", F.floor(F.col("event_id") * 5 / ids).cast("int"))
+
+
+EVERY, BURST, QUOTA = 4 * 3600 * 1_000_000, 2, 8
+_DELAY = 360_000_000
+
+
+@R.add(f"""WITH RECURSIVE asked AS (
+  SELECT user_id::VARCHAR AS host, event_id, epoch_us(ts) AS us, CASE WHEN event_type = 'error' THEN floor(value)::BIGINT * {_DELAY} END AS delay,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+mark AS (SELECT max(us) // 1000 - 600000 AS ms FROM asked),
+paced AS (
+  SELECT host, 0::BIGINT AS n, 0::BIGINT AS due, 0::BIGINT AS blocked, 0::BIGINT AS refused, NULL::BIGINT AS event_id, NULL::BIGINT AS start, NULL::BIGINT AS over, true AS made FROM asked WHERE n = 1
+  UNION ALL
+  SELECT host, n, CASE WHEN made THEN greatest(due, start) + {EVERY} ELSE due END, CASE WHEN made AND delay IS NOT NULL THEN greatest(blocked, start + delay) ELSE blocked END,
+         CASE WHEN made AND delay IS NOT NULL THEN refused + 1 ELSE refused END, event_id, start, CASE WHEN made AND delay IS NOT NULL THEN start + delay END, made
+  FROM (SELECT a.host, a.n, a.event_id, a.delay, p.due, p.blocked, p.refused, p.refused < {QUOTA} AS made,
+               CASE WHEN p.refused < {QUOTA} THEN greatest(a.us, p.due - {(BURST - 1) * EVERY}, p.blocked) ELSE a.us END AS start
+        FROM paced p JOIN asked a ON a.host = p.host AND a.n = p.n + 1)),
+shown AS (
+  SELECT host, event_id AS request_id, 1 AS attempt, start, CASE WHEN NOT made THEN 'not made' WHEN over IS NOT NULL THEN 'refused' ELSE 'made' END AS outcome FROM paced WHERE n > 0
+  UNION ALL SELECT host, event_id, 2, (over + 999) // 1000 * 1000, 'made again' FROM paced, mark WHERE over IS NOT NULL AND refused < {QUOTA} AND (over + 999) // 1000 <= ms)
+SELECT host, request_id, attempt::INT AS attempt, start::BIGINT AS start_us, outcome FROM shown""")
+def request_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the log of requests of their users: paced by a bucket, blocked and made again after errors, given up after eight. The stream stops half-way and is restarted with its state."""
+    from folioflow.streaming.ingest import append_stream, read_stream
+    from folioflow.streaming.schedule import PROVIDER, schedule
+
+    base, before = _stream_folder(spark), spark.conf.get(PROVIDER[0])
+    events = spill(_in_parts(spark, sf_dir), "events")
+    spark.conf.set(*PROVIDER)
+    try:
+        for files in ((0, 1), (2, 3, 4)):
+            for part in files:
+                events.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
+            stream = read_stream(spark, f"{base}/in", events.drop("part").schema, files_per_trigger=1)
+            delay = F.when(F.col("event_type") == "error", F.floor("value").cast("long") * _DELAY)
+            requests = stream.select(F.col("user_id").cast("string").alias("host"), F.col("event_id").alias("request_id"), "ts", delay.alias("delay"))
+            append_stream(schedule(requests, EVERY, BURST, QUOTA), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER[0], before)
+    return spark.read.parquet(f"{base}/out").select("host", "request_id", "attempt", F.unix_micros("start").alias("start_us"), "outcome")
+
+
+@R.add("""SELECT version, count(*) AS users, sum(event_id)::BIGINT AS newest FROM (
+  SELECT v AS version, event_id FROM events, (SELECT unnest([1, 2, 3]) AS v) WHERE event_id % 3 < v QUALIFY row_number() OVER (PARTITION BY v, user_id ORDER BY ts DESC, event_id DESC) = 1) GROUP BY version""")
+def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three merges of a third of the events each; every version of the table as it was."""
+    table, events = _stream_folder(spark), read_table(spark, sf_dir, "events").withColumn("newest", F.struct("ts", "event_id"))
+    out = None
+    for third in range(3):
+        version = versions.merge(events.filter(F.col("event_id") % 3 == third), table, "user_id", "newest", buckets=8)
+    for v in range(1, version + 1):
+        row = versions.read(spark, table, v).agg(F.lit(v).alias("version"), F.count("*").alias("users"), F.sum("event_id").alias("newest"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@R.add("""SELECT lang AS "group", count(*) AS n, sum(n_chars)::BIGINT AS total, min(n_chars) AS least, max(n_chars) AS most, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS median
+FROM documents WHERE n_chars IS NOT NULL GROUP BY lang""")
+def summary_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of documents by language, counted a third of the table at a time: the same as of the whole."""
+    docs, table = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), _stream_folder(spark)
+    for third in range(3):
+        summaries.add(docs.filter(F.col("doc_id") % 3 == third), table, "lang", "n_chars", buckets=8)
+    return summaries.report(spark, table)
+
+
 @R.add("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.streaming.ingest import windowed_counts

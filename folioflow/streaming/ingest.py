@@ -7,73 +7,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from folioflow.operators.store import latest, upsert
-from folioflow.plans.materialize import spill
+from folioflow.operators import versions
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-BUCKETS = 64
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str, newest: str, buckets: int = versions.BUCKETS, keep: int = 2) -> StreamingQuery:
+    """Upsert each micro-batch into a versioned table, see ``versions.merge``: readers see whole batches only.
 
-
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str, newest: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Upsert each micro-batch into a table of buckets by key; of rows with one key the one with the largest ``newest`` stays, whenever it arrives.
-
-    A batch rewrites only the buckets it touches, under ``table/v=<batch>/bucket=<n>``; the newest version of every bucket is the table.
-    A bucket is written from the version before it, so a batch that runs again after a failure gives the same version. Versions older than that go.
+    The manifest names the stream's last batch: one that runs again after a failure is not applied twice.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        delta = spill(latest(batch, key, [F.desc(newest)]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))), "delta")
-        touched = [r["bucket"] for r in delta.select("bucket").distinct().collect()]  # at most ``buckets``
-        found = versions(spark, table, before=batch_id)
-        paths = [found[b][-1] for b in touched if b in found]
-        if paths:
-            old = spark.read.parquet(*paths).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
-            stored = old.select(F.col(key).alias("_key"), F.col(newest).alias("_newest"))
-            in_time = F.col("_newest").isNull() | (F.col(newest) >= F.col("_newest"))
-            delta = upsert(old, delta.join(stored, F.col(key) == F.col("_key"), "left").filter(in_time).drop("_key", "_newest"), key)
-        if touched:
-            delta.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v={batch_id:012d}")
-        for b in touched:
-            for path in found.get(b, [])[:-1]:
-                _remove(spark, path)
+        last = (versions.manifest(spark, table) or {"note": {}})["note"].get(checkpoint, -1)
+        if batch_id > last:
+            versions.merge(batch, table, key, newest, buckets, {checkpoint: batch_id})
+            versions.expire(spark, table, keep)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _folder(spark: SparkSession, path: str):
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+def current(spark: SparkSession, table: str) -> DataFrame | None:
+    """The table as of its last whole batch; null where there is none."""
+    return versions.read(spark, table)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    fs, found = _folder(spark, path)
-    fs.delete(found, True)
+def deduplicated(stream: DataFrame, keys: list[str], ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """The first row of each key; a repeated row is dropped if it comes within ``late`` of the first, and a row later than the watermark is dropped anyhow.
 
-
-def versions(spark: SparkSession, table: str, before: int | None = None) -> dict[int, list[str]]:
-    """The folders of each bucket of a table, oldest first; only those from before a batch, if one is given."""
-    fs, top = _folder(spark, table)
-    found: dict[int, list[str]] = {}
-    if not fs.exists(top):
-        return found
-    for v in sorted(s.getPath().getName() for s in fs.listStatus(top)):
-        if v.startswith("v=") and (before is None or int(v[2:]) < before):
-            for s in fs.listStatus(_folder(spark, f"{table}/{v}")[1]):
-                name = s.getPath().getName()
-                if name.startswith("bucket="):
-                    found.setdefault(int(name[7:]), []).append(f"{table}/{v}/{name}")
-    return found
+    State is a key for each row of the last ``late``, not of all time.
+    """
+    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The table as of now, or before a batch; null where there is none."""
-    paths = [v[-1] for v in versions(spark, table, before).values()]
-    return spark.read.parquet(*paths) if paths else None
+def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what there is to a folder of files; each row once, whatever restarts."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(stream: DataFrame, ts: str = "ts", kind: str = "event_type", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
