@@ -616,6 +616,32 @@ def test_html_inside_articles():
     assert html_extract.main_text(f"<article><p>A</p><ul><li><a href=x>a list of links</a></li></ul><p>{long}</p><p><a href=y>end</a></p></article>") == f"A a list of links {text} end"
 
 
+def test_html_names_and_elements_only_weigh():
+    """What a name or an element marks as furniture stays where it is a region all the same, and comments go under any name."""
+    long = "Long running text of a page. " * 9
+    text = long.strip()
+    assert html_extract.main_text(f'<article><p>{long}</p><div class="related"><p>{long}</p></div><section class="social"><h2>On society</h2><p>{long}</p></section></article>') == f"{text} {text} On society {text}"
+    assert html_extract.main_text(f'<body><article><p>{long}</p><p>{long}</p></article><section id="discussion"><p>Nice post.</p><p>I agree with all of this.</p></section></body>') == f"{text} {text}"
+    assert html_extract.main_text("<nav><a>menu</a><p>words of a menu</p></nav><footer>foot</footer>") == ""
+    assert html_extract.main_text(f"<article><p>{text}<button>share</button></p></article>") == text
+
+
+def test_html_regions_decide_given_pages(spark, monkeypatch):
+    """The given pages without their article elements: the text is the same, and isn't if every line counts as a region."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    bare = [r.html.replace("<article>", "").replace("</article>", "") for r in rows]
+    want = [html_extract.main_text(r.html) for r in rows]
+    assert sum(html_extract.main_text(h) == w for h, w in zip(bare, want, strict=True)) >= 0.9 * len(want)  # a page of a few words may be less than its footer
+    monkeypatch.setattr(html_extract, "SHARE", -1.0)
+    assert all(html_extract.main_text(h) != w for h, w in zip(bare, want, strict=True))
+
+
+def test_html_with_very_many_open_tags():
+    deep = 200_000
+    assert html_extract.main_text("<b>" * deep + "</i>" * deep + "end") == "end"
+    assert html_extract.main_text("<p><td>" + "<b>" * deep + "<div></div>" * deep + "end") == "end"
+
+
 def test_html_tables(spark):
     """Long pages, repeated rows, extra columns of clashing names, an empty table."""
     words = " ".join(f"w{i}" for i in range(200_000))
