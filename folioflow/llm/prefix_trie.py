@@ -10,6 +10,9 @@ the shared nodes, a family sums up the subtrees of its own nodes, taking a share
 these sums add up over the families. So a shared node counts once, no round per level is needed, and a node in very many families (the root, a
 common first turn) is aggregated before it moves.
 
+A family of more than ``LONG`` turns isn't held by a task. Its conversations are rebuilt as rows: places, keys and sums over what follows are prefix sums, taken over slices of
+``SLICE`` turns first and inside them afterwards (``long_paths``), which sums of hashes allow. Its nodes join those of the other families.
+
 A node is known by a sum modulo 2^128 of hashes of (place, turn): the key of a prefix grows by addition, and paths agree if their keys do.
 Ends of a node, the conversations with just its turns, are written in order: in a family first, then by blocks of families, and where
 a node has several blocks their digest is taken by streaming the sorted blocks through one hash, so that no list of all ends is ever held.
@@ -28,6 +31,7 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions.words import word_count
@@ -36,6 +40,8 @@ from folioflow.plans.materialize import spill
 FAMILY = 20
 #: Families whose ends are joined into one block.
 BLOCK = 1000
+#: Turns of a family that a task holds, and of a slice of a longer one.
+LONG, SLICE = 200_000, 10_000
 ROOT = bytes(16)
 _MASK = (1 << 128) - 1
 
@@ -99,7 +105,7 @@ def _tuples(table: pa.Table, names: tuple[str, ...]) -> list[tuple]:
 
 def _family(base: pa.Table, own: pa.Table) -> pa.Table:
     columns = ("conv_id", "turn", "digest", "words")
-    nodes = family_trie(rebuilt(_tuples(base, columns), _tuples(own, columns)))
+    nodes = family_trie(rebuilt(_tuples(base, tuple(f"of_{c}" for c in columns)), _tuples(own, columns)))
     family = own["base"][0].as_py() if own.num_rows else 0
     return pa.Table.from_pylist([{"base": family} | node for node in nodes], schema=_FAMILY)
 
@@ -141,8 +147,14 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     subtree, the node included), ends_sha256 (of the ids that end here, in order, joined by commas).
     """
     turns = thin_turns(conversations)
-    bases = turns.filter("conv_id = base")
-    families = spill(bases.groupBy("base").cogroup(turns.groupBy("base")).applyInArrow(_family, FAMILY_NODES), "trie-families")
+    long = spill(turns.groupBy("base").agg(F.count("*").alias("n")).filter(F.col("n") > LONG).select("base"), "trie-long")
+    paths = None
+    if not long.isEmpty():
+        paths = spill(long_paths(turns.join(long, "base", "left_semi")), "trie-paths")
+        turns = turns.join(long, "base", "left_anti")
+    bases = turns.filter("conv_id = base").select(*[F.col(c).alias(f"of_{c}") for c in turns.columns])  # the sides of a cogroup mustn't share columns
+    families = bases.groupBy("of_base").cogroup(turns.groupBy("base")).applyInArrow(_family, FAMILY_NODES)
+    families = spill(families if paths is None else families.unionByName(long_nodes(paths)), "trie-families")
     counted = families.groupBy("key").agg(
         F.sum("n").alias("all_n"), F.min("least").alias("all_least"), F.bool_or("inner").alias("all_inner"), F.count("*").alias("families")
     )
@@ -152,9 +164,15 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     of_all = known.select(
         "base", "key", "depth", "parent", "words", F.coalesce("all_n", "n").alias("n"), F.coalesce("all_least", "least").alias("least"),
         F.coalesce("all_inner", "inner").alias("inner"), F.coalesce(base_of(F.col("all_least")) == F.col("base"), F.lit(True)).alias("own"),
-        F.when(~is_shared, F.col("ends")).alias("ends"), is_shared.alias("shared"),
+        F.when(~is_shared, F.col("ends")).alias("ends"), is_shared.alias("shared"), F.col("least").alias("first"),
     )
-    sums = spill(of_all.groupBy("base").applyInArrow(_sum_family, SUMMED_NODES), "trie-sums")
+    if paths is None:
+        sums = of_all.drop("first").groupBy("base").applyInArrow(_sum_family, SUMMED_NODES)
+    else:
+        of_all = spill(of_all, "trie-known")
+        small = of_all.join(long, "base", "left_anti").drop("first").groupBy("base").applyInArrow(_sum_family, SUMMED_NODES)
+        sums = small.unionByName(long_sums(paths, of_all.join(long, "base", "left_semi")))
+    sums = spill(sums, "trie-sums")
     alone = sums.filter(~F.col("shared"))
     met = sums.filter("shared").groupBy("key").agg(
         *[F.min(c).alias(c) for c in ("conv_id", "depth", "parent_conv_id", "n_convs")], *[F.sum(c).alias(c) for c in ("n_children", "n_leaves", "saved_tokens")]
@@ -166,6 +184,98 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     )
 
 
+LIMBS = 4  # a key is four numbers of 32 bits, the highest first; their sums carry over
+
+
+def _limbs(depth: Column, digest: Column) -> list[Column]:
+    """What a turn adds to a key, as ``grown`` has it."""
+    h = F.md5(F.concat(F.encode(F.concat(depth.cast("string"), F.lit(":")), "UTF-8"), digest))
+    return [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(LIMBS)]
+
+
+def _key(sums: list[Column]) -> Column:
+    carry, parts = F.lit(0), []
+    for total in reversed(sums):
+        total = total + carry
+        parts.append(F.lpad(F.hex(total.bitwiseAND(0xFFFFFFFF)), 8, "0"))
+        carry = F.shiftright(total, 32)
+    return F.unhex(F.concat(*reversed(parts)))
+
+
+def _running(rows: DataFrame, values: list[str]) -> DataFrame:
+    """``rows`` (conv_id, d, ...), written, with ``values`` summed up over d: slices first, then inside each slice."""
+    sliced = rows.withColumn("slice", F.floor(F.col("d") / SLICE))
+    before = W.partitionBy("conv_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = sliced.groupBy("conv_id", "slice").agg(*[F.sum(v).alias(v) for v in values])
+    starts = starts.select("conv_id", "slice", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}") for v in values])
+    inside = W.partitionBy("conv_id", "slice").orderBy("d").rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = sliced.select(*[c for c in sliced.columns if c not in values], *[F.sum(v).over(inside).alias(v) for v in values])
+    return summed.join(starts, ["conv_id", "slice"]).select(*[c for c in rows.columns if c not in values], *[(F.col(v) + F.col(f"_{v}")).alias(v) for v in values])
+
+
+def _placed(turns: DataFrame) -> DataFrame:
+    """``turns`` with ``pos``, the place of each in its conversation: ranges of turns in order are counted first, then numbered inside each."""
+    order = [F.col("turn").asc_nulls_first(), F.col("digest")]
+    salted = turns.withColumn("salt", F.monotonically_increasing_id())  # equal turns have no order; one range needn't hold them all
+    ranged = spill(salted.repartitionByRange("conv_id", *order, "salt").withColumn("range", F.spark_partition_id()).drop("salt"), "trie-ranges")
+    before = W.partitionBy("conv_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    counts = ranged.groupBy("conv_id", "range").count().select("conv_id", "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    inside = ranged.withColumn("at", F.row_number().over(W.partitionBy("conv_id", "range").orderBy(*order)))
+    return inside.join(counts, ["conv_id", "range"]).withColumn("pos", F.col("start") + F.col("at")).drop("range", "start", "at", "turn")
+
+
+def long_paths(turns: DataFrame) -> DataFrame:
+    """(base, conv_id, d, key, parent, words, inner) of the rebuilt conversations of long families, a row for each prefix."""
+    placed = spill(_placed(spill(turns, "trie-turns")), "trie-placed")
+    own = placed.groupBy("base", "conv_id").agg(F.count("*").alias("n_own"))
+    heads = placed.filter("conv_id = base AND pos <= 3").select("base", "pos", "digest", "words")
+    h = F.crc32(F.encode(F.col("conv_id").cast("string"), "UTF-8")) % 4
+    convs = own.withColumn("h", h).join(heads.groupBy("base").agg(F.count("*").alias("n_heads")), "base", "left")
+    taken = F.least("h", F.coalesce("n_heads", F.lit(0)))
+    convs = spill(convs.select("base", "conv_id", "h", taken.alias("taken"), (taken + F.greatest(F.col("n_own") - F.col("h"), F.lit(0))).alias("length")), "trie-convs")
+    first = convs.join(heads, "base").filter("pos <= taken").select("base", "conv_id", "length", F.col("pos").alias("d"), "digest", "words")
+    rest = placed.drop("base").join(convs, "conv_id").filter("pos > h").select("base", "conv_id", "length", (F.col("taken") + F.col("pos") - F.col("h")).alias("d"), "digest", "words")
+    zero = [F.lit(0).cast("long").alias(f"x{i}") for i in range(LIMBS)]
+    steps = first.unionByName(rest)
+    steps = steps.select("base", "conv_id", "length", "d", "words", *[x.alias(f"x{i}") for i, x in enumerate(_limbs(F.col("d"), F.col("digest")))])
+    roots = convs.select("base", "conv_id", "length", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("words"), *zero)
+    names = [f"x{i}" for i in range(LIMBS)]
+    steps = spill(steps.unionByName(roots).withColumns({f"own{i}": F.col(f"x{i}") for i in range(LIMBS)}), "trie-steps")
+    keyed = _running(steps, names)
+    less = _key([F.col(f"x{i}") - F.col(f"own{i}") for i in range(LIMBS)])
+    return keyed.select("base", "conv_id", "d", _key([F.col(n) for n in names]).alias("key"), F.when(F.col("d") > 0, less).alias("parent"), "words", (F.col("d") < F.col("length")).alias("inner"))
+
+
+def long_nodes(paths: DataFrame) -> DataFrame:
+    """The nodes of long families, as ``family_trie`` has them: a family has no more than 39 conversations, whatever their length."""
+    ends = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("inner"), F.col("conv_id")))), lambda c: c.cast("string")), ",")
+    return paths.groupBy("base", "key").agg(
+        F.min("d").alias("depth"), F.min("parent").alias("parent"), F.min("words").alias("words"), F.count("*").alias("n"), F.min("conv_id").alias("least"),
+        F.bool_or("inner").alias("inner"), ends.alias("ends"),
+    ).select(*[f.name for f in _FAMILY])
+
+
+def long_sums(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """As ``summed``, for long families: each counted node is counted on the path of its family's least member, and sums over what follows on a path add up to those of subtrees."""
+    met = paths.select("base", "conv_id", "d", "key", "parent").join(nodes.drop("parent"), ["base", "key"])
+    counts = (F.col("own") & (F.col("conv_id") == F.col("first"))).alias("counts")
+    rows = spill(met.select("*", counts).select(
+        "base", "conv_id", "d", "key", "parent", F.col("counts").cast("long").alias("mine"), (F.col("counts") & ~F.col("inner")).cast("long").alias("leaf"),
+        F.when(F.col("counts"), (F.col("n") - 1) * F.col("words")).otherwise(0).alias("saved"),
+    ), "trie-values")
+    upto = _running(rows.select("base", "conv_id", "d", "key", "leaf", "saved", F.col("leaf").alias("leaf0"), F.col("saved").alias("saved0")), ["leaf", "saved"])
+    whole = rows.groupBy("conv_id").agg(F.sum("leaf").alias("leaves"), F.sum("saved").alias("total"))
+    after = upto.join(whole, "conv_id").groupBy("base", "key").agg(
+        F.sum(F.col("leaves") - F.col("leaf") + F.col("leaf0")).alias("n_leaves"), F.sum(F.col("total") - F.col("saved") + F.col("saved0")).alias("saved_tokens")
+    )
+    children = rows.filter("d > 0 AND mine > 0").groupBy("base", F.col("parent").alias("key")).agg(F.count("*").alias("n_children"))
+    above = nodes.select("base", F.col("key").alias("parent"), F.col("least").alias("parent_conv_id"))
+    found = nodes.join(above, ["base", "parent"], "left").join(after, ["base", "key"]).join(children, ["base", "key"], "left")
+    return found.select(
+        "key", F.col("least").alias("conv_id"), "depth", "parent_conv_id", F.col("n").alias("n_convs"), F.coalesce("n_children", F.lit(0)).alias("n_children"), "n_leaves", "saved_tokens", "ends", "shared"
+    )
+
+
 def _sha(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 

@@ -69,6 +69,15 @@ def test_trie_equals_all_prefixes(spark, seed):
     assert trie_rows(prefix_trie.prefix_trie(table(spark, rows))) == plain_trie(rows)
 
 
+@pytest.mark.parametrize("most", [12, 0])
+def test_long_families_are_dealt(spark, monkeypatch, most):
+    """Families cut into slices of two turns, beside others that a task holds, or all of them: the same trie."""
+    monkeypatch.setattr(prefix_trie, "LONG", most)
+    monkeypatch.setattr(prefix_trie, "SLICE", 2)
+    rows = random_rows(9, [i for i in range(-25, 90) if i % 4 == 0 or i < 30], most=5)
+    assert trie_rows(prefix_trie.prefix_trie(table(spark, rows))) == plain_trie(rows)
+
+
 def test_ends_of_many_families(spark):
     """A conversation in very many families: its ends lie in many blocks and are hashed as one list."""
     rows = [(c, 0, "user", "same question") for c in range(0, 900, 20)]
