@@ -6,8 +6,6 @@ import random
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
-
 from folioflow.llm import prefix_trie, turn_repair
 
 DDL = "conv_id long, turn long, role string, text string, base string, digest int, key int, gone boolean, copy int, words int"
@@ -181,9 +179,29 @@ def plain_repair(rows):
 
 
 def repaired(df):
-    found = turn_repair.repair(df)
-    digest = F.sha2(F.encode(turn_repair.written(F.col("turns")), "UTF-8"), 256)
-    return sorted(str(tuple(r)) for r in found.withColumn("turns", digest).collect())
+    return sorted(str(tuple(r)) for r in turn_repair.repair(df).drop("turns").collect())
+
+
+@pytest.mark.parametrize(("most", "block"), [(3, 2), (0, 1), (2, 3)])
+def test_long_conversations_are_dealt(spark, monkeypatch, most, block):
+    """Conversations cut into blocks, beside others that a task holds, or all of them: the same repairs."""
+    monkeypatch.setattr(turn_repair, "LONG_ROWS", most)
+    monkeypatch.setattr(turn_repair, "BLOCK_ROWS", block)
+    rows = random_rows(12 + most, [*range(50), None], most=6)
+    assert repaired(turn_repair.damage(table(spark, rows))) == plain_repair(rows)
+
+
+def test_blocks_add_up():
+    """Through any cut, the prices of two parts make the price of the whole."""
+    rng = random.Random(2)
+    for _ in range(200):
+        rows = [(rng.choice("suax"), rng.choice([None, "truncated", "blank"])) for _ in range(rng.randint(2, 9))]
+        cut = rng.randrange(1, len(rows))
+        for entry in range(4):
+            one, two = turn_repair.prices(rows[:cut], entry), [turn_repair.prices(rows[cut:], s) for s in range(4)]
+            for end, whole in enumerate(turn_repair.prices(rows, entry)):
+                ways = [one[s] + two[s][end] for s in range(4) if one[s] >= 0 and two[s][end] >= 0]
+                assert whole == min(ways, default=-1)
 
 
 def test_repair_equals_all_edits(spark):
