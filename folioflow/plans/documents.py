@@ -10,7 +10,7 @@ from folioflow.functions import tables
 from folioflow.functions import text as X
 from folioflow.operators import answer as A
 from folioflow.operators import store
-from folioflow.operators.blocks import blocks
+from folioflow.operators.blocks import blocks, page_parts
 from folioflow.operators.chunk import chunk, chunk_stats, class_counts, split_table, text_blocks, with_ids
 from folioflow.operators.containment import containment
 from folioflow.operators.dictionary import named
@@ -155,6 +155,15 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", F.posexplode("b").alias("pos", "b")).select("page_id", "pos", "b.kind", "b.text")
 
 
+@R.add(r"""WITH plain AS (SELECT page_id, regexp_replace(html, '(?s)<(script|style).*?</(script|style)>|<!--.*?-->', '', 'g') AS html FROM pages),
+links AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), 1) AS n FROM plain)
+SELECT page_id, n::INT - 1 AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href, trim(regexp_extract(a, '>([^<]*)<', 1)) AS text FROM links""")
+def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of every page, in order, as the parser reads it: what the choice of a document is made of."""
+    parts = read_table(spark, sf_dir, "pages").select("page_id", page_parts("html").alias("p"))
+    return parts.select("page_id", F.posexplode("p.anchors").alias("pos", "a")).select("page_id", "pos", "a.href", "a.text")
+
+
 @R.add(_PAGE_BLOCKS)
 def page_blocks_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same blocks by a table function in SQL: its columns follow those of the table it is given."""
