@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.vectors import dot, entity_filter
 from folioflow.operators import ann, search
-from folioflow.plans.materialize import spill
+from folioflow.plans.materialize import shared_dir, spill
 from folioflow.plans.registry import Registry
 from folioflow.sources.tables import read_table
+from folioflow.sources.vectors import VectorFiles, in_ranges
 
 R = Registry()
 DUE = "vec_id % 100 = 0"
@@ -144,6 +147,17 @@ def entity_filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.filter(entity_filter(applies, ["1", "4"])).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@R.add("""SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: i * embedding[i]::DOUBLE)), 4) AS mark FROM embeddings""")
+def vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors written to files and read back in ranges of bytes: their row numbers are their places in order of id."""
+    spark.dataSource.register(VectorFiles)
+    path = f"{shared_dir(spark)}/folioflow-vectors-{uuid.uuid4().hex}"
+    in_ranges(read_table(spark, sf_dir, "embeddings"), "vec_id").write.format("vectors").mode("overwrite").option("rows", 300).save(path)
+    back = spark.read.format("vectors").option("rows", 70).load(path)
+    mark = F.aggregate(F.transform("embedding", lambda x, i: (i + 1) * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return back.select("row", F.round(mark, 4).alias("mark"))
+
+
 @R.add("""SELECT count(*) FILTER (WHERE v.doc_id IS NULL) AS chunks_alone, count(*) FILTER (WHERE d.doc_id IS NULL) AS vectors_alone
 FROM documents d FULL JOIN (SELECT vec_id AS doc_id FROM embeddings) v ON d.doc_id = v.doc_id""")
 def positional_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,3 +154,26 @@ def test_page_blocks_in_sql(spark):
     assert [tuple(r) for r in got.collect()] == [(1, "x", 0, "text", "a"), (1, "x", 1, "text", "b"), (3, None, 0, "table", "| h | i |\n| --- | --- |")]
     with pytest.raises(Exception, match="html"):
         spark.sql("SELECT * FROM page_blocks(TABLE(SELECT 1 AS x))").collect()
+
+
+def test_vector_files_by_ranges_of_bytes(spark, tmp_path):
+    import numpy as np
+
+    from folioflow.sources.vectors import VectorFiles, in_ranges
+
+    spark.dataSource.register(VectorFiles)
+    v = np.random.default_rng(1).normal(size=(1000, 6)).astype(np.float32)
+    df = spark.createDataFrame([(7 * i, x.tolist()) for i, x in enumerate(v)] + [(3, None)], "id long, embedding array<float>").repartition(5)
+    path = str(tmp_path / "v")
+    in_ranges(df, "id").write.format("vectors").mode("overwrite").option("rows", 90).save(path)
+    back = spark.read.format("vectors").option("rows", 40).load(path)
+    assert back.rdd.getNumPartitions() >= 25
+    rows = sorted(back.collect())
+    assert [r.row for r in rows] == list(range(1000)) and np.array_equal(np.array([r.embedding for r in rows], np.float32), v)
+    (tmp_path / "v/part-of-a-failed-job.npy").write_bytes(b"x")  # in no list
+    in_ranges(df.filter("id < 70"), "id").write.format("vectors").mode("append").save(path)
+    assert spark.read.format("vectors").load(path).count() == 1010
+    np.save(tmp_path / "alone.npy", v[:5])
+    assert spark.read.format("vectors").load(f"file://{tmp_path}/alone.npy").count() == 5
+    in_ranges(df.limit(0), "id").write.format("vectors").mode("overwrite").save(path)
+    assert spark.read.format("vectors").load(path).count() == 0
