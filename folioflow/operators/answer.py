@@ -57,12 +57,21 @@ NOT_ASKED = f"{G.QuotaExhausted.__name__}: not asked"
 ORDER = ("timestamp", "run_id", "seq")  # of the records of a log: runs by time, questions by their place in a run
 
 
+def _numbered(questions: DataFrame) -> DataFrame:
+    """``questions`` with ``place``, from 1 on in order of query_id: ranges are counted, then numbered inside each; only the counts, a row a range, meet in one task."""
+    ranged = spill(questions.repartitionByRange("query_id").withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_range").count()
+    starts = counts.select(F.col("_range").alias("_of"), F.coalesce(F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = ranged.withColumn("_at", F.row_number().over(W.partitionBy("_range").orderBy("query_id")))
+    return inside.join(starts, F.col("_range") == F.col("_of")).withColumn("place", F.col("_start") + F.col("_at")).drop("_range", "_of", "_start", "_at")
+
+
 def answer_batch(questions: DataFrame, index: DataFrame, embedder: E.Embedder, generator: G.Generator, clock: Column, run_id: str, source: str = "batch", k: int = 8, use_filter: bool = True, block: int = 1000) -> DataFrame:
     """The log of a batch, in blocks of questions: once the generator's quota is gone the batch stops and what was answered is kept.
 
     The record of the first refused question stays, in each task that met it; questions that weren't asked any more leave none.
     """
-    table = spill(questions.withColumn("place", F.row_number().over(W.orderBy("query_id"))), "questions")  # a list of questions, not a corpus
+    table = spill(_numbered(questions), "questions")
     parts: list[DataFrame] = []
     for first in range(0, table.count(), block):
         with observe(f"answers {first + 1} to {first + block}", "generation", questions.sparkSession) as span:

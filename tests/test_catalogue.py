@@ -25,6 +25,32 @@ def test_answers(spark):
     assert summary.asked == summary.answered == due > 0 and summary.wrong_source == summary.not_found == 0
 
 
+def test_answers_against_a_plain_version(spark):
+    """Every answer of the batch, from a search over all vectors in numpy, the generator called by hand, and quotes looked up as substrings."""
+    import numpy as np
+
+    from folioflow import dictionaries as D
+    from folioflow.operators.embed import HashingEmbedder
+    from folioflow.operators.generate import ExtractiveGenerator
+    from folioflow.plans import documents
+
+    index = documents.document_index(spark, SMALL).select("chunk_id", "number", "text", "embedding").toPandas().sort_values("chunk_id").reset_index(drop=True)
+    vectors = np.stack(index["embedding"]).astype(np.float64)
+    plain = lambda t: " ".join(t.lower().split())
+    records = documents._answers(spark, SMALL, "conv_id % 100 = 0", "batch").collect()
+    assert records
+    for r in records:
+        q = HashingEmbedder().encode([D.QUERY_PREFIX + r.question])[0].astype(np.float64)
+        best = np.argsort(-np.round(vectors @ q, 6), kind="stable")[:8]
+        reply = ExtractiveGenerator().answer(r.question, index["text"][best].tolist())
+        assert list(r.retrieved) == index["number"][best].tolist() and not r.filtered
+        assert (r.answer, r.insufficient_context, r.n_citations) == (reply["answer"], reply["insufficient_context"], len(reply["citations"]))
+        for got, want in zip(r.citations, reply["citations"], strict=True):
+            inside = [n for n, t in enumerate(index["text"][best], 1) if plain(want["quote"]) in plain(t)]
+            assert (got.source_id, got.quote, list(got.found_in)) == (want["source_id"], want["quote"], inside) and got.status == "ok"
+        assert r.verified == len(reply["citations"])
+
+
 def test_entry(spark):
     import __spark_entry__
 
