@@ -18,6 +18,7 @@ import argparse
 import os
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ from folioflow import dictionaries as D
 from folioflow.operators import answer as A
 from folioflow.operators import generate as G
 from folioflow.operators import fetch as N
-from folioflow.operators import search, store
+from folioflow.operators import ann, search, store
 from folioflow.operators.blocks import blocks
 from folioflow.operators.chunk import chunk, chunk_stats, class_counts, with_ids
 from folioflow.operators.embed import HashingEmbedder, embed, embed_queries
@@ -68,12 +69,12 @@ def generator() -> G.Generator:
     return G.RemoteGenerator(url, os.environ.get("ANSWER_MODEL", "remote"), os.environ.get("ANSWER_KEY")) if url else G.ExtractiveGenerator()
 
 
-def entity_test(index: DataFrame, asked: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Precision without and with the filter."""
+def entity_test(index: DataFrame, asked: DataFrame, k: int, find: Callable = search.topk) -> tuple[DataFrame, DataFrame]:
+    """Precision without and with the filter, of the exact search or another one."""
     vectors = embed_queries(asked, HashingEmbedder())
     corpus = index.select(F.col("chunk_id").alias("id"), "embedding", "applies_to")
     none = F.lit(None).cast("array<string>")
-    return tuple(search.precision(search.topk(corpus, vectors.select("query_id", "embedding", c.alias("classes")), k), asked) for c in (none, F.array("class")))
+    return tuple(search.precision(find(corpus, vectors.select("query_id", "embedding", c.alias("classes")), k), asked) for c in (none, F.array("class")))
 
 
 def _write_swapped(df: DataFrame, path: str) -> None:
@@ -117,6 +118,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--delay", type=float, default=0.4)
     ap.add_argument("--entity", action="append")
     ap.add_argument("--no-filter", action="store_true")
+    ap.add_argument("--approximate", action="store_true", help="build: an index of lists and codes too; entity-test, example: search by it")
     ap.add_argument("--stats", action="store_true")
     ap.add_argument("--all", action="store_true")
     ap.add_argument("--tail", type=int, default=10)
@@ -186,6 +188,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.command == "build":
         made = chunks_of(spark, a.data)
         print(store.build_collection(made, embed(made.select("chunk_id", "text"), HashingEmbedder()), f"{a.data}/collection"), "points")
+        if a.approximate:
+            corpus = spark.read.parquet(f"{a.data}/collection").select(F.col("chunk_id").alias("id"), "embedding", "applies_to")
+            ann.save(corpus, ann.fit(corpus), f"{a.data}/collection_lists")
     elif a.command == "models":
         G.list_models(spark, [{"name": G.ExtractiveGenerator.name}], G.ExtractiveGenerator.name, a.all).show()
     elif a.command == "history":
@@ -196,14 +201,18 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     else:
         index = spark.read.parquet(f"{a.data}/collection")
         corpus = index.select(F.col("chunk_id").alias("id"), "embedding", "applies_to")
+        find = search.topk
+        if a.approximate:
+            lists, model = ann.load(spark, f"{a.data}/collection_lists")
+            find = lambda rows, queries, k: ann.search(rows, lists, queries, model, k)
         if a.command == "probe":
             search.probe(corpus).show(60)
         elif a.command == "entity-test":
-            for table in entity_test(index, entity_queries(spark, a.questions), a.k or 10):
+            for table in entity_test(index, entity_queries(spark, a.questions), a.k or 10, find):
                 table.orderBy(F.asc_nulls_last("query_id")).show()
         elif a.command == "example":
             asked = entity_queries(spark, a.questions).orderBy("question").limit(1)
-            found = search.topk(corpus, embed_queries(asked, HashingEmbedder()).select("query_id", "embedding", F.lit(None).cast("array<string>").alias("classes")), a.k or 10)
+            found = find(corpus, embed_queries(asked, HashingEmbedder()).select("query_id", "embedding", F.lit(None).cast("array<string>").alias("classes")), a.k or 10)
             search.worked_example(found, asked).orderBy("rank").show(truncate=40)
         else:
             rows = spark.createDataFrame([(0, a.question, a.entity)], "query_id long, question string, entity array<string>") if a.command == "ask" else questions(spark, a.questions, a.entity)

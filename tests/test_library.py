@@ -460,7 +460,8 @@ def test_the_command_line_from_pages_to_answers(spark, tmp_path, monkeypatch, ca
     bodies = spark.read.parquet(f"{tmp_path}/data/bodies")
     assert bodies.count() == bodies.select("key").distinct().count() == 2
     run("chunk")
-    run("build")
+    run("build", "--approximate")
+    run("entity-test", "--approximate")
     run("batch", "--questions", str(tmp_path / "asked.txt"))
     run("ask", "How long are records kept?")
     run("history")
