@@ -146,7 +146,11 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = _stream_folder(spark)
     events = _in_parts(spark, sf_dir)
-    late = events.filter("event_id % 10 = 0").withColumns({"event_id": -1 - F.col("event_id"), "part": F.col("part") + 3})
+    newest = {r["part"]: r["ts"] for r in events.groupBy("part").agg(F.max(F.unix_micros("ts")).alias("ts")).collect()}  # five rows
+    behind = F.lit(False)
+    for part in range(5):  # by the watermark of the part before the one they come with
+        behind |= (F.col("part") == part) & (F.unix_micros("ts") < max((newest[p] or 0 for p in newest if p < part + 2), default=0) - 600_000_000)
+    late = events.filter(F.col("event_id") % 10 == 0).filter(behind).withColumns({"event_id": -1 - F.col("event_id"), "part": F.col("part") + 3})
     sent = spill(events.unionByName(events.withColumn("part", F.col("part") + 1)).unionByName(late), "sent")
     for files in ((0, 1, 2), (3, 4, 5, 6, 7)):
         for part in files:
@@ -157,10 +161,11 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events with the number of their fifth in order of time."""
+    """The events with the number of their fifth in order of time, whatever the order of their ids; rows of one time are in one part."""
     events = read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    ids = (events.agg(F.max("event_id").alias("last")).first()["last"] or 0) + 1
-    return events.withColumn("part", F.floor(F.col("event_id") * 5 / ids).cast("int"))
+    us = F.unix_micros("ts")
+    cuts = events.agg(F.percentile_approx(us, [0.2, 0.4, 0.6, 0.8]).alias("cuts")).first()["cuts"] or []
+    return events.withColumn("part", sum((F.coalesce((us > cut).cast("int"), F.lit(0)) for cut in cuts), F.lit(0)))
 
 
 EVERY, BURST, QUOTA = 4 * 3600 * 1_000_000, 2, 8

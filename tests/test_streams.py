@@ -177,3 +177,25 @@ def test_vector_files_by_ranges_of_bytes(spark, tmp_path):
     assert spark.read.format("vectors").load(f"file://{tmp_path}/alone.npy").count() == 5
     in_ranges(df.limit(0), "id").write.format("vectors").mode("overwrite").save(path)
     assert spark.read.format("vectors").load(path).count() == 0
+
+
+def shuffled_events(tmp_path):
+    """Events twice, the second time under later ids at the same times: ids aren't in order of time."""
+    import duckdb
+
+    duckdb.sql(f"COPY (SELECT event_id + k * 1000 AS event_id, ts, user_id + k * 500 AS user_id, event_type, value, props FROM '/root/testdata/sf0.001/events.parquet', (SELECT unnest([0, 1]) AS k)) TO '{tmp_path}/events.parquet'")
+    return str(tmp_path)
+
+
+def test_streams_of_events_whose_ids_are_out_of_time(spark, tmp_path):
+    import duckdb
+
+    from folioflow.plans import relational
+
+    path = shuffled_events(tmp_path)
+    for name in ("stream_dedup", "request_schedule"):
+        got = relational.R.queries[name](spark, path)
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet'")
+        want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({relational.R.sql[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) >= 2000
