@@ -31,32 +31,74 @@ def folded(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ALIKE).lower()
 
 
+#: A pattern that is a literal with edges of words before it: what comes after it is matched where the literal ends.
+FIXED = re.compile(r"((?:\\[bB])*)([^\\.^$*+?{}\[\]|()]+)((?![*+?{]).*)", re.DOTALL)
+
+
 class Finder:
-    """The automaton of some needles, given as (literals, pattern or None)."""
+    """The automaton of some needles, given as (literals, pattern or None).
+
+    A pattern that is its literal, edges of words before it and something after it, is decided where the literal stands; parts of patterns that many share are compiled once.
+    Other patterns are compiled when their literal is first met, and searched for in the whole text.
+    """
 
     def __init__(self, needles: Iterable[tuple[list[str], str | None]], fold: bool):
-        self.fold, self.always = fold, []
-        self.patterns: list[Callable | None] = []
-        held: dict[str, list[int]] = {}
+        self.fold, self.always, self.flags = fold, [], re.IGNORECASE if fold else 0
+        self.patterns: list[str | None] = []
+        self.parts: dict[tuple[str, str], tuple[Callable, Callable] | None] = {}
+        self.compiled: dict[int, Callable] = {}
+        held: dict[str, tuple] = {}
         for at, (literals, pattern) in enumerate(needles):
-            self.patterns.append(re.compile(pattern, re.IGNORECASE if fold else 0).search if pattern is not None else None)
+            self.patterns.append(pattern)
+            fixed = self.fixed(pattern, literals) if pattern is not None and literals else None
             for literal in literals or ():
-                held.setdefault(literal, []).append(at)
+                held[literal] = (*held.get(literal, (len(literal),)), (at, *fixed) if fixed else at)
             if not literals:
                 self.always.append(at)
         self.automaton = ahocorasick.Automaton()
-        for literal, numbers in held.items():
-            self.automaton.add_word(literal, tuple(numbers))
-        if held:
+        while held:
+            self.automaton.add_word(*held.popitem())
+        if len(self.automaton):
             self.automaton.make_automaton()
 
+    def fixed(self, pattern: str, literals: list[str]) -> tuple[Callable, Callable] | None:
+        """What to match before and after the literal, where that decides."""
+        hit = FIXED.fullmatch(pattern)
+        if not hit or len(literals) != 1 or hit[2].lower() != literals[0] or not hit[2].isascii() or (not self.fold and hit[2] != literals[0]):
+            return None
+        key = (hit[1], hit[3])
+        if key not in self.parts:
+            try:
+                branched = re.compile(hit[3], self.flags) and "|" in re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]|\([^()|]*(?:\|[^()|]*)*\)", "", hit[3])
+                self.parts[key] = None if branched else (re.compile(hit[1], self.flags).match, re.compile(hit[3], self.flags).match)
+            except re.error:  # a part alone is no pattern
+                self.parts[key] = None
+        return self.parts[key]
+
+    def search(self, at: int) -> Callable | None:
+        if self.patterns[at] is None:
+            return None
+        if at not in self.compiled:
+            if len(self.compiled) >= 10_000:
+                self.compiled.clear()
+            self.compiled[at] = re.compile(self.patterns[at], self.flags).search
+        return self.compiled[at]
+
     def __call__(self, text: str) -> list[int]:
         """The needles that ``text`` holds, in their order."""
-        found = set(self.always)
+        found, maybe = set(), set(self.always)
         if len(self.automaton):
-            for numbers in {hit for _, hit in self.automaton.iter(folded(text) if self.fold else text)}:
-                found.update(numbers)
-        return [at for at in sorted(found) if self.patterns[at] is None or self.patterns[at](text)]
+            for end, (length, *numbers) in self.automaton.iter(folded(text) if self.fold else text):
+                for n in numbers:
+                    if type(n) is int:
+                        maybe.add(n)
+                    elif n[0] not in found and n[1](text, end + 1 - length) and n[2](text, end + 1):
+                        found.add(n[0])
+        for at in maybe:
+            search = self.search(at)
+            if search is None or search(text):
+                found.add(at)
+        return sorted(found)
 
 
 def matches(texts: DataFrame, needles: DataFrame, fold: bool = False) -> DataFrame:

@@ -158,3 +158,22 @@ def test_short_quotes_take_one_pass(spark):
     got = containment.containment(texts, quotes, "t", "q")
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Range (0, 40") == 1 and "Union" not in plan and sorted(r.q for r in got.collect() if r.t == 39) == [3, 39]
+
+
+def test_parts_of_patterns_are_compiled_once():
+    """Patterns of one shape are decided where their literal stands, without a pattern compiled for each; any pattern finds what re finds."""
+    words = [f"word{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"]
+    many = multimatch.Finder([([w], rf"\b{w}(?:s|en)?\b") for w in words], True)
+    assert many("x wordabcs, WORDABDEN wordabea xwordaaa wordaabs wordhhhſ") == [words.index(w) for w in ("wordaab", "wordabc", "wordabd", "wordhhh")]
+    assert len(many.parts) == 1 and not many.compiled
+    rng = random.Random(5)
+    heads, tails = ["", r"\b", r"\B"], ["", r"\b", "s?", r"(?:s|en)?\b", "|b", r"\w*c", "(?=k)", "{2}", "*", "?", r"(a|b)\1", "(?<=a)b?", "$", "[|]", "(a(b|c))d?", "[)|]|k"]
+    held = 0
+    for _ in range(1500):
+        pattern = rng.choice(heads) + "".join(rng.choice("abcKks") for _ in range(rng.randint(1, 3))) + rng.choice(tails)
+        find = multimatch.Finder([(sorted(dictionary.mandatory(pattern) or ()), pattern)], True)
+        for _ in range(4):
+            text = "".join(rng.choice("abcKks.ıſİKÉé |en") for _ in range(rng.randint(0, 8)))
+            held += bool(find(text))
+            assert bool(find(text)) == bool(re.search(pattern, text, re.IGNORECASE)), (pattern, text)
+    assert held > 300
