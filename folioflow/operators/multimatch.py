@@ -9,6 +9,7 @@ Needles without a literal are tried on every text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
@@ -20,7 +21,10 @@ from folioflow.operators.search import blocks, dealt
 from folioflow.plans.materialize import spill
 
 MOST_BYTES = 16 << 20
-TEXT_BLOCK = 64 << 20  # bytes of text in a cell of the grid
+#: Bytes of text in a cell of the grid, and of memory that its needles may take, as a multiple of MOST_BYTES; what a needle and each byte of its literals take, as measured.
+TEXT_BLOCK, CELL = 32 << 20, 16
+NEEDLE, NODE = 48, 40
+ROWS = 256  # texts of a batch whose pairs leave together
 
 #: Letters that match an ASCII letter when case is ignored: fixed values.
 ALIKE = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
@@ -108,7 +112,8 @@ def matches(texts: DataFrame, needles: DataFrame, fold: bool = False) -> DataFra
     """
     kept = spill(needles.select("needle_id", "literals", "pattern"), "needles")
     size = F.octet_length(F.concat_ws("", "literals")) + F.coalesce(F.octet_length("pattern"), F.lit(0)) + 16
-    total = kept.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
+    memory = size + F.lit(NEEDLE) + NODE * F.octet_length(F.concat_ws("", "literals"))
+    total, inside = kept.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(memory), F.lit(0))).first()
     rows = texts.select("text_id", "text").filter(F.col("text").isNotNull())
     out = f"text_id {rows.schema['text_id'].dataType.simpleString()}, needle_id {kept.schema['needle_id'].dataType.simpleString()}"
     if total <= MOST_BYTES:  # looked up: what the driver and every task hold is bounded
@@ -117,11 +122,12 @@ def matches(texts: DataFrame, needles: DataFrame, fold: bool = False) -> DataFra
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = _finder(held, fold)
             for batch in batches:
-                yield from _pairs(pa.Table.from_batches([batch]), held, find).to_batches()
+                for at in range(0, batch.num_rows, ROWS):
+                    yield from _pairs(pa.Table.from_batches([batch.slice(at, ROWS)]), held, find).to_batches()
 
         return rows.mapInArrow(scan, out)
 
-    groups = blocks(total, MOST_BYTES)
+    groups = blocks(inside, CELL * MOST_BYTES)
     text_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     down = blocks(text_bytes, TEXT_BLOCK)
     left = rows.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("_b", dealt(F.col("text_id"), F.lit(down)))
@@ -134,13 +140,14 @@ def matches(texts: DataFrame, needles: DataFrame, fold: bool = False) -> DataFra
 
 
 def _finder(held: pa.Table, fold: bool) -> Finder:
-    return Finder(zip(held["literals"].to_pylist(), held["pattern"].to_pylist(), strict=True), fold)
+    return Finder(((literals.as_py(), pattern.as_py()) for literals, pattern in zip(held["literals"], held["pattern"], strict=True)), fold)
 
 
 def _pairs(texts: pa.Table, held: pa.Table, find: Finder) -> pa.Table:
-    rows, found = [], []
+    rows, found = array("q"), array("q")  # a pair is two numbers, not two objects
     for at, text in enumerate(texts["text"]):
         hits = find(text.as_py())
-        rows += [at] * len(hits)
-        found += hits
-    return pa.table({"text_id": texts["text_id"].take(pa.array(rows, pa.int64())), "needle_id": held["needle_id"].take(pa.array(found, pa.int64()))})
+        rows.extend([at] * len(hits))
+        found.extend(hits)
+    at, of = (pa.Array.from_buffers(pa.int64(), len(x), [None, pa.py_buffer(x)]) for x in (rows, found))
+    return pa.table({"text_id": texts["text_id"].take(at), "needle_id": held["needle_id"].take(of)})
