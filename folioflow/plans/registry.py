@@ -1,11 +1,14 @@
-"""A registry of queries and their DuckDB twins."""
+"""A registry of queries and their DuckDB twins. A query begins with bounded batches for Python workers."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioflow.session import bounded
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,7 +21,11 @@ class Registry:
         """Register a function under its own name, with the SQL that gives the same rows."""
 
         def register(f: Query) -> Query:
-            self.queries[f.__name__] = f
+            @wraps(f)
+            def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+                return f(bounded(spark), sf_dir)
+
+            self.queries[f.__name__] = query
             if sql is not None:
                 self.sql[f.__name__] = sql
             return f

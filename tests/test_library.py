@@ -542,3 +542,18 @@ def test_classes_are_those_of_the_sql(spark):
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.scan_entities(F.col("t")).alias("found")).collect()
     want = [duckdb.execute(f"SELECT {_scan_sql('t')} FROM (SELECT ?::VARCHAR AS t)", [t]).fetchone()[0] for t in texts]
     assert [r.found for r in sorted(got)] == want and ["Asset Reconstruction Companies"] in want
+
+
+def test_queries_begin_with_bounded_batches(spark):
+    """Python workers get batches of bounded size from every query of the library, not of Spark's default."""
+    from folioflow import session
+    from folioflow.plans import catalogue
+
+    before = spark.conf.get(session.ARROW_BYTES)
+    try:
+        for name in ("page_anchors", "text_clean", "quote_reach", "table_blocks"):
+            spark.conf.set(session.ARROW_BYTES, "67108864b")
+            catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+            assert spark.conf.get(session.ARROW_BYTES) == session.BATCH
+    finally:
+        spark.conf.set(session.ARROW_BYTES, before)
