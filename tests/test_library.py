@@ -557,3 +557,13 @@ def test_queries_begin_with_bounded_batches(spark):
             assert spark.conf.get(session.ARROW_BYTES) == session.BATCH
     finally:
         spark.conf.set(session.ARROW_BYTES, before)
+
+
+def test_a_table_is_told_once(monkeypatch):
+    """What a table is for is found out once a table, and nothing counts the lines of a page."""
+    from folioflow.operators import blocks
+
+    asked = []
+    told = blocks.is_contents
+    monkeypatch.setattr(blocks, "is_contents", lambda table: asked.append(table) or told(table))
+    assert blocks_of("<table><tr><td>h<td>i</table>" * 3) == [("table", "| h | i |\n| --- | --- |")] * 3 and len(asked) == 3
