@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import safe_name
+from folioflow.plans.materialize import spill
 from folioflow.schemas import LOG_DDL, PAYLOAD, migrate
 
 
@@ -88,7 +89,7 @@ def build_collection(chunks: DataFrame, vectors: DataFrame, path: str) -> int:
 
     The count must equal the chunks' or it is an error.
     """
-    points = chunks.select("chunk_id", *PAYLOAD).join(vectors.select("chunk_id", "embedding"), "chunk_id")
+    points = spill(chunks.select("chunk_id", *PAYLOAD).join(vectors.select("chunk_id", "embedding"), "chunk_id"), "points")  # ranges are found in one pass and cut in another
     points.repartitionByRange("department", "chunk_id").sortWithinPartitions("department", "issue_date").write.mode("overwrite").parquet(path)
     want, got = chunks.count(), chunks.sparkSession.read.parquet(path).count()
     if want != got:

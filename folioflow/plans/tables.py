@@ -17,7 +17,7 @@ from folioflow.operators.embed import HashingEmbedder, embed
 from folioflow.operators.generate import decode_answers
 from folioflow.operators.parse import parse_directions
 from folioflow.plans.documents import _CLASS, _CLASSES, CHUNK_SQL, TITLES_SQL, _scan_sql, titles
-from folioflow.plans.materialize import shared_dir
+from folioflow.plans.materialize import shared_dir, spill
 from folioflow.plans.registry import Registry
 from folioflow.sources import files
 from folioflow.sources.tables import read_table
@@ -132,7 +132,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search collection built from all chunks: payload and vector of each."""
     path = _folder(spark, "collection")
-    chunks = schemas.migrate(_chunks(spark, sf_dir), schemas.CHUNKS_DDL)
+    chunks = spill(schemas.migrate(_chunks(spark, sf_dir), schemas.CHUNKS_DDL), "chunks")  # read several times, made once
     store.build_collection(chunks, embed(chunks.select("chunk_id", "text"), HashingEmbedder()), path)
     length = F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x * x)
     return spark.read.parquet(path).groupBy("department").agg(
