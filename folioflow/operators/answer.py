@@ -36,12 +36,15 @@ def retrieve(questions: DataFrame, index: DataFrame, embedder: E.Embedder, k: in
     return questions.join(named, "query_id", "left").withColumn("sources", F.coalesce("sources", empty))
 
 
-def answer(questions: DataFrame, index: DataFrame, embedder: E.Embedder, generator: G.Generator, clock: Column, run_id: str, source: str = "ask", k: int = 8, use_filter: bool = True) -> DataFrame:
-    """Log records, successes and errors, for ``questions`` (query_id, question, and optionally entity, which then overrides detection)."""
+def classified(questions: DataFrame) -> DataFrame:
+    """``questions`` with ``entity``: the given one, else what the question names."""
     given = F.col("entity") if "entity" in questions.columns else F.lit(None).cast("array<string>")
-    asked = questions.withColumn("entity", F.coalesce(given, detect_entities(F.col("question")))).select("query_id", "question", "entity")
-    found = retrieve(asked, index, embedder, k, use_filter).withColumn("texts", F.transform("sources", lambda s: s["text"]))
-    done = G.generate(found, generator)
+    return questions.withColumn("entity", F.coalesce(given, detect_entities(F.col("question"))))
+
+
+def records(found: DataFrame, generator: G.Generator, clock: Column, run_id: str, source: str, use_filter: bool) -> DataFrame:
+    """Log records of questions whose sources are found."""
+    done = G.generate(found.withColumn("texts", F.transform("sources", lambda s: s["text"])), generator)
     reply = F.col("generated.reply")
     numbers = F.transform("sources", lambda s: s["number"])
     done = done.withColumn("checks", verify(reply["citations"], F.col("texts"), numbers))
@@ -53,7 +56,14 @@ def answer(questions: DataFrame, index: DataFrame, embedder: E.Embedder, generat
     )
 
 
+def answer(questions: DataFrame, index: DataFrame, embedder: E.Embedder, generator: G.Generator, clock: Column, run_id: str, source: str = "ask", k: int = 8, use_filter: bool = True) -> DataFrame:
+    """Log records, successes and errors, for ``questions`` (query_id, question, and optionally entity, which then overrides detection)."""
+    asked = classified(questions).select("query_id", "question", "entity")
+    return records(retrieve(asked, index, embedder, k, use_filter), generator, clock, run_id, source, use_filter)
+
+
 NOT_ASKED = f"{G.QuotaExhausted.__name__}: not asked"
+LEAST_TASK = 50  # questions of a block; fewer aren't worth a task of their own
 ORDER = ("timestamp", "run_id", "seq")  # of the records of a log: runs by time, questions by their place in a run
 
 
@@ -67,22 +77,26 @@ def _numbered(questions: DataFrame) -> DataFrame:
 
 
 def answer_batch(questions: DataFrame, index: DataFrame, embedder: E.Embedder, generator: G.Generator, clock: Column, run_id: str, source: str = "batch", k: int = 8, use_filter: bool = True, block: int = 1000) -> DataFrame:
-    """The log of a batch, in blocks of questions: once the generator's quota is gone the batch stops and what was answered is kept.
+    """The log of a batch. The index is searched once for all questions; they are answered in blocks: once the generator's quota is gone the batch stops and what was answered is kept.
 
     The record of the first refused question stays, in each task that met it; questions that weren't asked any more leave none.
     """
     table = spill(_numbered(questions), "questions")
+    asked = classified(table).select(F.col("place").alias("query_id"), F.col("query_id").alias("seq"), "question", "entity")  # places are unique, ids of questions need not be
+    found = retrieve(asked, index, embedder, k, use_filter).withColumnRenamed("query_id", "place").withColumnRenamed("seq", "query_id")
+    found = spill(found.repartitionByRange("place").sortWithinPartitions("place"), "found")  # so that a block is read without the others
+    tasks = max(1, min(questions.sparkSession.sparkContext.defaultParallelism, block // LEAST_TASK))
     parts: list[DataFrame] = []
     for first in range(0, table.count(), block):
         with observe(f"answers {first + 1} to {first + block}", "generation", questions.sparkSession) as span:
-            part = table.filter(F.col("place").between(first + 1, first + block)).drop("place")
-            part = spill(answer(part, index, embedder, generator, clock, run_id, source, k, use_filter), "answers")
+            part = found.filter(F.col("place").between(first + 1, first + block)).repartition(tasks, "place")
+            part = spill(records(part, generator, clock, run_id, source, use_filter), "answers")
             stop = part.filter(F.startswith("error", F.lit(G.QuotaExhausted.__name__))).limit(1).count() > 0
             parts.append(part.filter(F.col("error").isNull() | (F.col("error") != NOT_ASKED)))
             span["note"] = "quota exhausted" if stop else None
         if stop:
             break
-    return reduce(DataFrame.unionByName, parts) if parts else answer(questions.limit(0), index, embedder, generator, clock, run_id, source, k, use_filter)
+    return reduce(DataFrame.unionByName, parts) if parts else records(found.drop("place"), generator, clock, run_id, source, use_filter)
 
 
 def history(log: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from folioflow.functions import text as X
 CHUNK_TYPE = "array<struct<section_path:array<string>,text:string>>"
 PIECE_TYPE = "array<struct<op:string,text:string,level:int>>"
 STRINGS = "array<string>"
+#: Unicode's white space. Trimming by it looks at the ends of a text, a pattern at each of its characters.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def split_table(md: Column, max_chars: int = D.MAX_CHARS) -> Column:
@@ -59,8 +61,9 @@ def pieces(blocks: Column) -> Column:
 def pack(steps: Column) -> Column:
     """The chunks (section_path, text) of a document from its steps."""
     no_lines, no_chunks = F.array().cast(STRINGS), F.array().cast(CHUNK_TYPE)
-    strip = lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
-    bind = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  names a value inside an expression
+    strip = lambda t: F.btrim(t, F.lit(WHITE))
+    # names a value inside an expression that gives a state; a transform would copy the state, with all chunks so far, at each step
+    bind = lambda value, state, body: F.aggregate(F.array(value), state, lambda _, v: body(v))
     emit = lambda out, path, text: F.when(F.char_length(text) >= D.MIN_CHARS, F.concat(out, F.array(F.struct(path.alias("section_path"), text.alias("text"))))).otherwise(out)
 
     def step(acc: Column, x: Column) -> Column:
@@ -68,11 +71,14 @@ def pack(steps: Column) -> Column:
         alone = x["op"].isin("table", "head")
         flush = alone | (x["op"] == "cut") | over
 
-        def with_text(text: Column) -> Column:
+        def cut(text: Column) -> Column:
+            return bind(F.when(~alone, X.overlap_tail(text)), acc, lambda tail: with_text(text, tail))
+
+        def with_text(text: Column, tail: Column) -> Column:
+            flush = text.isNotNull()
             out = F.when(flush, emit(acc["out"], acc["path"], text)).otherwise(acc["out"])
-            tail = X.overlap_tail(text)
-            carried = F.when(~flush, acc["buf"]).when(alone | tail.isNull(), no_lines).otherwise(F.array(tail))
-            counted = F.when(~flush, acc["n"]).when(alone | tail.isNull(), F.lit(0)).otherwise(F.char_length(tail))
+            carried = F.when(~flush, acc["buf"]).when(tail.isNull(), no_lines).otherwise(F.array(tail))
+            counted = F.when(~flush, acc["n"]).when(tail.isNull(), F.lit(0)).otherwise(F.char_length(tail))
             path = F.when(x["op"] == "head", F.concat(F.slice(acc["path"], 1, F.coalesce(x["level"], F.lit(0))), F.array(x["text"]))).otherwise(acc["path"])
             adds = x["op"] == "add"
             return F.struct(
@@ -81,10 +87,10 @@ def pack(steps: Column) -> Column:
                 F.when(adds, counted + F.char_length(x["text"]) + 1).otherwise(counted).alias("n"),
             )
 
-        return bind(F.when(flush, strip(F.array_join(acc["buf"], "\n"))), with_text)  # what is held back is joined only to be cut
+        return bind(F.when(flush, strip(F.array_join(acc["buf"], "\n"))), acc, cut)  # what is held back is joined only to be cut
 
     start = F.struct(no_chunks.alias("out"), no_lines.alias("path"), no_lines.alias("buf"), F.lit(0).alias("n"))
-    return F.aggregate(steps, start, step, lambda acc: bind(strip(F.array_join(acc["buf"], "\n")), lambda text: emit(acc["out"], acc["path"], text)))
+    return F.aggregate(steps, start, step, lambda acc: bind(strip(F.array_join(acc["buf"], "\n")), acc["out"], lambda text: emit(acc["out"], acc["path"], text)))
 
 
 def chunk(docs: DataFrame, blocks_col: str = "blocks", keep: list[str] | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact similarity search with the filter applied before ranking, and the experiments built on it.
 
-Queries and corpus are dealt to the cells of a grid, query blocks by corpus blocks, in one shuffle, whatever their numbers. A cell is one matrix product, taken ``SLICE`` queries
-at a time; only its best k per query leave it, and the best of all cells are ranked by a window that keeps k rows per query before its shuffle. Nothing of
-queries or corpus passes through the driver or is broadcast.
+Queries and corpus are dealt to the cells of a grid, query blocks by corpus blocks, in one shuffle, whatever their numbers. A cell is one matrix product in single precision, taken ``SLICE``
+queries at a time, which leaves the rows that can be among the best k within its error; these alone are computed in double precision. Only the best k per query leave a cell, and the best of all cells are
+ranked by a window that keeps k rows per query before its shuffle. Nothing of queries or corpus passes through the driver or is broadcast.
 """
 
 from __future__ import annotations
@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.vectors import unscoped
 
-QUERY_BLOCK, CORPUS_BLOCK = 1024, 16_384
+#: A row of the corpus is sent once for each block of queries, a query once for each block of the corpus.
+QUERY_BLOCK, CORPUS_BLOCK = 16_384, 16_384
 #: Below this many rows a corpus block isn't cut further to give every core a cell.
 LEAST_BLOCK = 512
 SLICE = 256  # queries multiplied with a block at once
+GROUPS = 256  # of rows of a block; their greatest similarities bound the k-th best of all
+PAIRS = 4096  # computed in double precision at once
 DIGITS = 6  # similarities are ranked as rounded, ties by id, so that any engine finds the same rows
 
 FOUND = "query_id long, id long, sim double, applies_to array<string>"
@@ -34,7 +37,7 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Fal
     none at all, are eligible. Fewer eligible rows give fewer results; k of 0 or less gives none. Rows without a vector are left out on either side.
     """
     rows, asked = searchable(corpus), askable(queries)
-    n_rows, n_asked = rows.count(), asked.count()
+    n_rows, n_asked = corpus.count(), queries.count()  # with those without a vector: the vectors need not be read for it
     cores = corpus.sparkSession.sparkContext.defaultParallelism
     across, down = blocks(n_asked, QUERY_BLOCK), max(blocks(n_rows, CORPUS_BLOCK), min(2 * cores, blocks(n_rows, LEAST_BLOCK)))
     left = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).withColumn("_c", dealt(F.col("id"), F.lit(down)))
@@ -70,10 +73,11 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "sim", "applies_to")
 
 
-def matrix(table: pa.Table, column: str = "embedding", kind: type = np.float64) -> np.ndarray:
-    """A column of equally long vectors as a matrix."""
-    flat = table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
-    return flat.reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 0), kind)
+def matrix(table: pa.Table, column: str = "embedding", kind: type | None = np.float64) -> np.ndarray:
+    """A column of equally long vectors as a matrix, of its own kind of numbers if ``kind`` is None."""
+    flat = table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    flat = flat if kind is None else flat.astype(kind, copy=False)
+    return flat.reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 0), flat.dtype)
 
 
 def fitting(rows: pa.Table, asked: pa.Table) -> Iterator[tuple[int, np.ndarray | None]]:
@@ -96,22 +100,62 @@ def chosen(sims: np.ndarray, fit: np.ndarray, own: np.ndarray, k: int) -> tuple[
     return row[first], q[first]
 
 
+def likely(sims: np.ndarray, margin: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all that is at most ``margin`` below the k-th greatest of its row of ``sims``, and of some more; -inf is never among them."""
+    n = sims.shape[1]
+    parts = max(GROUPS, 4 * k)
+    floor = np.full(len(sims), -np.inf)
+    if n >= parts:  # k groups of rows have a greatest that isn't below the k-th of these: as many rows are as good
+        tops = np.fmax.reduce(sims[:, : n // parts * parts].reshape(len(sims), -1, parts), axis=1)
+        floor = np.partition(np.where(np.isnan(tops), -np.inf, tops), parts - k, axis=1)[:, parts - k].astype(np.float64)
+    floor = np.maximum(floor - margin, np.finfo(sims.dtype).min).astype(sims.dtype)
+    found = np.flatnonzero(sims >= floor[:, None])
+    return found // n, found % n
+
+
+def products(rows: np.ndarray, wanted: np.ndarray, row: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The similarities of pairs in double precision, from a product of matrices where the pairs are many, as with copies."""
+    if len(q) > 4 * PAIRS:
+        some, at = np.unique(row, return_inverse=True)
+        return (rows[some].astype(np.float64) @ wanted.astype(np.float64).T)[at, q]
+    sims = np.empty(len(q))
+    for i in range(0, len(q), PAIRS):
+        part = slice(i, i + PAIRS)
+        sims[part] = np.einsum("ij,ij->i", rows[row[part]].astype(np.float64), wanted[q[part]].astype(np.float64))
+    return sims
+
+
+def longest(vectors: np.ndarray) -> np.ndarray:
+    """Lengths of the rows; what isn't finite counts as 0."""
+    squares = np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64)
+    return np.sqrt(np.where(np.isfinite(squares), squares, 0.0))
+
+
 def best_of(rows: pa.Table, asked: pa.Table, k: int, exclude_self: bool) -> Iterator[pa.Table]:
     """The best k rows of a block for each query of a block."""
     if not rows.num_rows or not asked.num_rows or k <= 0:
         return
-    own, names, vectors, wanted = rows["id"].to_numpy(), asked["query_id"].to_numpy(), matrix(rows), matrix(asked, "wanted")
+    own, names, vectors, wanted = rows["id"].to_numpy(), asked["query_id"].to_numpy(), matrix(rows, kind=None), matrix(asked, "wanted", None)
+    size = longest(vectors).max() * longest(wanted)
+    fast, bits = (np.float32, 24) if size.max() < 1e12 and np.abs(vectors).max() < 1e12 and np.abs(wanted).max() < 1e12 else (np.float64, 53)
+    left, right = vectors.astype(fast, copy=False), wanted.astype(fast, copy=False)
+    # by how much numbers of so many bits (the input among them) and the rounding of ranks can move two similarities
+    margin = 2 * (vectors.shape[1] + 4) * 2.0**-bits * size + 2 * 10.0**-DIGITS
     fits = dict(fitting(rows, asked))
     for at in range(0, len(names), SLICE):
-        sims = np.round(vectors @ wanted[at : at + SLICE].T, DIGITS)
-        fit = np.ones(sims.shape, bool)
-        for q in range(sims.shape[1]):
+        part = slice(at, at + SLICE)
+        sims = right[part] @ left.T
+        for q in range(len(sims)):
             if fits[at + q] is not None:
-                fit[:, q] = fits[at + q]
+                sims[q, ~fits[at + q]] = -np.inf
         if exclude_self:
-            fit &= own[:, None] != names[at : at + SLICE]
-        row, q = chosen(sims, fit, own, k)
-        yield pa.table({"query_id": names[at + q], "id": own[row], "sim": sims[row, q], "applies_to": rows["applies_to"].take(pa.array(row))}, schema=_FOUND)
+            sims[names[part, None] == own] = -np.inf
+        q, row = likely(sims, margin[part], k)
+        sims = np.round(products(vectors, wanted[part], row, q), DIGITS)
+        order = np.lexsort((own[row], -sims, q))
+        order = order[np.arange(len(q)) - np.searchsorted(q, q) < k]  # q was in order before
+        q, row, sims = q[order], row[order], sims[order]
+        yield pa.table({"query_id": names[at + q], "id": own[row], "sim": sims, "applies_to": rows["applies_to"].take(pa.array(row))}, schema=_FOUND)
 
 
 def precision(results: DataFrame, asked: DataFrame) -> DataFrame:

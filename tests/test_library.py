@@ -279,6 +279,37 @@ def test_a_batch_stops_when_the_quota_is_gone(spark):
     assert whole.count() == 5 and A.answer_batch(asked.limit(0), index, HashingEmbedder(), Meter(), NOW(), "r").count() == 0
 
 
+def test_a_batch_searches_its_index_once(spark, monkeypatch):
+    """Whatever the number of blocks; and questions that share an id have sources of their own."""
+    rows = [(i, text, f"n{i}", None, None, "s", None) for i, text in enumerate(["capital of banks", "records of customers", "accounts and deposits"])]
+    index = embed(spark.createDataFrame(rows, "chunk_id long, text string, number string, issue_date string, applies_to array<string>, subject string, section string"), HashingEmbedder())
+    asked = spark.createDataFrame([(i // 2, q) for i, q in enumerate(["capital of banks", "records of customers", "accounts and deposits", "capital of banks", "records of customers"])] + [(None, "capital of banks")], "query_id long, question string")
+    searches, topk = [], A.topk
+    monkeypatch.setattr(A, "topk", lambda *x: searches.append(x) or topk(*x))
+    log = A.answer_batch(asked, index, HashingEmbedder(), ExtractiveGenerator(), NOW(), "r", k=1, block=2)
+    got = sorted(((r.seq, r.question, r.retrieved) for r in log.collect()), key=str)
+    own = {"capital of banks": ["n0"], "records of customers": ["n1"], "accounts and deposits": ["n2"]}
+    assert len(searches) == 1 and got == sorted(((r.query_id, r.question, own[r.question]) for r in asked.collect()), key=str)
+
+
+def test_vectors_of_a_batch_are_those_of_each_text():
+    texts = ["Banks, banks and (bank)", "", None, "...", " \n", "one", "a b a b", "Ünï ſ ß"] * 100
+    one_by_one = [HashingEmbedder(16).encode([t])[0].tolist() for t in texts]
+    assert HashingEmbedder(16).encode(texts).tolist() == one_by_one and HashingEmbedder(16).encode([]).shape == (0, 16)
+
+
+def test_chunks_are_trimmed_of_all_white_space(spark):
+    import re as python_re
+
+    from folioflow.operators.chunk import WHITE
+
+    every = spark.range(0x10000).filter("id < 55296 OR id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    assert {r.c for r in every.filter(F.col("c").rlike(r"(?U)^\s$")).collect()} == set(WHITE)
+    text = f"{WHITE}{'word ' * 30}end{WHITE}"
+    docs = spark.createDataFrame([("d", [{"kind": "table", "text": text}, {"kind": "text", "text": text}])], f"doc_key string, blocks {schemas.BLOCKS_TYPE}")
+    assert {r.text for r in chunk(docs).collect()} == {"word " * 30 + "end"} and python_re.sub(r"^\s+|\s+$", "", text) == "word " * 30 + "end"
+
+
 def test_refusals_of_a_service():
     from folioflow.operators.generate import failure
 

@@ -177,3 +177,33 @@ def test_parts_of_patterns_are_compiled_once():
             held += bool(find(text))
             assert bool(find(text)) == bool(re.search(pattern, text, re.IGNORECASE)), (pattern, text)
     assert held > 300
+
+
+@pytest.mark.parametrize("k", [3, 300])
+def test_a_cell_finds_what_double_precision_finds(k):
+    """Rows that single precision can't tell apart, copies, classes, rows of its own, large numbers."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(1, 48))
+    v = np.concatenate([base + 2e-6 * rng.normal(size=(700, 48)), np.repeat(base, 600, 0), rng.normal(size=(700, 48))])
+    w = np.concatenate([base, v[::40], rng.normal(size=(20, 48))])
+    for scale in (0.1, 1e14):
+        rows = pa.table({"id": rng.permutation(len(v)), "embedding": list(v * scale), "applies_to": pa.array([[str(i % 3)] if i % 4 else None for i in range(len(v))])})
+        asked = pa.table({"query_id": np.arange(len(w)), "wanted": list(w / scale), "classes": pa.array([None if i % 2 else ["1"] for i in range(len(w))])})
+        sims = np.round((np.stack(rows["embedding"].to_numpy()).astype(np.float64) @ np.stack(asked["wanted"].to_numpy()).T), search.DIGITS)
+        ids, classes = rows["id"].to_numpy(), rows["applies_to"].to_pylist()
+        for own in (False, True):
+            got = pa.concat_tables(search.best_of(rows, asked, k, own)).to_pydict()
+            want = []
+            for q in range(len(w)):
+                fit = [i for i in range(len(v)) if (q % 2 or not classes[i] or "1" in classes[i]) and not (own and ids[i] == q)]
+                want += [(q, int(ids[i])) for i in sorted(fit, key=lambda i: (-sims[i, q], ids[i]))[:k]]
+            assert list(zip(got["query_id"], got["id"], strict=True)) == want
+
+
+def test_few_rows_are_computed_twice():
+    rng = np.random.default_rng(6)
+    sims = rng.normal(size=(8, 20_000)).astype(np.float32)
+    q, row = search.likely(sims, np.full(8, 1e-4), 8)
+    assert len(q) < 8 * 16 and all(set(np.argsort(-sims[i])[:8]) <= set(row[q == i]) for i in range(8))
