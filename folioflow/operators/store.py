@@ -89,7 +89,8 @@ def build_collection(chunks: DataFrame, vectors: DataFrame, path: str) -> int:
 
     The count must equal the chunks' or it is an error.
     """
-    points = spill(chunks.select("chunk_id", *PAYLOAD).join(vectors.select("chunk_id", "embedding"), "chunk_id"), "points")  # ranges are found in one pass and cut in another
+    # merged: by the size of the compressed files they come from, Spark would take texts and vectors for small and broadcast them through the driver
+    points = spill(chunks.select("chunk_id", *PAYLOAD).hint("merge").join(vectors.select("chunk_id", "embedding"), "chunk_id"), "points")  # ranges are found in one pass and cut in another
     points.repartitionByRange("department", "chunk_id").sortWithinPartitions("department", "issue_date").write.mode("overwrite").parquet(path)
     want, got = chunks.count(), chunks.sparkSession.read.parquet(path).count()
     if want != got:

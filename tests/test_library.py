@@ -611,3 +611,16 @@ def test_a_collection_embeds_each_chunk_once(spark, tmp_path):
     chunks = schemas.migrate(spark.createDataFrame([(i, f"d{i % 3}") for i in range(40)], "chunk_id long, department string"), schemas.CHUNKS_DDL)
     vectors = chunks.select("chunk_id", F.udf(vector, "array<float>")("chunk_id").alias("embedding"))
     assert store.build_collection(chunks, vectors, f"file://{tmp_path}/c") == 40 and made.value == 40
+
+
+def test_a_collection_is_not_broadcast(spark, tmp_path, monkeypatch):
+    """However small the files of the chunks are: neither texts nor vectors pass through the driver."""
+    joined, spill = [], store.spill
+    monkeypatch.setattr(store, "spill", lambda df, tag: joined.append(df) or spill(df, tag))
+    chunks = schemas.migrate(spark.createDataFrame([(i, f"text {i}") for i in range(40)], "chunk_id long, text string"), schemas.CHUNKS_DDL)
+    chunks.write.parquet(f"file://{tmp_path}/chunks")
+    chunks = spark.read.parquet(f"file://{tmp_path}/chunks")
+    assert store.build_collection(chunks, embed(chunks.select("chunk_id", "text"), HashingEmbedder()), f"file://{tmp_path}/c") == 40
+    (points,) = joined
+    assert len(points.collect()) == 40  # the plan is then the one that ran
+    assert "Broadcast" not in points._jdf.queryExecution().executedPlan().toString()
