@@ -79,23 +79,26 @@ def _numbered(questions: DataFrame) -> DataFrame:
 def answer_batch(questions: DataFrame, index: DataFrame, embedder: E.Embedder, generator: G.Generator, clock: Column, run_id: str, source: str = "batch", k: int = 8, use_filter: bool = True, block: int = 1000) -> DataFrame:
     """The log of a batch. The index is searched once for all questions; they are answered in blocks: once the generator's quota is gone the batch stops and what was answered is kept.
 
-    The record of the first refused question stays, in each task that met it; questions that weren't asked any more leave none.
+    The first block has ``block`` questions, each later one as many as were asked before it, so that few blocks do for any batch. The record of the first refused question stays, in each task that met it; questions that weren't asked any more leave none.
     """
     table = spill(_numbered(questions), "questions")
     asked = classified(table).select(F.col("place").alias("query_id"), F.col("query_id").alias("seq"), "question", "entity")  # places are unique, ids of questions need not be
     found = retrieve(asked, index, embedder, k, use_filter).withColumnRenamed("query_id", "place").withColumnRenamed("seq", "query_id")
     found = spill(found.repartitionByRange("place").sortWithinPartitions("place"), "found")  # so that a block is read without the others
-    tasks = max(1, min(questions.sparkSession.sparkContext.defaultParallelism, block // LEAST_TASK))
     parts: list[DataFrame] = []
-    for first in range(0, table.count(), block):
-        with observe(f"answers {first + 1} to {first + block}", "generation", questions.sparkSession) as span:
-            part = found.filter(F.col("place").between(first + 1, first + block)).repartition(tasks, "place")
+    first, total = 0, table.count()
+    while first < total:
+        last = min(total, first + max(block, first))
+        tasks = max(1, min(questions.sparkSession.sparkContext.defaultParallelism, (last - first) // LEAST_TASK))
+        with observe(f"answers {first + 1} to {last}", "generation", questions.sparkSession) as span:
+            part = found.filter(F.col("place").between(first + 1, last)).repartition(tasks, "place")
             part = spill(records(part, generator, clock, run_id, source, use_filter), "answers")
             stop = part.filter(F.startswith("error", F.lit(G.QuotaExhausted.__name__))).limit(1).count() > 0
             parts.append(part.filter(F.col("error").isNull() | (F.col("error") != NOT_ASKED)))
             span["note"] = "quota exhausted" if stop else None
         if stop:
             break
+        first = last
     return reduce(DataFrame.unionByName, parts) if parts else records(found.drop("place"), generator, clock, run_id, source, use_filter)
 
 

@@ -7,7 +7,7 @@ import re
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -124,19 +124,21 @@ def generate(asked: DataFrame, generator: Generator, attempts: int = 4) -> DataF
     """
 
     @F.pandas_udf(f"struct<reply:struct<answer:string,citations:array<struct<source_id:int,quote:string>>,insufficient_context:boolean>,seconds:double,error:string>")
-    def replies(questions: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        out, gone = [], False
-        for q, t in zip(questions, texts, strict=True):
-            began = time.monotonic()
-            if gone:
-                out.append((None, 0.0, f"{QuotaExhausted.__name__}: not asked"))
-                continue
-            try:
-                reply, error = with_retry(lambda q=q, t=t: generator.answer(q, list(t)), attempts), None
-            except Exception as e:  # an error becomes a row of the log
-                reply, error, gone = None, f"{type(e).__name__}: {e}", isinstance(e, QuotaExhausted)
-            out.append((reply, round(time.monotonic() - began, 2), error))
-        return pd.DataFrame(out, columns=["reply", "seconds", "error"])
+    def replies(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        gone = False  # for all batches of the task
+        for questions, texts in batches:
+            out = []
+            for q, t in zip(questions, texts, strict=True):
+                began = time.monotonic()
+                if gone:
+                    out.append((None, 0.0, f"{QuotaExhausted.__name__}: not asked"))
+                    continue
+                try:
+                    reply, error = with_retry(lambda q=q, t=t: generator.answer(q, list(t)), attempts), None
+                except Exception as e:  # an error becomes a row of the log
+                    reply, error, gone = None, f"{type(e).__name__}: {e}", isinstance(e, QuotaExhausted)
+                out.append((reply, round(time.monotonic() - began, 2), error))
+            yield pd.DataFrame(out, columns=["reply", "seconds", "error"])
 
     return asked.withColumn("generated", replies("question", "texts"))
 

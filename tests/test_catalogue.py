@@ -55,3 +55,10 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 10 * 5  # queries: the ids below 500 divisible by 100
+
+
+def test_a_batch_answers_every_question(spark):
+    """What users say in any conversation is asked, not a part of it."""
+    asked = spark.read.parquet(f"{SMALL}/conversations.parquet").filter("role = 'user' AND text IS NOT NULL").count()
+    (summary,) = catalogue.queries()["batch_pipeline"](spark, SMALL).collect()
+    assert summary.asked == summary.answered == asked > 30 and summary.wrong_source == summary.not_found == 0

@@ -624,3 +624,36 @@ def test_a_collection_is_not_broadcast(spark, tmp_path, monkeypatch):
     (points,) = joined
     assert len(points.collect()) == 40  # the plan is then the one that ran
     assert "Broadcast" not in points._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_long_batch_takes_few_blocks(spark, monkeypatch):
+    """Each block has as many questions as those before it; a refused task asks nothing more, in its later Arrow batches neither."""
+    from contextlib import contextmanager
+
+    class Meter:
+        name = "meter"
+
+        def answer(self, question, sources):
+            if "stop" in question:
+                raise QuotaExhausted("429")
+            return {"answer": "x", "citations": [], "insufficient_context": True}
+
+    named = []
+
+    @contextmanager
+    def observed(name, *_):
+        named.append(name)
+        yield {}
+
+    monkeypatch.setattr(A, "observe", observed)
+    index = embed(spark.createDataFrame([(1, "some text", "n", None, ["a"], "s", None)], "chunk_id long, text string, number string, issue_date string, applies_to array<string>, subject string, section string"), HashingEmbedder())
+    asked = spark.range(40).select(F.col("id").alias("query_id"), F.concat(F.lit("question "), "id").alias("question"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        log = A.answer_batch(asked, index, HashingEmbedder(), Meter(), NOW(), "r", block=3)
+        assert sorted(r.seq for r in log.collect()) == list(range(40))
+        assert named == ["answers 1 to 3", "answers 4 to 6", "answers 7 to 12", "answers 13 to 24", "answers 25 to 40"]
+        over = A.answer_batch(asked.withColumn("question", F.lit("stop")), index, HashingEmbedder(), Meter(), NOW(), "r", block=30)
+        assert [r.error for r in over.collect()] == ["QuotaExhausted: 429"]  # one task, one refusal
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
